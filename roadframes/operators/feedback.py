@@ -212,3 +212,21 @@ def relearn_and_rescore(metrics: DataFrame, reviews: DataFrame, **options) -> Da
 
     return params.join(F.broadcast(checked)).select(
         "*", share("agreed_before").alias("accuracy_before"), share("agreed_after").alias("accuracy_after"))
+
+
+def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hours") -> DataFrame:
+    """Sessions of a reviewer, closed by a pause longer than ``gap``.
+
+    ``events`` has ``reviewer``, ``ts`` and ``was_correct``. The pause before an
+    event and the number of its session are scanned in time blocks, so one
+    reviewer's long history is spread over many tasks.
+    """
+    blocked = events.withColumn("_block", F.window("ts", block)["start"])
+    pause = F.expr(f"interval {gap}")
+    paused = running(
+        blocked, ["reviewer"], "_block", ["ts"], {"_before": ("max", "ts")}, exclusive=True
+    ).withColumn("_opens", (F.col("_before").isNull() | (F.col("ts") > F.col("_before") + pause)).cast("int"))
+    numbered = running(paused, ["reviewer"], "_block", ["ts"], {"_session": ("sum", "_opens")})
+    return numbered.groupBy("reviewer", "_session").agg(
+        F.min("ts").alias("started_at"), (F.max("ts") + pause).alias("ends_at"),
+        F.count("*").alias("total"), F.count_if("was_correct").alias("correct")).drop("_session")

@@ -91,5 +91,5 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("run"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("epoch"),
         (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("bigint").alias("batch_id"),
-        "ts", F.col("event_id").alias("seq"), F.col("value").alias("loss"),
+        "ts", F.col("event_id").alias("seq"), F.log1p("value").alias("loss"),
         (k() % 2).alias("label"), F.when(k() % 3 == 0, 1).otherwise(0).alias("prediction"))

@@ -82,7 +82,7 @@ LOG = (
     "FROM events)")
 RUN = (
     "run AS (SELECT event_type AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, "
-    "CAST(hour(ts) * 4 + minute(ts) // 15 AS BIGINT) AS batch_id, ts, event_id AS seq, value AS loss, "
+    "CAST(hour(ts) * 4 + minute(ts) // 15 AS BIGINT) AS batch_id, ts, event_id AS seq, ln(1 + value) AS loss, "
     f"{K} % 2 AS label, CASE WHEN {K} % 3 = 0 THEN 1 ELSE 0 END AS prediction FROM events)")
 CAPTURES = (
     "captures AS (SELECT event_id AS capture_id, event_type AS camera, ts AS captured_at, '/captures/' || "
