@@ -26,6 +26,16 @@ def to_bytes(stack: np.ndarray, wrap: bool = False) -> np.ndarray:
     return np.clip(values, 0.0, 255.0).astype(np.int32)
 
 
+def denormalised(stack: np.ndarray, mean, std) -> np.ndarray:
+    """Normalised ``(n, height, width, channels)`` values back to 0..1."""
+    return np.clip(stack * np.asarray(std) + np.asarray(mean), 0.0, 1.0).astype(np.float32)
+
+
+def normalised(stack: np.ndarray, mean, std) -> np.ndarray:
+    """8-bit ``(n, height, width, channels)`` values, scaled to 0..1 and normalised."""
+    return (stack.astype(np.float64) / 255.0 - np.asarray(mean)) / np.asarray(std)
+
+
 def gray(rgb: np.ndarray) -> np.ndarray:
     """Integer luma of ``(n, height, width, channels)``; one channel passes through."""
     if rgb.shape[3] == 1:

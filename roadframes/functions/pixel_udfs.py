@@ -67,8 +67,11 @@ def _channels_first(layout, channels, height) -> bool:
     return layout == "CHW"
 
 
-def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp"):
-    """Integer counts of one pass over the pixels: edges, size, sums, channel sums."""
+def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None):
+    """Integer counts of one pass over the pixels: edges, size, sums, channel sums.
+
+    ``normal`` gives the (mean, std) of normalised frames, undone in the same pass.
+    """
     wrap = overflow == "wrap"
 
     @F.arrow_udf(COUNTS)
@@ -80,6 +83,8 @@ def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp"):
         out = np.zeros((len(COUNT_NAMES), n), dtype=np.int64)
         for rows, block in _stacks(pixels, height, width, channels, layout):
             shape = block.shape
+            if normal:
+                block = kernels.denormalised(block.astype(np.float64), *normal)
             rgb = kernels.to_bytes(block.reshape(len(rows), -1), wrap).reshape(shape)
             g = kernels.gray(rgb)
             edges = kernels.edge_map(g, edge_threshold, 2 * edge_threshold)
@@ -100,16 +105,22 @@ def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp"):
     return frame_counts
 
 
-def resize_udf(height: int, width: int):
-    """Bilinear resize; the result is in height, width, channel order, NULL on failure."""
+def resize_udf(height: int, width: int, normal: tuple | None = None):
+    """Bilinear resize; the result is in height, width, channel order, NULL on failure.
+
+    With ``normal``, a (mean, std), the result is normalised and channels first.
+    """
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
     def resized(
         pixels: pa.Array, h: pa.Array, w: pa.Array, channels: pa.Array, layout: pa.Array
     ) -> pa.Array:
         out: list = [None] * len(pixels)
         for rows, block in _stacks(pixels, h, w, channels, layout):
-            flat = kernels.resize(block, height, width).reshape(len(rows), -1).astype(np.float32)
+            block = kernels.resize(block, height, width).astype(np.float32)
+            if normal:
+                block = kernels.normalised(block, *normal).astype(np.float32).transpose(0, 3, 1, 2)
+            flat = block.reshape(len(rows), -1)
             for i, row in enumerate(rows):
                 out[row] = flat[i]
         return pa.array(out, pa.list_(pa.float32()))

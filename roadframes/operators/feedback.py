@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,26 +58,30 @@ def fold_reviews(events: DataFrame, images: int = 12, block: str = "1 hour") ->
         placed.withColumn("_end", ends), ["session"], "_block", ["ts", "seq"],
         {"_ended": ("count", "_end")}, exclusive=True).where("_ended = 0")
 
+    # Per session and position: what its last event was. A session has at most images + 1
+    # positions, so everything after this count is small, however many moves were made.
     when = F.struct("ts", "seq")
-    last = live.groupBy("session").agg(F.max_by("_pos", when).alias("_last"))
-    answers = live.where("_step = 1").groupBy(
-        "session", (F.col("_pos") - 1).alias("image_index")
-    ).agg(F.max_by(F.struct("action", "level", "ts"), when).alias("_answer"))
-    return answers.join(last, "session").where("image_index < _last").select(
-        "session", "image_index",
+    answer = F.when(F.col("_step") == 1, F.struct("action", "level", "ts"))
+    places = live.groupBy("session", "_pos").agg(
+        F.max(when).alias("_left"),
+        F.max_by(answer, F.when(F.col("_step") == 1, when)).alias("_answer"))
+    last = F.max_by("_pos", "_left").over(Window.partitionBy("session"))
+    return places.withColumn("_last", last).where("_answer is not null and _pos <= _last").select(
+        "session", (F.col("_pos") - 1).alias("image_index"),
         (F.col("_answer.action") == "agree").alias("was_correct"),
         F.when(F.col("_answer.action") == "disagree", F.col("_answer.level")).alias("corrected_level"),
         F.col("_answer.ts").alias("answered_at"))
 
 
-def review_entries(folded: DataFrame, scored: DataFrame) -> DataFrame:
+def review_entries(folded: DataFrame, scored: DataFrame, on: Sequence[str] = ("session", "image_index")) -> DataFrame:
     """Folded answers with the scores of the images shown, as feedback entries.
 
-    ``scored`` has ``session``, ``image_index``, ``traffic_level``, ``density``,
+    ``scored`` has the ``on`` columns, ``traffic_level``, ``density`` and
     ``congestion``. Agreeing confirms the predicted level.
     """
     level = F.col("traffic_level")
-    return folded.join(scored, ["session", "image_index"]).select(
+    scores = scored.select(*on, "traffic_level", "density", "congestion")
+    return folded.join(scores, list(on)).select(
         "session", "image_index",
         level.cast("double").alias("model_prediction"),
         F.when(F.col("was_correct"), level).otherwise(F.col("corrected_level")).cast("double").alias("user_correction"),

@@ -72,8 +72,10 @@ def normalise(
 def to_tensor(
     df: DataFrame, size: int = 224, mean: Sequence[float] = IMAGENET_MEAN, std: Sequence[float] = IMAGENET_STD
 ) -> DataFrame:
-    """Resize, rescale, normalise, channels first."""
-    return to_chw(normalise(resize(df, size), mean, std))
+    """Resize, rescale, normalise, channels first: one pass over the pixels."""
+    tensor = pixel_udfs.resize_udf(size, size, (tuple(mean), tuple(std)))
+    return df.withColumn("pixels", tensor(*pixel_udfs.pixel_columns())).withColumns(
+        {"height": F.lit(size), "width": F.lit(size), "layout": F.lit("CHW")})
 
 
 def denormalise(

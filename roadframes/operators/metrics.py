@@ -40,9 +40,15 @@ def merge_params(params: DataFrame, update: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"_{f.name}"), F.col(f.name)).alias(f.name) for f in PARAMS])
 
 
-def frame_counts(frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp") -> DataFrame:
-    """Replace the pixels by the counts all scores need."""
-    counted = frames.withColumn("_c", frame_counts_udf(edge_threshold, overflow)(*pixel_columns()))
+def frame_counts(
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None
+) -> DataFrame:
+    """Replace the pixels by the counts all scores need.
+
+    For normalised tensors pass their (mean, std) as ``normal``: they are
+    denormalised in the same pass.
+    """
+    counted = frames.withColumn("_c", frame_counts_udf(edge_threshold, overflow, normal)(*pixel_columns()))
     return counted.select(
         *[c for c in frames.columns if c != "pixels"],
         "_c.valid", "_c.reason", *[f"_c.{name}" for name in COUNT_NAMES])
@@ -79,9 +85,11 @@ def with_params(metrics: DataFrame, params: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(params))
 
 
-def base_metrics(frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp") -> DataFrame:
+def base_metrics(
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None
+) -> DataFrame:
     """Everything that depends on pixels; store this, and re-score it as often as needed."""
-    counts = congestion(density(edge_density(frame_counts(frames, edge_threshold, overflow))))
+    counts = congestion(density(edge_density(frame_counts(frames, edge_threshold, overflow, normal))))
     return counts.withColumn("flow_rate", F.col("edge_density"))
 
 
@@ -94,13 +102,15 @@ def rescore(metrics: DataFrame, params: DataFrame) -> DataFrame:
     return scored.withColumn("traffic_level", level).select(*kept, "traffic_score", "traffic_level")
 
 
-def analyze(frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", **params) -> DataFrame:
+def analyze(
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None, **params
+) -> DataFrame:
     """All scores of each frame; a frame that cannot be read is kept with zeros and a reason.
 
     Weights and thresholds are plan-time values here, so this also works on a stream.
     """
     values = {**SCORER_DEFAULTS, **params}
-    base = base_metrics(frames, edge_threshold, overflow)
+    base = base_metrics(frames, edge_threshold, overflow, normal)
     scored = base.withColumn("traffic_score", scoring.traffic_score(
         F.lit(float(values["density_weight"])), F.lit(float(values["congestion_weight"]))))
     thresholds = F.array(*[F.lit(float(t)) for t in values["thresholds"]])

@@ -118,13 +118,11 @@ def rescored_levels(spark: SparkSession, sf: str) -> DataFrame:
     return mt.rescore(metrics, fb.learn_params(st.as_reviews(metrics))).select("frame_id", "traffic_level")
 
 
-def shown_images(spark: SparkSession, sf: str, folded: DataFrame) -> DataFrame:
+def shown_frame(folded: DataFrame, frames: DataFrame) -> DataFrame:
     """Which frame each session saw as which image: twelve in a row, from a start of its own."""
-    frames = st.scored(spark, sf)
     total = frames.agg(F.count("*").alias("_frames"))
-    seen = folded.select("session", "image_index").join(F.broadcast(total)).select(
-        "session", "image_index", ((F.col("session") * 12 + F.col("image_index")) % F.col("_frames")).alias("frame_id"))
-    return mt.attach_scores(seen, frames)
+    return folded.join(F.broadcast(total)).withColumn(
+        "frame_id", (F.col("session") * 12 + F.col("image_index")) % F.col("_frames")).drop("_frames")
 
 
 ENTRIES = f"""WITH RECURSIVE {tw.LOG}, {tw.folded()}, {tw.GRAY}, {tw.metrics('gray', 100)},
@@ -136,7 +134,17 @@ entries AS (SELECT session, image_index, CAST(traffic_level AS DOUBLE) AS model_
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     folded = fb.fold_reviews(st.review_log(spark, sf))
-    return fb.review_entries(folded, shown_images(spark, sf, folded))
+    shown = shown_frame(folded, st.table(spark, sf, "embeddings"))
+    return fb.review_entries(shown, st.scored(spark, sf), ["frame_id"])
+
+
+@query(ENTRIES + " SELECT session, image_index, CAST(model_prediction AS INTEGER) AS traffic_level, round(density, 6) AS density FROM entries")
+def attach_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Standing answers with the scores of the frame they speak about."""
+    folded = fb.fold_reviews(st.review_log(spark, sf)).select("session", "image_index")
+    shown = shown_frame(folded, st.table(spark, sf, "embeddings"))
+    return mt.attach_scores(shown, st.scored(spark, sf)).select(
+        "session", "image_index", "traffic_level", r6("density", "density"))
 
 
 @query(ENTRIES + """ SELECT session, image_index, model_prediction, user_correction, was_correct,

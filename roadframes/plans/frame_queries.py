@@ -13,6 +13,7 @@ from roadframes.operators.sampling import batches
 from roadframes.plans import standins as st
 from roadframes.plans import twins as tw
 from roadframes.plans.registry import query, r6, weighed
+from roadframes.schemas import IMAGENET_MEAN, IMAGENET_STD
 
 W = "CAST(list_sum(list_transform({0}, lambda v, i: v * i)) AS BIGINT)"
 WF = "round(list_sum(list_transform({0}, lambda v, i: CAST(v AS DOUBLE) * i)), 3)"
@@ -318,6 +319,15 @@ def analyze_rgb(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(mt.analyze(st.rgb_frames(spark, sf), 100))
 
 
+@query(f"""WITH RECURSIVE {tw.TENSOR}, d AS (SELECT frame_id, source, label, list_transform(px, lambda v, i:
+  CAST(CAST(greatest(0.0, least(1.0, CAST(v AS DOUBLE) * {STD}[(i - 1) // 64 + 1] + {MEAN}[(i - 1) // 64 + 1])) AS FLOAT) AS DOUBLE)) AS px FROM tensor),
+rgb AS (SELECT frame_id, source, label, list_transform(px, lambda v: CAST(trunc(v * 255) AS INTEGER)) AS px FROM d),
+{tw.LUMA}, {tw.metrics('luma', 100)}""" + SCORES)
+def analyze_tensors(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised tensors: denormalised and scored in one pass."""
+    return _scores(mt.analyze(st.tensor_frames(spark, sf), 100, normal=(IMAGENET_MEAN, IMAGENET_STD)))
+
+
 @query(f"WITH {tw.GRAY} SELECT CAST(0.75 AS DOUBLE) AS density_weight, CAST(1 AS DOUBLE) AS congestion_weight, CAST(50 AS INTEGER) AS edge_threshold, CAST(list_aggregate([avg(list_max(px)) / 1000, 0.3, 0.6], 'max') AS DOUBLE) AS top_threshold, CAST(3 AS INTEGER) AS levels FROM gray")
 def update_params(spark: SparkSession, sf: str) -> DataFrame:
     """Some parameters replaced, one of them by a value found in the data; the rest kept."""

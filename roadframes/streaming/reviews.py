@@ -48,84 +48,125 @@ def review_sessions_stream(events: DataFrame, gap: str = "2 hours", late: str =
 class FoldReviews(StatefulProcessor):
     """Applies a session's review events in order of event time.
 
-    Arriving events wait in one state entry per minute. One timer stands at the end
-    of the earliest waiting minute; when the watermark has passed it, the passed
-    minutes are applied one after the other, so only one minute of one session is
-    sorted at a time. Events of a minute already passed are reported as late and not
-    applied. A session that has ended keeps no events.
+    An event waits until the watermark has passed its minute; then the passed minutes
+    are applied. An ordinary session keeps its waiting events in one state value. A
+    session with more than ``SMALL`` of them keeps one state entry per minute, so
+    that only one of its minutes is read and sorted at a time. Events of a minute
+    already passed are reported as late and not applied. An ended session keeps none.
     """
 
+    SMALL = 1024
+
     def __init__(self, images: int) -> None:
         self.images = images
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.walk = handle.getValueState("walk", "pos bigint, step bigint, done boolean, timer bigint")
-        self.waiting = handle.getMapState(
-            "waiting", "minute bigint", "ts array<bigint>, seq array<bigint>, action array<string>, level array<int>")
+        self.walk = handle.getValueState("walk", "pos bigint, step bigint, done boolean, timer bigint, by_minute boolean")
+        events = "ts array<bigint>, seq array<bigint>, action array<string>, level array<int>"
+        self.small = handle.getValueState("small", events)
+        self.minutes = handle.getMapState("minutes", "minute bigint", events)
+
+    def _load(self) -> None:
+        self.pos, self.step, self.done, self.timer, self.by_minute = (
+            self.walk.get() if self.walk.exists() else (0, 0, False, 0, False))
 
-    def _state(self) -> tuple:
-        return self.walk.get() if self.walk.exists() else (0, 0, False, 0)
+    def _save(self) -> None:
+        self.walk.update((self.pos, self.step, self.done, self.timer, self.by_minute))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pos, step, done, timer = self._state()
+        self._load()
         passed = timerValues.getCurrentWatermarkInMs()
-        earliest = timer
         for part in rows:
-            if done:
+            if self.done:
                 continue
             micros = part["ts"].astype("datetime64[us]").astype("int64")
-            minutes = micros // 1000 // MINUTE_MS * MINUTE_MS
-            for minute, group in part.assign(_us=micros).groupby(minutes):
-                minute = int(minute)
-                if minute + MINUTE_MS <= passed:
-                    yield self._changes(key, [(-1, "late", None, None, None, us) for us in group["_us"]])
-                    continue
-                new = [
-                    [int(v) for v in group["_us"]], [int(v) for v in group["seq"]],
-                    list(group["action"]), [int(v) for v in group["level"]]]
-                old = self.waiting.getValue((minute,))
-                if old is not None:
-                    new = [list(a) + b for a, b in zip(old, new)]
-                self.waiting.updateValue((minute,), tuple(new))
-                earliest = min(earliest, minute + MINUTE_MS) if earliest else minute + MINUTE_MS
-        if not done and earliest != timer:
-            self.handle.registerTimer(earliest)
-            self.walk.update((pos, step, done, earliest))
+            events = list(zip(micros.tolist(), part["seq"].tolist(), part["action"].tolist(), part["level"].tolist()))
+            late = [e for e in events if _minute_end(e) <= passed]
+            if late:
+                yield self._changes(key, [(-1, "late", None, None, None, e[0]) for e in late])
+                events = [e for e in events if _minute_end(e) > passed]
+            if events:
+                self._wait(events)
+                first = min(map(_minute_end, events))
+                if not self.timer or first < self.timer:
+                    self.timer = first
+                    self.handle.registerTimer(first)
+        self._save()
+
+    def _wait(self, events: list) -> None:
+        if not self.by_minute:
+            if self.small.exists():
+                events = list(zip(*self.small.get())) + events
+            if len(events) <= self.SMALL:
+                self.small.update(_columns(events))
+                return
+            self.by_minute = True
+            self.small.clear()
+        grouped: dict[int, list] = {}
+        for event in events:
+            grouped.setdefault(_minute_end(event), []).append(event)
+        for end, some in grouped.items():
+            old = self.minutes.getValue((end,))
+            self.minutes.updateValue((end,), _columns((list(zip(*old)) if old else []) + some))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pos, step, done, _ = self._state()
+        self._load()
         passed = timerValues.getCurrentWatermarkInMs()
-        minutes = [] if done else sorted(k[0] for k in self.waiting.keys())
-        for minute in minutes:
-            if minute + MINUTE_MS > passed:
-                self.handle.registerTimer(minute + MINUTE_MS)
-                self.walk.update((pos, step, done, minute + MINUTE_MS))
-                return
-            events = sorted(zip(*self.waiting.getValue((minute,))))
-            self.waiting.removeKey((minute,))
-            out = []
-            for us, _, action, level in events:
-                if action == "quit":
-                    done = True
-                elif action == "back":
-                    if pos > 0:
-                        pos, step = pos - 1, step + 1
-                        out.append((step, "retract", pos, None, None, us))
-                else:
-                    agreed = action == "agree"
-                    step += 1
-                    out.append((step, "answer", pos, agreed, None if agreed else level, us))
-                    pos += 1
-                    done = pos >= self.images
-                if done:
+        self.timer = 0
+        if not self.done:
+            for events in self._passed(passed):
+                changes = self._apply(sorted(events))
+                if changes:
+                    yield self._changes(key, changes)
+                if self.done:
                     break
-            if out:
-                yield self._changes(key, out)
-            if done:
-                self.waiting.clear()
+        if self.done:
+            self.small.clear()
+            self.minutes.clear()
+        elif self.timer:
+            self.handle.registerTimer(self.timer)
+        self._save()
+
+    def _passed(self, passed: int) -> Iterator[list]:
+        """Waiting events whose minute is over, in order; the next timer is set."""
+        if not self.by_minute:
+            if self.small.exists():
+                events = list(zip(*self.small.get()))
+                rest = [e for e in events if _minute_end(e) > passed]
+                if rest:
+                    self.timer = min(map(_minute_end, rest))
+                    self.small.update(_columns(rest))
+                else:
+                    self.small.clear()
+                yield [e for e in events if _minute_end(e) <= passed]
+            return
+        for end in sorted(k[0] for k in self.minutes.keys()):
+            if end > passed:
+                self.timer = end
+                return
+            events = list(zip(*self.minutes.getValue((end,))))
+            self.minutes.removeKey((end,))
+            yield events
+
+    def _apply(self, events: list) -> list[tuple]:
+        out = []
+        for us, _, action, level in events:
+            if action == "quit":
+                self.done = True
+            elif action == "back":
+                if self.pos > 0:
+                    self.pos, self.step = self.pos - 1, self.step + 1
+                    out.append((self.step, "retract", self.pos, None, None, us))
+            else:
+                agreed = action == "agree"
+                self.step += 1
+                out.append((self.step, "answer", self.pos, agreed, None if agreed else level, us))
+                self.pos += 1
+                self.done = self.pos >= self.images
+            if self.done:
                 break
-        self.walk.update((pos, step, done, 0))
+        return out
 
     @staticmethod
     def _changes(key, rows) -> pd.DataFrame:
@@ -141,6 +182,14 @@ class FoldReviews(StatefulProcessor):
         pass
 
 
+def _minute_end(event: tuple) -> int:
+    return event[0] // 1000 // MINUTE_MS * MINUTE_MS + MINUTE_MS
+
+
+def _columns(events: list) -> tuple:
+    return tuple(list(column) for column in zip(*events))
+
+
 def fold_reviews_stream(events: DataFrame, images: int = 12, late: str = "15 minutes") -> DataFrame:
     """Changes to the standing answers: ``answer``, ``retract``, or a ``late`` event.
 
