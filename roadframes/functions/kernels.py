@@ -17,21 +17,42 @@ TAN_LOW, TAN_HIGH, TAN_SCALE = 41421, 241421, 100000
 
 
 def to_bytes(stack: np.ndarray, wrap: bool = False) -> np.ndarray:
-    """8-bit values of ``(n, values)``; frames whose maximum is at most 1 are stretched."""
-    values = stack.astype(np.float64)
-    unit = values.max(axis=1, keepdims=True) <= 1.0
-    values = np.trunc(np.where(unit, values * 255.0, values))
+    """8-bit values; frames whose maximum is at most 1 are stretched to 0..255."""
+    unit = stack.max(axis=(1, 2, 3), keepdims=True) <= 1.0
+    values = stack.astype(np.float64) * np.where(unit, 255.0, 1.0) if unit.any() else stack
     if wrap:
-        return np.mod(values, 256.0).astype(np.int32)
+        return np.mod(np.trunc(values), 256.0).astype(np.int32)
     return np.clip(values, 0.0, 255.0).astype(np.int32)
 
 
-def denormalised(stack: np.ndarray, mean, std) -> np.ndarray:
+def channel_sums(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sums of squares of R, G and B, as ``(n, 3)``; one channel stands for all."""
+    total = stack.sum(axis=(1, 2), dtype=np.int64)
+    squares = np.square(stack).sum(axis=(1, 2), dtype=np.int64)
+    if stack.shape[3] == 1:
+        return np.repeat(total, 3, axis=1), np.repeat(squares, 3, axis=1)
+    return total[:, :3], squares[:, :3]
+
+
+def minmax(stack: np.ndarray) -> np.ndarray:
+    """Each frame from its smallest value at 0 to its largest at 1; a constant one is 0."""
+    values = stack.astype(np.float64)
+    low = values.min(axis=(1, 2, 3), keepdims=True)
+    width = values.max(axis=(1, 2, 3), keepdims=True) - low
+    return np.where(width == 0, 0.0, (values - low) / np.where(width == 0, 1.0, width))
+
+
+def rgb(stack: np.ndarray) -> np.ndarray:
+    """Three channels: one is replicated, a fourth is dropped."""
+    return np.repeat(stack, 3, axis=3) if stack.shape[3] == 1 else stack[..., :3]
+
+
+def denormalised(stack: np.ndarray, mean: tuple, std: tuple) -> np.ndarray:
     """Normalised ``(n, height, width, channels)`` values back to 0..1."""
-    return np.clip(stack * np.asarray(std) + np.asarray(mean), 0.0, 1.0).astype(np.float32)
+    return np.clip(stack.astype(np.float64) * np.asarray(std) + np.asarray(mean), 0.0, 1.0).astype(np.float32)
 
 
-def normalised(stack: np.ndarray, mean, std) -> np.ndarray:
+def normalised(stack: np.ndarray, mean: tuple, std: tuple) -> np.ndarray:
     """8-bit ``(n, height, width, channels)`` values, scaled to 0..1 and normalised."""
     return (stack.astype(np.float64) / 255.0 - np.asarray(mean)) / np.asarray(std)
 
@@ -51,8 +72,9 @@ def edge_map(img: np.ndarray, low: int, high: int) -> np.ndarray:
     gx = rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]
     cols = p[:, 2:, :] - p[:, :-2, :]
     gy = cols[:, :, :-2] + 2 * cols[:, :, 1:-1] + cols[:, :, 2:]
-    ax, ay = np.abs(gx).astype(np.int64), np.abs(gy).astype(np.int64)
-    mag = (ax + ay).astype(np.int32)
+    # gradients of 8-bit values stay below 1021, so the products below fit 32 bits
+    ax, ay = np.abs(gx), np.abs(gy)
+    mag = ax + ay
 
     m = np.pad(mag, ((0, 0), (1, 1), (1, 1)))
 
@@ -61,7 +83,7 @@ def edge_map(img: np.ndarray, low: int, high: int) -> np.ndarray:
 
     flat = ay * TAN_SCALE < ax * TAN_LOW
     steep = ay * TAN_SCALE > ax * TAN_HIGH
-    falling = gx.astype(np.int64) * gy >= 0
+    falling = gx * gy >= 0
     peak = np.where(
         flat, (mag > at(0, -1)) & (mag >= at(0, 1)),
         np.where(

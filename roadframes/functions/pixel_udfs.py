@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ COUNT_NAMES = [
 ]
 
 
-def _stacks(pixels, height, width, channels, layout):
+def _stacks(pixels, height, width, channels, layout, scored: bool = False):
     """Yield ``(row numbers, (n, h, w, c) values)`` for the usable frames of a batch.
 
-    Frames are grouped by shape, and groups are cut by pixel count. A NULL layout
-    is guessed: channels first when the first axis could be the three channels.
+    Frames are grouped by shape, and groups are cut by pixel count. A frame is usable
+    when its values fit its shape; to be ``scored`` they must also be finite, in one,
+    three or four channels. A NULL layout is guessed: channels first when the first
+    axis could be the three channels.
     """
     counts = np.asarray(pixels.value_lengths().fill_null(0), dtype=np.int64)
     starts = np.asarray(pixels.offsets, dtype=np.int64)[:-1]
@@ -38,8 +41,10 @@ def _stacks(pixels, height, width, channels, layout):
     has_null = flat.null_count > 0
     values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan) if has_null else flat)
     h, w, c = (np.asarray(x.cast(pa.int64()).fill_null(0)) for x in (height, width, channels))
-    first = np.array([_channels_first(x, c[i], h[i]) for i, x in enumerate(layout.to_pylist())], dtype=bool)
-    usable = (h > 0) & (w > 0) & np.isin(c, (1, 3, 4)) & (counts == h * w * c)
+    first = np.array([_channels_first(x, c[i]) for i, x in enumerate(layout.to_pylist())], dtype=bool)
+    usable = (h > 0) & (w > 0) & (c > 0) & (counts == h * w * c)
+    if scored:
+        usable &= np.isin(c, (1, 3, 4))
     shapes = np.stack([h, w, c, first], axis=1)
     for shape in np.unique(shapes[usable], axis=0):
         rows = np.flatnonzero(usable & (shapes == shape).all(axis=1))
@@ -53,20 +58,62 @@ def _stacks(pixels, height, width, channels, layout):
                 block = values[at[0]:at[0] + len(at) * size].reshape(-1, size)
             else:
                 block = values[at[:, None] + np.arange(size)]
-            good = np.isfinite(block).all(axis=1)
-            some, block = some[good], block[good]
+            if scored:
+                good = np.isfinite(block).all(axis=1)
+                some, block = some[good], block[good]
             if len(some):
                 if chw:
                     block = block.reshape(-1, sc, sh, sw).transpose(0, 2, 3, 1)
                 yield some, block.reshape(-1, sh, sw, sc)
 
 
-def _channels_first(layout, channels, height) -> bool:
+def _lists(n: int, parts: list, kind: pa.DataType) -> pa.Array:
+    """One list per row from ``(row numbers, (rows, values))`` parts; other rows are NULL."""
+    lengths = np.zeros(n, dtype=np.int64)
+    for rows, block in parts:
+        lengths[rows] = block.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    values = np.empty(offsets[-1], dtype=kind.to_pandas_dtype())
+    for rows, block in parts:
+        if rows[-1] - rows[0] + 1 == len(rows):
+            values[offsets[rows[0]]:offsets[rows[-1] + 1]] = block.ravel()
+        else:
+            values[offsets[rows][:, None] + np.arange(block.shape[1])] = block
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(values, kind), mask=pa.array(lengths == 0))
+
+
+def _channels_first(layout, channels) -> bool:
     if layout is None:
         return bool(channels == 3)
     return layout == "CHW"
 
 
+def pixel_udf(kernel: Callable[[np.ndarray], np.ndarray], layout: str | None = None, whole: bool = False):
+    """New pixels of each frame from ``kernel`` on ``(n, h, w, c)`` stacks.
+
+    The result is in ``layout`` order, or in each frame's own order for None. With
+    ``whole`` the values are integers and frames that cannot be scored are NULL.
+    """
+    kind = pa.int32() if whole else pa.float32()
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType() if whole else T.FloatType()))
+    def new_pixels(
+        pixels: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, stated: pa.Array
+    ) -> pa.Array:
+        parts = []
+        for rows, block in _stacks(pixels, height, width, channels, stated, scored=whole):
+            first = int(rows[0])
+            stays = _channels_first(stated[first].as_py(), channels[first].as_py())
+            out = kernel(block)
+            if layout == "CHW" or (layout is None and stays):
+                out = out.transpose(0, 3, 1, 2)
+            parts.append((rows, np.ascontiguousarray(out).reshape(len(rows), -1)))
+        return _lists(len(pixels), parts, kind)
+
+    return new_pixels
+
+
 def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None):
     """Integer counts of one pass over the pixels: edges, size, sums, channel sums.
 
@@ -81,23 +128,20 @@ def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal:
         n = len(pixels)
         valid = np.zeros(n, dtype=bool)
         out = np.zeros((len(COUNT_NAMES), n), dtype=np.int64)
-        for rows, block in _stacks(pixels, height, width, channels, layout):
+        for rows, block in _stacks(pixels, height, width, channels, layout, scored=True):
             shape = block.shape
             if normal:
-                block = kernels.denormalised(block.astype(np.float64), *normal)
-            rgb = kernels.to_bytes(block.reshape(len(rows), -1), wrap).reshape(shape)
+                block = kernels.denormalised(block, *normal)
+            rgb = kernels.to_bytes(block, wrap)
             g = kernels.gray(rgb)
             edges = kernels.edge_map(g, edge_threshold, 2 * edge_threshold)
             valid[rows] = True
             out[0, rows] = shape[1] * shape[2]
             out[1, rows] = edges.sum(axis=(1, 2))
-            wide = g.astype(np.int64)
-            out[2, rows] = wide.sum(axis=(1, 2))
-            out[3, rows] = (wide * wide).sum(axis=(1, 2))
-            wide = np.repeat(rgb, 3, axis=3) if shape[3] == 1 else rgb[..., :3]
-            wide = wide.astype(np.int64)
-            out[4:7, rows] = wide.sum(axis=(1, 2)).T
-            out[7:10, rows] = (wide * wide).sum(axis=(1, 2)).T
+            out[2, rows] = g.sum(axis=(1, 2), dtype=np.int64)
+            out[3, rows] = np.square(g).sum(axis=(1, 2), dtype=np.int64)
+            total, squares = kernels.channel_sums(rgb)
+            out[4:7, rows], out[7:10, rows] = total.T, squares.T
         reason = pa.array(np.where(valid, None, FAILED), pa.string())
         return pa.StructArray.from_arrays(
             [pa.array(valid), reason, *(pa.array(v) for v in out)], ["valid", "reason", *COUNT_NAMES])
@@ -105,29 +149,6 @@ def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal:
     return frame_counts
 
 
-def resize_udf(height: int, width: int, normal: tuple | None = None):
-    """Bilinear resize; the result is in height, width, channel order, NULL on failure.
-
-    With ``normal``, a (mean, std), the result is normalised and channels first.
-    """
-
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def resized(
-        pixels: pa.Array, h: pa.Array, w: pa.Array, channels: pa.Array, layout: pa.Array
-    ) -> pa.Array:
-        out: list = [None] * len(pixels)
-        for rows, block in _stacks(pixels, h, w, channels, layout):
-            block = kernels.resize(block, height, width).astype(np.float32)
-            if normal:
-                block = kernels.normalised(block, *normal).astype(np.float32).transpose(0, 3, 1, 2)
-            flat = block.reshape(len(rows), -1)
-            for i, row in enumerate(rows):
-                out[row] = flat[i]
-        return pa.array(out, pa.list_(pa.float32()))
-
-    return resized
-
-
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def image_pixels(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
     """Image bytes (BGR order) to R, G, B values; gray is replicated, alpha dropped."""

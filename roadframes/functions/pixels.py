@@ -1,23 +1,19 @@
-"""Pixel-array expressions on frame columns, all inside the JVM.
+"""Pixel-array expressions that cut and do not compute; they stay inside the JVM.
 
 A frame is a flat ``pixels`` array with ``height``, ``width``, ``channels`` and
-``layout`` (``HWC`` or ``CHW``) beside it. Whatever is the same for all values of a
-frame is bound once per frame by ``let``; inside a lambda it would be worked out
-again for every value.
+``layout`` (``HWC`` or ``CHW``) beside it. Work on single values is done by the
+Arrow kernels: a lambda is interpreted, and costs several times as much per value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Pixels = Callable[[Column], Column]
-
-
-def let(value: Column, body: Pixels) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, not for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -27,104 +23,9 @@ def layout_or_guess() -> Column:
     return F.coalesce(F.col("layout"), guess)
 
 
-def _plane() -> Column:
-    return F.col("height") * F.col("width")
-
-
-def _by_channel(
-    pixels: Column, first: Sequence[float], second: Sequence[float], fn: Callable[[Column, Column, Column], Column]
-) -> Column:
-    """Apply ``fn(value, a, b)`` with the two numbers of the value's channel.
-
-    Channels first: whole planes, one channel after the other. Channels last: the
-    channel changes from value to value.
-    """
-    pairs = F.array(*[
-        F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in zip(first, second)])
-
-    def planes(px: Column) -> Column:
-        def one(pair: Column, i: Column) -> Column:
-            return let(F.slice(px, i * _plane() + 1, _plane()), lambda plane: F.transform(
-                plane, lambda v: fn(v.cast("double"), pair["a"], pair["b"])))
-
-        return F.flatten(F.transform(F.slice(pairs, F.lit(1), F.col("channels")), one))
-
-    def spread(px: Column) -> Column:
-        return let(pairs, lambda p: F.transform(px, lambda v, i: let(
-            F.get(p, i % F.col("channels")), lambda pair: fn(v.cast("double"), pair["a"], pair["b"]))))
-
-    return let(pixels, lambda px: F.when(layout_or_guess() == "CHW", planes(px)).otherwise(spread(px)))
-
-
-def denormalised(pixels: Column, mean: Sequence[float], std: Sequence[float]) -> Column:
-    return _by_channel(
-        pixels, mean, std,
-        lambda v, m, s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v * s + m)).cast("float"))
-
-
-def normalised(pixels: Column, mean: Sequence[float], std: Sequence[float]) -> Column:
-    return _by_channel(pixels, mean, std, lambda v, m, s: ((v / 255.0 - m) / s).cast("float"))
-
-
-def minmax_scaled(pixels: Column) -> Column:
-    """From the frame's smallest value at 0 to its largest at 1; a constant frame is 0."""
-    def scaled(px: Column) -> Column:
-        low = F.array_min(px).cast("double")
-        ends = F.struct(low.alias("low"), (F.array_max(px).cast("double") - low).alias("width"))
-        return let(ends, lambda e: F.transform(px, lambda v: F.coalesce(
-            F.try_divide(v.cast("double") - e["low"], e["width"]), F.lit(0.0)).cast("float")))
-
-    return let(pixels, scaled)
-
-
-def as_bytes(pixels: Column, overflow: str = "clamp") -> Column:
-    """8-bit values: times 255 when the frame's maximum is at most 1, truncated."""
-    def one(v: Column, factor: Column) -> Column:
-        whole = (v.cast("double") * factor).cast("bigint")
-        if overflow == "wrap":
-            return F.pmod(whole, F.lit(256)).cast("int")
-        return F.greatest(F.lit(0), F.least(F.lit(255), whole)).cast("int")
-
-    def stretched(px: Column) -> Column:
-        factor = F.when(F.array_max(px) <= 1, 255.0).otherwise(1.0)
-        return let(factor, lambda f: F.transform(px, lambda v: one(v, f)))
-
-    return let(pixels, stretched)
-
-
-def hwc_order(pixels: Column) -> Column:
-    """Channels-first values, channels last: the planes zipped pixel by pixel."""
-    c = F.col("channels")
-    return let(pixels, lambda px: let(_plane(), lambda plane: F.flatten(F.transform(
-        F.sequence(F.lit(0), plane - 1),
-        lambda k: F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.get(px, j * plane + k))))))
-
-
-def chw_order(pixels: Column) -> Column:
-    """Channels-last values, channels first: one plane per channel."""
-    c = F.col("channels")
-    return let(pixels, lambda px: F.flatten(F.transform(
-        F.sequence(F.lit(0), c - 1),
-        lambda j: F.transform(F.sequence(F.lit(0), _plane() - 1), lambda k: F.get(px, k * c + j)))))
-
-
 def region(pixels: Column, x: int, y: int, w: int, h: int) -> Column:
     """Rows ``y..y+h-1`` and columns ``x..x+w-1`` of channels-last pixels."""
     c, width = F.col("channels"), F.col("width")
     return let(pixels, lambda px: F.flatten(F.transform(
         F.sequence(F.lit(y), F.lit(y + h - 1)),
         lambda r: F.slice(px, (r * width + F.lit(x)) * c + 1, F.lit(w) * c))))
-
-
-def gray_values(rgb: Column) -> Column:
-    """Integer luma of channels-last 8-bit pixels; one channel passes through."""
-    c = F.col("channels")
-
-    def luma(px: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), _plane() - 1),
-            lambda k: F.floor((
-                F.get(px, k * c) * 299 + F.get(px, k * c + 1) * 587 + F.get(px, k * c + 2) * 114 + 500
-            ) / 1000).cast("int"))
-
-    return let(rgb, lambda px: F.when(c == 1, px.cast("array<int>")).otherwise(luma(px)))

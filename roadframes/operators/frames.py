@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadframes.functions import pixel_udfs, pixels
+from roadframes.functions import kernels, pixel_udfs, pixels
 from roadframes.schemas import IMAGENET_MEAN, IMAGENET_STD
 
 
@@ -27,15 +27,14 @@ def to_rgb(df: DataFrame) -> DataFrame:
         rgb.alias("pixels"))
 
 
+def _kernel(df: DataFrame, udf) -> DataFrame:
+    return df.withColumn("pixels", udf(*pixel_udfs.pixel_columns()))
+
+
 def gray_to_rgb(df: DataFrame) -> DataFrame:
     """Array form of ``to_rgb``: one channel is replicated, a fourth one dropped."""
-    px, c = F.col("pixels"), F.col("channels")
-    plane = F.col("height") * F.col("width")
-    replicated = F.flatten(F.transform(px, lambda v: F.array_repeat(v, 3)))
-    opaque = F.flatten(F.transform(F.sequence(F.lit(0), plane - 1), lambda k: F.slice(px, k * 4 + 1, 3)))
-    return df.withColumns({
-        "pixels": F.when(c == 1, replicated).when(c == 4, opaque).otherwise(px),
-        "channels": F.lit(3)})
+    return _kernel(df, pixel_udfs.pixel_udf(kernels.rgb, "HWC")).withColumns(
+        {"channels": F.lit(3), "layout": F.lit("HWC")})
 
 
 def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
@@ -58,46 +57,44 @@ def _check_region(w: int, h: int) -> None:
 
 
 def resize(df: DataFrame, size: int = 224) -> DataFrame:
-    """Bilinear resize to ``size`` by ``size``; the result is channels last."""
-    return df.withColumn("pixels", pixel_udfs.resize_udf(size, size)(*pixel_udfs.pixel_columns())).withColumns(
-        {"height": F.lit(size), "width": F.lit(size), "layout": F.lit("HWC")})
+    """Bilinear resize to ``size`` by ``size``."""
+    udf = pixel_udfs.pixel_udf(lambda stack: kernels.resize(stack, size, size))
+    return _kernel(df, udf).withColumns({"height": F.lit(size), "width": F.lit(size)})
 
 
 def normalise(
     df: DataFrame, mean: Sequence[float] = IMAGENET_MEAN, std: Sequence[float] = IMAGENET_STD
 ) -> DataFrame:
-    return df.withColumn("pixels", pixels.normalised(F.col("pixels"), mean, std))
+    return _kernel(df, pixel_udfs.pixel_udf(lambda stack: kernels.normalised(stack, tuple(mean), tuple(std))))
 
 
 def to_tensor(
     df: DataFrame, size: int = 224, mean: Sequence[float] = IMAGENET_MEAN, std: Sequence[float] = IMAGENET_STD
 ) -> DataFrame:
     """Resize, rescale, normalise, channels first: one pass over the pixels."""
-    tensor = pixel_udfs.resize_udf(size, size, (tuple(mean), tuple(std)))
-    return df.withColumn("pixels", tensor(*pixel_udfs.pixel_columns())).withColumns(
+    def tensor(stack):
+        return kernels.normalised(kernels.resize(stack, size, size), tuple(mean), tuple(std))
+
+    return _kernel(df, pixel_udfs.pixel_udf(tensor, "CHW")).withColumns(
         {"height": F.lit(size), "width": F.lit(size), "layout": F.lit("CHW")})
 
 
 def denormalise(
     df: DataFrame, mean: Sequence[float] = IMAGENET_MEAN, std: Sequence[float] = IMAGENET_STD
 ) -> DataFrame:
-    return df.withColumn("pixels", pixels.denormalised(F.col("pixels"), mean, std))
+    return _kernel(df, pixel_udfs.pixel_udf(lambda stack: kernels.denormalised(stack, tuple(mean), tuple(std))))
 
 
 def minmax_scale(df: DataFrame) -> DataFrame:
-    return df.withColumn("pixels", pixels.minmax_scaled(F.col("pixels")))
+    return _kernel(df, pixel_udfs.pixel_udf(kernels.minmax))
 
 
 def to_hwc(df: DataFrame) -> DataFrame:
-    layout, px = pixels.layout_or_guess(), F.col("pixels")
-    return df.withColumn("pixels", F.when(layout == "CHW", pixels.hwc_order(px)).otherwise(px)).withColumn(
-        "layout", F.lit("HWC"))
+    return _kernel(df, pixel_udfs.pixel_udf(lambda stack: stack, "HWC")).withColumn("layout", F.lit("HWC"))
 
 
 def to_chw(df: DataFrame) -> DataFrame:
-    layout, px = pixels.layout_or_guess(), F.col("pixels")
-    return df.withColumn("pixels", F.when(layout == "HWC", pixels.chw_order(px)).otherwise(px)).withColumn(
-        "layout", F.lit("CHW"))
+    return _kernel(df, pixel_udfs.pixel_udf(lambda stack: stack, "CHW")).withColumn("layout", F.lit("CHW"))
 
 
 def unbatch(df: DataFrame, shape: str = "shape") -> DataFrame:
@@ -117,12 +114,16 @@ def unbatch(df: DataFrame, shape: str = "shape") -> DataFrame:
 def to_uint8(df: DataFrame, overflow: str = "clamp") -> DataFrame:
     if overflow not in ("clamp", "wrap"):
         raise ValueError("overflow is clamp or wrap")
-    return df.withColumn("pixels", pixels.as_bytes(F.col("pixels"), overflow))
+    wrap = overflow == "wrap"
+    return _kernel(df, pixel_udfs.pixel_udf(lambda stack: kernels.to_bytes(stack, wrap), whole=True))
 
 
 def gray(df: DataFrame) -> DataFrame:
-    """One gray value per pixel from channels-last 8-bit frames."""
-    return df.withColumn("pixels", pixels.gray_values(F.col("pixels"))).withColumn("channels", F.lit(1))
+    """One gray value per pixel of 8-bit frames."""
+    def luma(stack):
+        return kernels.gray(stack.astype("int32"))[..., None]
+
+    return _kernel(df, pixel_udfs.pixel_udf(luma, whole=True)).withColumn("channels", F.lit(1))
 
 
 def constant_label(df: DataFrame, value: int = 0) -> DataFrame:
