@@ -227,7 +227,10 @@ def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hou
     event and the number of its session are scanned in time blocks, so one
     reviewer's long history is spread over many tasks.
     """
-    blocked = events.withColumn("_block", F.window("ts", block)["start"])
+    # events of one moment belong together; counted first, their order is unique
+    moments = events.groupBy("reviewer", "ts").agg(
+        F.count("*").alias("_total"), F.count_if("was_correct").alias("_correct"))
+    blocked = moments.withColumn("_block", F.window("ts", block)["start"])
     pause = F.expr(f"interval {gap}")
     paused = running(
         blocked, ["reviewer"], "_block", ["ts"], {"_before": ("max", "ts")}, exclusive=True
@@ -235,4 +238,4 @@ def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hou
     numbered = running(paused, ["reviewer"], "_block", ["ts"], {"_session": ("sum", "_opens")})
     return numbered.groupBy("reviewer", "_session").agg(
         F.min("ts").alias("started_at"), (F.max("ts") + pause).alias("ends_at"),
-        F.count("*").alias("total"), F.count_if("was_correct").alias("correct")).drop("_session")
+        F.sum("_total").alias("total"), F.sum("_correct").alias("correct")).drop("_session")

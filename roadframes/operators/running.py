@@ -30,7 +30,8 @@ def running(
 
     ``values`` maps an output name to ``(aggregate, column)``; the aggregates are
     sum, count, min and max. ``block`` must not fall as ``order`` rises. With
-    ``exclusive`` the current row is left out. Keys and block must not be NULL.
+    ``exclusive`` the current row is left out. ``order`` must be unique inside a group;
+    keys and block must not be NULL.
     """
     group = [*keys, block]
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(
