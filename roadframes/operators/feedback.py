@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframes.operators.metrics import rescore
-from roadframes.operators.running import running
 from roadframes.schemas import LEARNER_THRESHOLDS, SCORER_DEFAULTS
 
 # What each key of the review prompt means.
@@ -34,8 +33,9 @@ def fold_reviews(events: DataFrame, images: int = 12, block: str = "1 hour") ->
     image. A session ends at the first quit, or when all images have an answer.
 
     The position is a walk that cannot fall below 0: the running sum of the moves
-    less its running minimum. Both are scanned in time blocks, so the hours of one
-    very long session are worked on apart.
+    less its running minimum. It is scanned in time blocks, so the hours of one very
+    long session are worked on apart. Whether a session ends inside a block follows
+    from the block's totals, so later blocks are dropped before their rows are placed.
     """
     ev = events.withColumns({
         "_block": F.window("ts", block)["start"], "_step": step_of(F.col("action"))})
@@ -45,18 +45,21 @@ def fold_reviews(events: DataFrame, images: int = 12, block: str = "1 hour") ->
 
     local = ev.withColumn("_sum", F.sum("_step").over(inside)).withColumn("_low", F.min("_sum").over(inside))
     blocks = local.groupBy("session", "_block").agg(
-        F.sum("_step").alias("_moves"), F.min("_sum").alias("_lowest"))
-    carried = blocks.withColumn("_from", F.coalesce(F.sum("_moves").over(across), F.lit(0))).select(
-        "session", "_block", "_from",
-        F.least(F.lit(0), F.min(F.col("_from") + F.col("_lowest")).over(across)).alias("_floor"))
-    position = F.col("_from") + F.col("_sum") - F.least(F.col("_floor"), F.col("_from") + F.col("_low"))
-    placed = local.join(carried, ["session", "_block"]).select(
+        F.sum("_step").alias("_moves"), F.min("_sum").alias("_lowest"), F.max("_sum").alias("_highest"),
+        F.max(F.col("_sum") - F.col("_low")).alias("_climb"), F.count_if(F.col("action") == "quit").alias("_quits"))
+    # position = max(from + sum - floor, sum - low), with from and floor known per block
+    carried = blocks.withColumn("_from", F.coalesce(F.sum("_moves").over(across), F.lit(0))).withColumn(
+        "_floor", F.least(F.lit(0), F.min(F.col("_from") + F.col("_lowest")).over(across)))
+    reached = F.greatest(F.col("_from") + F.col("_highest") - F.col("_floor"), F.col("_climb"))
+    open_blocks = carried.withColumn("_ends", ((F.col("_quits") > 0) | (reached >= images)).cast("int")).withColumn(
+        "_over", F.max("_ends").over(across)).where("_over is null or _over = 0").select(
+        "session", "_block", "_from", "_floor")
+    position = F.greatest(F.col("_from") + F.col("_sum") - F.col("_floor"), F.col("_sum") - F.col("_low"))
+    placed = local.join(open_blocks, ["session", "_block"]).select(
         *ev.columns, position.cast("bigint").alias("_pos"))
-
     ends = F.when((F.col("action") == "quit") | (F.col("_pos") >= images), 1)
-    live = running(
-        placed.withColumn("_end", ends), ["session"], "_block", ["ts", "seq"],
-        {"_ended": ("count", "_end")}, exclusive=True).where("_ended = 0")
+    before = Window.partitionBy("session", "_block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    live = placed.withColumn("_ended", F.count(ends).over(before)).where("_ended = 0")
 
     # Per session and position: what its last event was. A session has at most images + 1
     # positions, so everything after this count is small, however many moves were made.
@@ -203,6 +206,7 @@ def learn_params(reviews: DataFrame, lr: float = 0.1, floor: float = 0.1, keep_t
 def relearn_and_rescore(metrics: DataFrame, reviews: DataFrame, **options) -> DataFrame:
     """Learn from the reviews, score every frame again, compare with the reviewers.
 
+    ``metrics`` and ``reviews`` are read more than once: pass stored tables of scores.
     One row: the new parameters, and the share of reviewed frames on whose level
     the reviewers agree before and after. ``reviews`` carries ``frame_id``.
     """
@@ -229,13 +233,25 @@ def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hou
     """
     # events of one moment belong together; counted first, their order is unique
     moments = events.groupBy("reviewer", "ts").agg(
-        F.count("*").alias("_total"), F.count_if("was_correct").alias("_correct"))
-    blocked = moments.withColumn("_block", F.window("ts", block)["start"])
+        F.count("*").alias("_total"), F.count_if("was_correct").alias("_correct")
+    ).withColumn("_block", F.window("ts", block)["start"])
     pause = F.expr(f"interval {gap}")
-    paused = running(
-        blocked, ["reviewer"], "_block", ["ts"], {"_before": ("max", "ts")}, exclusive=True
-    ).withColumn("_opens", (F.col("_before").isNull() | (F.col("ts") > F.col("_before") + pause)).cast("int"))
-    numbered = running(paused, ["reviewer"], "_block", ["ts"], {"_session": ("sum", "_opens")})
-    return numbered.groupBy("reviewer", "_session").agg(
+    inside = Window.partitionBy("reviewer", "_block").orderBy("ts")
+    across = Window.partitionBy("reviewer").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    # pauses inside a block; the pause before its first event follows from earlier blocks
+    local = moments.withColumn(
+        "_opens", F.coalesce((F.col("ts") > F.lag("ts").over(inside) + pause).cast("int"), F.lit(0)))
+    blocks = local.groupBy("reviewer", "_block").agg(
+        F.sum("_opens").alias("_opened"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    before = F.max("_last").over(across)
+    opened = blocks.withColumn(
+        "_first_opens", F.coalesce((F.col("_first") > before + pause).cast("int"), F.lit(1)))
+    carried = opened.select("reviewer", "_block", (
+        F.coalesce(F.sum(F.col("_opened") + F.col("_first_opens")).over(across), F.lit(0)) + F.col("_first_opens")
+    ).alias("_base"))
+    so_far = F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = local.withColumn("_so_far", so_far).join(carried, ["reviewer", "_block"])
+    return numbered.groupBy("reviewer", (F.col("_base") + F.col("_so_far")).alias("_session")).agg(
         F.min("ts").alias("started_at"), (F.max("ts") + pause).alias("ends_at"),
         F.sum("_total").alias("total"), F.sum("_correct").alias("correct")).drop("_session")

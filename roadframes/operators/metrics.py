@@ -41,16 +41,18 @@ def merge_params(params: DataFrame, update: DataFrame) -> DataFrame:
 
 
 def frame_counts(
-    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
+    keep_pixels: bool = False,
 ) -> DataFrame:
     """Replace the pixels by the counts all scores need.
 
     For normalised tensors pass their (mean, std) as ``normal``: they are
-    denormalised in the same pass.
+    denormalised in the same pass. With ``keep_pixels`` the pixels stay beside the
+    counts, which spares a join where both are wanted.
     """
     counted = frames.withColumn("_c", frame_counts_udf(edge_threshold, overflow, normal)(*pixel_columns()))
     return counted.select(
-        *[c for c in frames.columns if c != "pixels"],
+        *[c for c in frames.columns if keep_pixels or c != "pixels"],
         "_c.valid", "_c.reason", *[f"_c.{name}" for name in COUNT_NAMES])
 
 
@@ -86,10 +88,11 @@ def with_params(metrics: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def base_metrics(
-    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
+    keep_pixels: bool = False,
 ) -> DataFrame:
     """Everything that depends on pixels; store this, and re-score it as often as needed."""
-    counts = congestion(density(edge_density(frame_counts(frames, edge_threshold, overflow, normal))))
+    counts = congestion(density(edge_density(frame_counts(frames, edge_threshold, overflow, normal, keep_pixels))))
     return counts.withColumn("flow_rate", F.col("edge_density"))
 
 
@@ -103,14 +106,15 @@ def rescore(metrics: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def analyze(
-    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None, **params
+    frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
+    keep_pixels: bool = False, **params,
 ) -> DataFrame:
     """All scores of each frame; a frame that cannot be read is kept with zeros and a reason.
 
     Weights and thresholds are plan-time values here, so this also works on a stream.
     """
     values = {**SCORER_DEFAULTS, **params}
-    base = base_metrics(frames, edge_threshold, overflow, normal)
+    base = base_metrics(frames, edge_threshold, overflow, normal, keep_pixels)
     scored = base.withColumn("traffic_score", scoring.traffic_score(
         F.lit(float(values["density_weight"])), F.lit(float(values["congestion_weight"]))))
     thresholds = F.array(*[F.lit(float(t)) for t in values["thresholds"]])
@@ -119,7 +123,11 @@ def analyze(
 
 
 def attach_params(frames: DataFrame, metrics: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Frames with their scores, one to one by id."""
+    """Frames with their scores, one to one by id.
+
+    This moves pixels to meet stored scores; when scoring anyway, ``analyze`` with
+    ``keep_pixels`` gives the same rows without a join.
+    """
     new = [c for c in metrics.columns if c == key or c not in frames.columns]
     return frames.join(metrics.select(*new), key)
 

@@ -68,8 +68,8 @@ def seeded_hash(key: str | Column, seed: int = 0) -> Column:
 
 
 def hash_block(digest: Column, hex_digits: int = 3) -> Column:
-    """Leading hex digits as a number: 4,096 even blocks that follow the hash order."""
-    return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("int")
+    """Leading hex digits: 4,096 even blocks that follow the hash order."""
+    return F.substring(digest, 1, hex_digits)
 
 
 def global_rank(df: DataFrame, key: str = "frame_id", seed: int = 0, rank: str = "rn") -> DataFrame:

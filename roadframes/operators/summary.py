@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframes.operators.running import running
@@ -22,44 +22,48 @@ def with_bounds(df: DataFrame, value: str) -> DataFrame:
     return df.join(F.broadcast(bounds))
 
 
-def _binned(value: str, bins: int) -> tuple[Column, Column, Column]:
-    """Lower bound, upper bound and bin of a value between ``lo`` and ``hi``.
+def _filled(counts: DataFrame, keys: Sequence[str], place: str, last: Column | None = None) -> DataFrame:
+    """Rows with count 0 for the places between 0 and the last one that have no row.
 
-    Constant input is widened by a half on both sides; the last bin is closed.
+    Each row also yields the empty places before it, and the group's final row those
+    up to ``last``. ``counts`` has one small row per key and place.
     """
-    flat = F.col("lo") == F.col("hi")
-    low = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double"))
-    high = F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi").cast("double"))
-    index = F.floor(F.try_divide(F.col(value) - low, high - low) * bins)
-    return low, high, F.least(F.lit(bins - 1), index).cast("int")
+    order = Window.partitionBy(*keys).orderBy(place)
+    after = F.lead(place).over(order)
+    up_to = F.col(place) if last is None else F.when(after.isNull(), last).otherwise(F.col(place))
+    spread = counts.withColumn("_first", F.coalesce(F.lag(place).over(order) + 1, F.lit(0))).withColumn("_upto", up_to)
+    return spread.withColumn("_place", F.explode(F.sequence("_first", "_upto"))).withColumn(
+        "rows", F.when(F.col("_place") == F.col(place), F.col("rows")).otherwise(0)
+    ).drop(place, "_first", "_upto").withColumnRenamed("_place", place)
 
 
 def histograms(df: DataFrame, values: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width histograms of several columns: one row per metric and bin, empty bins too.
 
-    Bounds and bins are partial aggregates, so one small row per metric and bin is
-    shuffled and nothing is collected.
+    Two passes: bounds, then counts. Both are partial aggregates, so one small row per
+    metric and bin is shuffled and nothing is collected. Constant input is widened by
+    a half on both sides; the last bin is closed.
     """
     ranges = df.agg(*[
         F.struct(F.min(v).cast("double").alias("lo"), F.max(v).cast("double").alias("hi")).alias(v) for v in values])
+    flat = F.col("lo") == F.col("hi")
     # one row per metric
     bounds = ranges.select(F.inline(F.array(*[
         F.struct(F.lit(v).alias("metric"), F.col(f"{v}.lo").alias("lo"), F.col(f"{v}.hi").alias("hi"))
-        for v in values])))
+        for v in values]))).select(
+            "metric", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])))
-    low, high, index = _binned("value", bins)
+    index = F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
     counts = long.where("value is not null").join(F.broadcast(bounds), "metric").groupBy(
-        "metric", index.alias("bin")).agg(F.count("*").alias("rows"))
-    width = (high - low) / bins
-    edges = bounds.where("lo is not null").select(
-        "metric", low.alias("_low"), width.alias("_width"),
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return edges.join(counts, ["metric", "bin"], "left").select(
+        "metric", "lo", "hi", F.least(F.lit(bins - 1), index).cast("int").alias("bin")
+    ).agg(F.count("*").alias("rows"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return _filled(counts, ["metric", "lo", "hi"], "bin", F.lit(bins - 1)).select(
         "metric", "bin",
-        (F.col("_low") + F.col("bin") * F.col("_width")).alias("bin_start"),
-        (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("bin_end"),
-        F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
+        (F.col("lo") + F.col("bin") * width).alias("bin_start"),
+        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"), "rows")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
@@ -74,9 +78,7 @@ def distributions(metrics: DataFrame, bins: int = 30) -> DataFrame:
 def level_counts(df: DataFrame, level: str = "traffic_level") -> DataFrame:
     """Rows per level from 0 to the highest one seen, zeros included."""
     counts = df.groupBy(F.col(level).cast("int").alias("level")).agg(F.count("*").alias("rows"))
-    top = counts.agg(F.max("level").alias("top")).where("top is not null")
-    levels = top.select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
-    return levels.join(counts, "level", "left").select("level", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
+    return _filled(counts.where("level >= 0"), [], "level")
 
 
 def batch_outcomes(df: DataFrame, valid: str = "valid") -> DataFrame:

@@ -191,13 +191,13 @@ def histogram_constant(spark: SparkSession, sf: str) -> DataFrame:
     for i, m in enumerate(summary.METRICS)) + " " + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, * FROM h_{i}" for i, m in enumerate(summary.METRICS)))
 def distributions(spark: SparkSession, sf: str) -> DataFrame:
-    return _bins(summary.distributions(st.scored(spark, sf)), "metric")
+    return _bins(summary.distributions(st.stored_scores(spark, sf)), "metric")
 
 
 @query(tw.SCORED + """, b AS (SELECT min(density) AS lo, max(density) AS hi FROM metrics)
 SELECT frame_id, round(lo, 6) AS lo, round(hi, 6) AS hi FROM metrics, b""")
 def with_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.with_bounds(st.scored(spark, sf), "density").select("frame_id", r6("lo", "lo"), r6("hi", "hi"))
+    return summary.with_bounds(st.stored_scores(spark, sf), "density").select("frame_id", r6("lo", "lo"), r6("hi", "hi"))
 
 
 @query("""SELECT o_custkey // 50 AS batch_id, count(*) FILTER (o_orderstatus <> 'F') AS successful,

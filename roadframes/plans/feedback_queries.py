@@ -102,7 +102,7 @@ SELECT round(wd, 6) AS density_weight, round(wc, 6) AS congestion_weight, CAST(5
   printf('%.6f %.6f %.6f', t1, t2, t3) AS thresholds, n AS reviewed, a AS agreed_before, b AS agreed_after,
   round(CAST(a AS DOUBLE) / n, 6) AS accuracy_before, round(CAST(b AS DOUBLE) / n, 6) AS accuracy_after FROM learnt, checked""")
 def relearn_and_rescore(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = st.scored(spark, sf)
+    metrics = st.stored_scores(spark, sf)
     out = fb.relearn_and_rescore(metrics, st.as_reviews(metrics))
     return out.select(
         r6("density_weight", "density_weight"), r6("congestion_weight", "congestion_weight"), "edge_threshold",
@@ -114,7 +114,7 @@ def relearn_and_rescore(spark: SparkSession, sf: str) -> DataFrame:
 @query(tw.REVIEWS + f""", {LEARNT}
 SELECT frame_id, {tw.level('(wd * density + wc * congestion)', ['t1', 't2', 't3'])} AS traffic_level FROM metrics, learnt""")
 def rescored_levels(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = st.scored(spark, sf)
+    metrics = st.stored_scores(spark, sf)
     return mt.rescore(metrics, fb.learn_params(st.as_reviews(metrics))).select("frame_id", "traffic_level")
 
 

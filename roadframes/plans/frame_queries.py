@@ -171,8 +171,8 @@ def label_by_source(spark: SparkSession, sf: str) -> DataFrame:
   round(CAST(CAST(congestion AS FLOAT) AS DOUBLE), 6) AS congestion, round(CAST(CAST(flow_rate AS FLOAT) AS DOUBLE), 6) AS flow_rate,
   CAST(traffic_level AS BIGINT) AS traffic_level, CAST(64 AS INTEGER) AS image_values FROM metrics""")
 def model_sample(spark: SparkSession, sf: str) -> DataFrame:
-    frames = st.gray_frames(spark, sf)
-    sample = fr.model_sample(mt.attach_params(frames, st.scored(spark, sf)))
+    """Pixels and scores of each frame from one pass, in training types."""
+    sample = fr.model_sample(mt.analyze(st.gray_frames(spark, sf), 100, keep_pixels=True))
     return sample.select(
         "frame_id", *[r6(F.col(c).cast("double"), c) for c in ("density", "congestion", "flow_rate")],
         "traffic_level", F.size("image").alias("image_values"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadframes.operators.metrics import analyze
+from roadframes.session import materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,6 +50,11 @@ def scored(spark: SparkSession, sf: str, edge_threshold: int = 100) -> DataFrame
     return analyze(gray_frames(spark, sf), edge_threshold)
 
 
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores as a stored table: what reads them twice does not read pixels twice."""
+    return materialise(scored(spark, sf), "scores")
+
+
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Every scored frame reviewed once; the reviewer's level comes from the label."""
     return as_reviews(scored(spark, sf))

@@ -25,7 +25,8 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
-    sc.run_to_table(stream, f"{path}/out", f"{path}/checkpoint")
+    with sr.stream_settings(spark):
+        sc.run_to_table(stream, f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -91,9 +92,7 @@ def fold_reviews_stream(spark: SparkSession, sf: str) -> DataFrame:
     log = events.select(
         F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), action.alias("action"),
         (st.k() % 5).alias("level"))
-    with sr.rocksdb_state(spark):
-        changes = _run(spark, sr.fold_reviews_stream(log), "fold-reviews")
-    return sr.standing_answers(changes)
+    return sr.standing_answers(_run(spark, sr.fold_reviews_stream(log), "fold-reviews"))
 
 
 @query(tw.REVIEWS + f""", {fq.LEARNT} SELECT round(wd, 6) AS density_weight, round(wc, 6) AS congestion_weight,

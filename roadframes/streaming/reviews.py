@@ -21,15 +21,26 @@ MINUTE_MS = 60_000
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Stateful Python operators need the RocksDB state store, set when a query starts."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+def stream_settings(spark: SparkSession):
+    """Settings a stateful query takes when it starts.
+
+    State lives in RocksDB, on disk, as stateful Python operators need; sessions are
+    merged inside each task before they are shuffled.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def review_sessions_stream(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
@@ -193,7 +204,7 @@ def _columns(events: list) -> tuple:
 def fold_reviews_stream(events: DataFrame, images: int = 12, late: str = "15 minutes") -> DataFrame:
     """Changes to the standing answers: ``answer``, ``retract``, or a ``late`` event.
 
-    ``events`` as for the batch fold. Run it inside ``rocksdb_state``; the changes
+    ``events`` as for the batch fold. Run it inside ``stream_settings``; the changes
     of a session carry rising step numbers, see ``standing_answers``.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -26,8 +26,7 @@ def test_running_equals_a_plain_window(rows, exclusive):
     got = rn.running(rows, ["key"], "block", ["at", "id"], values, exclusive)
     w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     want = rows.select("*", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"), F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"))
-    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) if not exclusive else (
-        {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()})
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()}
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])

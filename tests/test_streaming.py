@@ -33,7 +33,7 @@ class Feed:
 
     def run(self):
         stream = self.build(self.spark.readStream.schema(self.schema).options(**self.options).parquet(str(self.dir / "in")))
-        with sr.rocksdb_state(self.spark):
+        with sr.stream_settings(self.spark):
             sc.run_to_table(stream, str(self.dir / "out"), str(self.dir / "checkpoint"))
         return self.spark.read.schema(stream.schema).parquet(str(self.dir / "out"))
 
