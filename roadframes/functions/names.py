@@ -27,6 +27,13 @@ def parse_capture_name(path: Column) -> Column:
         F.try_to_timestamp(stamp, F.lit(TIME_FORMAT)).cast("timestamp_ntz").alias("captured_at"))
 
 
+def capture_name(camera: Column, at: Column, time_first: bool = False, extension: str = ".jpg") -> Column:
+    """File name of a capture by either convention."""
+    stamp = F.date_format(at, TIME_FORMAT)
+    parts = (stamp, camera) if time_first else (camera, stamp)
+    return F.concat(F.concat_ws("_", *parts), F.lit(extension))
+
+
 def cropped_name(path: Column) -> Column:
     """File name of the crop: the name without its extension, plus ``_cropped.jpg``."""
     return F.concat(F.regexp_replace(file_name(path), r"[.][^.]*$", ""), F.lit("_cropped.jpg"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadframes.functions.pixels import layout_or_guess
-
-CHECK = "name string, passed boolean, detail string"
+from roadframes.operators.running import beside
 
 
 def holds_tensors(df: DataFrame) -> tuple[bool, str]:
@@ -16,12 +15,17 @@ def holds_tensors(df: DataFrame) -> tuple[bool, str]:
     return "image_url" not in df.columns and bool({"pixels", "pixel_values"} & set(df.columns)), kinds
 
 
+def _check(name: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail"))
+
+
 def verify_frames(df: DataFrame, expected_shape: tuple[int, int, int] | None = None) -> DataFrame:
     """Column kinds, size, shapes and value range over all frames, in one pass."""
     tensors, kinds = holds_tensors(df)
     if not tensors:
-        row = df.limit(0).agg(F.count("*").alias("rows"))
-        return row.select(F.lit("tensors").alias("name"), F.lit(False).alias("passed"), F.lit(kinds).alias("detail"))
+        return df.agg(F.count("*").alias("rows")).select(F.inline(F.array(
+            _check("tensors", F.lit(False), F.lit(kinds)),
+            _check("size", F.col("rows") > 0, F.format_string("%d frames", "rows")))))
     channels_first = layout_or_guess() == "CHW"
     c, h, w = F.col("channels"), F.col("height"), F.col("width")
     shape = F.when(channels_first, F.concat_ws("x", c, h, w)).otherwise(F.concat_ws("x", h, w, c))
@@ -35,22 +39,19 @@ def verify_frames(df: DataFrame, expected_shape: tuple[int, int, int] | None = N
         F.count_if(F.exists("pixels", lambda v: v.isNull() | F.isnan(v))).alias("unreadable"),
         F.min(F.array_min("pixels")).alias("low"), F.max(F.array_max("pixels")).alias("high"))
 
-    def check(name, passed, detail):
-        return F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail"))
-
     return facts.select(F.inline(F.array(
-        check("tensors", F.lit(True), F.lit(kinds)),
-        check("size", F.col("rows") > 0, F.format_string("%d frames", "rows")),
-        check("shape", (F.col("misshapen") == 0) & (F.col("first") == F.col("last")),
+        _check("tensors", F.lit(True), F.lit(kinds)),
+        _check("size", F.col("rows") > 0, F.format_string("%d frames", "rows")),
+        _check("shape", (F.col("misshapen") == 0) & (F.col("first") == F.col("last")),
               F.format_string("%s to %s, %d misshapen", "first", "last", "misshapen")),
-        check("range", F.col("unreadable") == 0,
+        _check("range", F.col("unreadable") == 0,
               F.format_string("[%.3f, %.3f], %d unreadable", F.col("low").cast("double"), F.col("high").cast("double"), F.col("unreadable"))))))
 
 
 def verify_stored(written: DataFrame, read_back: DataFrame) -> DataFrame:
     """Whether as many rows come back as were written."""
     a, b = written.agg(F.count("*").alias("a")), read_back.agg(F.count("*").alias("b"))
-    return a.join(F.broadcast(b)).select(
+    return beside(a, b).select(
         F.lit("read back").alias("name"), (F.col("a") == F.col("b")).alias("passed"),
         F.format_string("%d written, %d read", "a", "b").alias("detail"))
 

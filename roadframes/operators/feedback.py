@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframes.operators.metrics import rescore
+from roadframes.operators.running import beside
 from roadframes.schemas import LEARNER_THRESHOLDS, SCORER_DEFAULTS
 
 # What each key of the review prompt means.
@@ -220,7 +221,7 @@ def relearn_and_rescore(metrics: DataFrame, reviews: DataFrame, **options) -> Da
     def share(name: str) -> Column:
         return F.coalesce(F.try_divide(F.col(name).cast("double"), "reviewed"), F.lit(0.0))
 
-    return params.join(F.broadcast(checked)).select(
+    return beside(params, checked).select(
         "*", share("agreed_before").alias("accuracy_before"), share("agreed_after").alias("accuracy_after"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadframes.functions import scoring
 from roadframes.functions.pixel_udfs import COUNT_NAMES, frame_counts_udf, pixel_columns
+from roadframes.operators.running import beside
 from roadframes.schemas import PARAMS, SCORER_DEFAULTS
 
 SCORE_COLUMNS = ["edge_density", "density", "congestion", "flow_rate", "traffic_score", "traffic_level"]
@@ -36,7 +37,7 @@ def update_params(
 def merge_params(params: DataFrame, update: DataFrame) -> DataFrame:
     """Update one row of parameters by another; NULL keeps the old value."""
     new = update.select(*[F.col(f.name).alias(f"_{f.name}") for f in PARAMS])
-    return params.crossJoin(F.broadcast(new)).select(*[
+    return beside(params, new).select(*[
         F.coalesce(F.col(f"_{f.name}"), F.col(f.name)).alias(f.name) for f in PARAMS])
 
 
@@ -84,7 +85,7 @@ def traffic_score(metrics: DataFrame, params: DataFrame) -> DataFrame:
 
 def with_params(metrics: DataFrame, params: DataFrame) -> DataFrame:
     """Put the one row of parameters beside every row."""
-    return metrics.join(F.broadcast(params))
+    return beside(metrics, params)
 
 
 def base_metrics(

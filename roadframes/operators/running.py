@@ -18,6 +18,16 @@ from roadframes.session import materialise
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table beside every row.
+
+    The row is a scalar subquery: worked out once, then a constant in the plan of
+    ``df``. More than one row is an error, none gives NULLs.
+    """
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.select("*", *[row[name].alias(name) for name in one.columns])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadframes.operators.running import (
-    before_cut, global_rank, hash_cuts, ordered_rank, seeded_hash, small_side)
+    before_cut, beside, global_rank, hash_cuts, ordered_rank, seeded_hash, small_side)
 
 
 def order_by_path(df: DataFrame, path: str = "origin") -> DataFrame:
@@ -25,7 +25,7 @@ def subset(df: DataFrame, n: int | None, seed: int = 0, key: str = "frame_id") -
     if not n:
         return df
     cut = hash_cuts(df, key, seed, {"_last": F.least(F.lit(n), F.col("n"))})
-    return df.join(F.broadcast(cut)).where(before_cut(key, seed, "_last")).drop("_last")
+    return beside(df, cut).where(before_cut(key, seed, "_last")).select(df.columns)
 
 
 def sample_k(df: DataFrame, k: int = 5, seed: int = 0, key: str = "frame_id") -> DataFrame:
@@ -53,7 +53,7 @@ def split_exact(
     n_train, n_val = F.floor(F.col("n") * train / 100), F.floor(F.col("n") * val / 100)
     cuts = hash_cuts(df, key, seed, {"_train": n_train, "_val": n_train + n_val})
     split = F.when(before_cut(key, seed, "_train"), "train").when(before_cut(key, seed, "_val"), "val").otherwise("test")
-    return df.join(F.broadcast(cuts)).withColumn("split", split).drop("_train", "_val")
+    return beside(df, cuts).withColumn("split", split).select(*df.columns, "split")
 
 
 def split_by_source(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadframes.operators.running import running
+from roadframes.operators.running import beside, running
 
 METRICS = ["density", "congestion", "flow_rate", "traffic_level"]
 
@@ -18,8 +18,7 @@ def split_sizes(df: DataFrame) -> DataFrame:
 
 def with_bounds(df: DataFrame, value: str) -> DataFrame:
     """Put the smallest and largest value beside every row."""
-    bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return df.join(F.broadcast(bounds))
+    return beside(df, df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
 
 
 def _filled(counts: DataFrame, keys: Sequence[str], place: str, last: Column | None = None) -> DataFrame:

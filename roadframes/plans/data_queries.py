@@ -141,6 +141,15 @@ def verify_frames(spark: SparkSession, sf: str) -> DataFrame:
     return checks.verify_frames(st.tensor_frames(spark, sf), (3, 8, 8))
 
 
+@query("""SELECT unnest(['tensors', 'size']) AS name, unnest([false, true]) AS passed,
+  unnest(['frame_id: bigint, image_url: array<float>', printf('%d frames', count(*))]) AS detail FROM embeddings""")
+def verify_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """A dataset that still holds raw images fails its check."""
+    raw = st.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("frame_id"), F.col("embedding").alias("image_url"))
+    return checks.verify_frames(raw)
+
+
 @query(f"""WITH {tw.TENSOR} SELECT count(*) AS frames, CAST(min(list_min(px)) AS FLOAT) AS min_value,
   CAST(max(list_max(px)) AS FLOAT) AS max_value, CAST(1 AS BIGINT) AS shapes FROM tensor""")
 def range_and_shape(spark: SparkSession, sf: str) -> DataFrame:

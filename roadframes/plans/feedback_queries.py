@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadframes.operators import feedback as fb
 from roadframes.operators import metrics as mt
+from roadframes.operators.running import beside
 from roadframes.plans import standins as st
 from roadframes.plans import twins as tw
 from roadframes.plans.registry import query, r6
@@ -121,7 +122,7 @@ def rescored_levels(spark: SparkSession, sf: str) -> DataFrame:
 def shown_frame(folded: DataFrame, frames: DataFrame) -> DataFrame:
     """Which frame each session saw as which image: twelve in a row, from a start of its own."""
     total = frames.agg(F.count("*").alias("_frames"))
-    return folded.join(F.broadcast(total)).withColumn(
+    return beside(folded, total).withColumn(
         "frame_id", (F.col("session") * 12 + F.col("image_index")) % F.col("_frames")).drop("_frames")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadframes.functions.names import capture_name
 from roadframes.functions.names import parse_capture_name as parsed_name
 from roadframes.operators import checks
 from roadframes.operators import feedback as fb
@@ -50,6 +51,17 @@ def scan_images(spark: SparkSession, sf: str) -> DataFrame:
         _id_in_name("origin").alias("frame_id"), "height", "width", "stored_channels", weighed().alias("checksum"))
 
 
+@query(f"""WITH {tw.RGB}, h AS (SELECT frame_id, list_transform(range(192), lambda k: px[(k % 3) * 64 + k // 3 + 1]) AS px FROM rgb)
+SELECT frame_id, CAST(3 AS INTEGER) AS channels, 'HWC' AS layout, {W.format('px')} AS checksum FROM h""")
+def to_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    """Colour images through files: red first again, though images are stored blue first."""
+    folder = scratch_path(spark, "colour")
+    df = fr.to_hwc(st.rgb_frames(spark, sf)).withColumn("name", F.format_string("cam_%07d.png", "frame_id"))
+    im.write_image_files(df, folder)
+    return fr.to_rgb(im.scan_images(spark, folder)).select(
+        _id_in_name("origin").alias("frame_id"), "channels", "layout", weighed().alias("checksum"))
+
+
 @query("""SELECT vec_id AS frame_id, 'cannot decode image' AS reason FROM embeddings WHERE label = 9""")
 def image_rejects(spark: SparkSession, sf: str) -> DataFrame:
     _, rejects = im.image_rejects(im.scan_images(spark, image_folder(spark, sf)))
@@ -129,33 +141,33 @@ def _sessions(spark: SparkSession, sf: str) -> DataFrame:
         "timestamp": F.lit("20240101_000000"), "session_duration": F.col("session").cast("double") / 2})
 
 
-def feedback_folder(spark: SparkSession, sf: str) -> str:
-    """Session files one folder deep, beside files that must be skipped or not seen."""
-    path = scratch_path(spark, "feedback")
-    fs.write_feedback(_sessions(spark, sf), path, one_file_each=True)
-    odd = st.table(spark, sf, "nation")
-    name = odd.columns[0]
-    odd = odd.select(F.col(name).cast("string").alias("k"))
-    write_files(odd.select(F.concat(F.lit("odd"), "k", F.lit("/feedback_bad.json")).alias("name"), F.lit('{"feedback": [').alias("content")), path)
-    write_files(odd.select(F.concat(F.lit("odd"), "k", F.lit("/feedback_none.json")).alias("name"), F.lit('{"timestamp": "x"}').alias("content")), path)
-    write_files(odd.select(F.concat(F.lit("odd"), "k", F.lit("/deep/feedback_far.json")).alias("name"), F.lit('{"feedback": []}').alias("content")), path)
-    write_files(odd.select(F.concat(F.lit("odd"), "k", F.lit("/notes.json")).alias("name"), F.lit('{"feedback": []}').alias("content")), path)
-    return path
-
-
 @query(fq.ENTRIES + """ SELECT image_index, model_prediction, user_correction, was_correct, count(*) AS n,
   round(sum(density), 6) AS density, round(sum(congestion), 6) AS congestion FROM entries GROUP BY ALL""")
 def scan_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Session files written one by one, found again, flattened to entries."""
-    sessions, _ = fs.scan_feedback(spark, feedback_folder(spark, sf))
+    path = scratch_path(spark, "feedback")
+    fs.write_feedback(_sessions(spark, sf), path, one_file_each=True)
+    sessions, _ = fs.scan_feedback(spark, path)
     return fb.flatten_feedback(sessions).groupBy("image_index", "model_prediction", "user_correction", "was_correct").agg(
         F.count("*").alias("n"), F.round(F.sum("density"), 6).alias("density"), F.round(F.sum("congestion"), 6).alias("congestion"))
 
 
-@query("SELECT unnest(['malformed', 'no feedback']) AS reason, count(*) AS files FROM nation")
+KIND = "s_nationkey % 5"
+
+
+@query(f"""SELECT CASE {KIND} WHEN 0 THEN 'malformed' WHEN 1 THEN 'no feedback' ELSE 'read' END AS outcome, count(*) AS files
+FROM supplier WHERE {KIND} <= 2 GROUP BY 1""")
 def feedback_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    _, rejects = fs.scan_feedback(spark, feedback_folder(spark, sf))
-    return rejects.groupBy("reason").agg(F.count("*").alias("files"))
+    """One file per supplier: some broken, some without entries, some in the wrong place."""
+    kind = F.expr(KIND)
+    text = F.when(kind == 0, '{"feedback": [').when(kind == 1, '{"timestamp": "x"}').otherwise('{"feedback": []}')
+    name = F.when(kind == 3, "deep/feedback_far.json").when(kind == 4, "notes.json").otherwise("feedback_x.json")
+    path = scratch_path(spark, "feedback")
+    write_files(st.table(spark, sf, "supplier").select(
+        F.concat_ws("/", F.col("s_suppkey").cast("string"), name).alias("name"), text.alias("content")), path)
+    sessions, rejects = fs.scan_feedback(spark, path)
+    outcomes = rejects.select(F.col("reason").alias("outcome")).unionByName(sessions.select(F.lit("read").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("files"))
 
 
 @query(fq.ENTRIES + """ SELECT '20240101_000000' AS timestamp, count(*) AS total_images, count(*) FILTER (was_correct) AS correct_predictions,
@@ -191,8 +203,8 @@ def parse_capture_name(spark: SparkSession, sf: str) -> DataFrame:
 def camera_dim(spark: SparkSession, sf: str) -> DataFrame:
     """Captures joined with the cameras' pages by the camera in the file name."""
     camera = F.when(F.col("event_id") % 3 == 0, "US_50_AT_SANDY_POINT").otherwise("US_50_AT_EX23_MD2")
-    name = F.concat(camera, F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".jpg"))
-    named = st.table(spark, sf, "events").select(parsed_name(name)["camera"].alias("camera"))
+    named = st.table(spark, sf, "events").select(
+        parsed_name(capture_name(camera, F.col("ts")))["camera"].alias("camera"))
     return named.join(F.broadcast(im.camera_dim(spark)), "camera").groupBy("camera", "url").agg(F.count("*").alias("captures"))
 
 

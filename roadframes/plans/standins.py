@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadframes.functions.names import capture_name
 from roadframes.operators.metrics import analyze
 from roadframes.session import materialise
 
@@ -75,9 +76,9 @@ def k() -> Column:
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     """One capture per event, named by one convention or the other."""
-    stamp = F.date_format("ts", "yyyyMMdd_HHmmss")
-    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.col("event_type"), F.lit("_"), stamp, F.lit(".jpg"))).otherwise(
-        F.concat(stamp, F.lit("_"), F.col("event_type"), F.lit("_cropped.png")))
+    camera, at = F.col("event_type"), F.col("ts")
+    name = F.when(F.col("event_id") % 2 == 0, capture_name(camera, at)).otherwise(
+        capture_name(camera, at, time_first=True, extension="_cropped.png"))
     return table(spark, sf, "events").select(
         F.col("event_id").alias("capture_id"), F.col("event_type").alias("camera"),
         F.col("ts").alias("captured_at"), F.concat(F.lit("/captures/"), name).alias("path"))

@@ -78,11 +78,14 @@ def test_subset(rows, n, want):
     assert got.columns == df.columns and got.count() == got.select("frame_id").distinct().count() == want
 
 
-def test_subset_moves_no_wide_rows(rows):
-    """The filter on the wide rows sits on the scan side of a broadcast join."""
-    plan = sp.subset(rows.withColumnRenamed("id", "frame_id"), 10)._jdf.queryExecution().executedPlan().toString()
-    top = plan.split("BroadcastExchange")[0]
-    assert "BroadcastNestedLoopJoin" in top and "SortMergeJoin" not in top
+def test_labels_and_filters_move_no_wide_rows(rows):
+    """Above the scan of the wide rows there is a filter or projection, no join and no shuffle."""
+    df = rows.withColumnRenamed("id", "frame_id")
+    for out in (sp.subset(df, 10), sp.split_exact(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        own = [line for line in plan.splitlines() if not line.lstrip().startswith(":")]
+        before_scan = "\n".join(own).split("Subquery")[0]
+        assert "Subquery" in plan and "Join" not in before_scan and "Exchange" not in before_scan
 
 
 def test_groups_and_batches(rows):
