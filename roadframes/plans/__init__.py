@@ -1 +1 @@
-"""Composed jobs and the query catalogue."""
+"""Composed jobs, models and the query catalogue."""

@@ -114,9 +114,12 @@ def batches_in_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH ranked AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings)
-SELECT CAST((rn - 1) // 32 AS BIGINT) AS batch_id, list(vec_id ORDER BY vec_id) AS frame_ids, list(label ORDER BY vec_id) AS labels FROM ranked GROUP BY 1""")
+SELECT CAST((rn - 1) // 32 AS BIGINT) AS batch_id, string_agg(vec_id, ',' ORDER BY vec_id) AS frame_ids,
+  string_agg(label, ',' ORDER BY vec_id) AS labels FROM ranked GROUP BY 1""")
 def collate(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.collate(sampling.batches(st.gray_frames(spark, sf).select("frame_id", "label")))
+    batched = summary.collate(sampling.batches(st.gray_frames(spark, sf).select("frame_id", "label")))
+    return batched.withColumns({
+        c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("frame_ids", "labels")})
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -150,10 +153,11 @@ def verify_raw(spark: SparkSession, sf: str) -> DataFrame:
     return checks.verify_frames(raw)
 
 
-@query(f"""WITH {tw.TENSOR} SELECT count(*) AS frames, CAST(min(list_min(px)) AS FLOAT) AS min_value,
-  CAST(max(list_max(px)) AS FLOAT) AS max_value, CAST(1 AS BIGINT) AS shapes FROM tensor""")
+@query(f"""WITH {tw.TENSOR} SELECT count(*) AS frames, round(CAST(min(list_min(px)) AS DOUBLE), 6) AS min_value,
+  round(CAST(max(list_max(px)) AS DOUBLE), 6) AS max_value, CAST(1 AS BIGINT) AS shapes FROM tensor""")
 def range_and_shape(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.range_and_shape(st.tensor_frames(spark, sf))
+    found = summary.range_and_shape(st.tensor_frames(spark, sf))
+    return found.withColumns({c: r6(F.col(c).cast("double")) for c in ("min_value", "max_value")})
 
 
 # --- sets --------------------------------------------------------------------

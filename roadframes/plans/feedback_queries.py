@@ -21,17 +21,26 @@ t AS (SELECT {MEAN_AT.format(1, 0.2)} AS t1, {MEAN_AT.format(2, 0.4)} AS t2, {ME
 learnt AS (SELECT greatest(0.1, 1 + 0.1 * de) AS wd, greatest(0.1, 1 + 0.1 * ce) AS wc, t1, t2, t3 FROM errs, t)"""
 
 
-@query(f"WITH {tw.LOG}, {tw.folded()} SELECT * FROM folded")
+FOLDED = "SELECT * REPLACE (coalesce(corrected_level, -1) AS corrected_level) FROM folded"
+
+
+def no_level(folded: DataFrame) -> DataFrame:
+    """Show -1 where no level was corrected, so that results hold no NULLs."""
+    return folded.withColumn("corrected_level", F.coalesce("corrected_level", F.lit(-1)))
+
+
+@query(f"WITH {tw.LOG}, {tw.folded()} {FOLDED}")
 def fold_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return fb.fold_reviews(st.review_log(spark, sf))
+    return no_level(fb.fold_reviews(st.review_log(spark, sf)))
 
 
 @query(f"""SELECT CASE WHEN {tw.K} % 7 IN (0, 5) THEN 'agree' WHEN {tw.K} % 7 IN (1, 4) THEN 'disagree' WHEN {tw.K} % 7 = 2 THEN 'back'
-  WHEN {tw.K} % 7 = 3 THEN 'quit' END AS action, count(*) AS n FROM events GROUP BY 1""")
+  WHEN {tw.K} % 7 = 3 THEN 'quit' ELSE 'none' END AS action, count(*) AS n FROM events GROUP BY 1""")
 def key_actions(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.array(*map(F.lit, ("Y", "n", "B", "q", "0", "1", "x")))
     pressed = st.table(spark, sf, "events").select(F.get(keys, st.k() % 7).alias("key"))
-    return pressed.groupBy(fb.key_action(F.col("key")).alias("action")).agg(F.count("*").alias("n"))
+    action = F.coalesce(fb.key_action(F.col("key")), F.lit("none"))
+    return pressed.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
 @query(tw.REVIEWS + " SELECT frame_id, model_prediction, user_correction FROM reviews WHERE NOT was_correct")

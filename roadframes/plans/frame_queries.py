@@ -17,8 +17,6 @@ from roadframes.schemas import IMAGENET_MEAN, IMAGENET_STD
 
 W = "CAST(list_sum(list_transform({0}, lambda v, i: v * i)) AS BIGINT)"
 WF = "round(list_sum(list_transform({0}, lambda v, i: CAST(v AS DOUBLE) * i)), 3)"
-MEAN = "[0.485, 0.456, 0.406]"
-STD = "[0.229, 0.224, 0.225]"
 
 
 def _shown(df: DataFrame, *extra) -> DataFrame:
@@ -59,28 +57,14 @@ def crop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {tw.RGB}, h AS (SELECT frame_id, list_transform(range(192), lambda k: px[(k % 3) * 64 + k // 3 + 1]) AS px FROM rgb),
 x AS (SELECT frame_id, list_transform(range(192), lambda k: CAST((CAST(px[k + 1] AS DOUBLE) / 255
-  - {MEAN}[k % 3 + 1]) / {STD}[k % 3 + 1] AS FLOAT)) AS px FROM h)
+  - {tw.MEAN}[k % 3 + 1]) / {tw.STD}[k % 3 + 1] AS FLOAT)) AS px FROM h)
 SELECT frame_id, CAST(len(px) AS INTEGER) AS n, {WF.format('px')} AS checksum FROM x""")
 def normalise(spark: SparkSession, sf: str) -> DataFrame:
     df = fr.normalise(fr.to_hwc(st.rgb_frames(spark, sf)))
     return df.select("frame_id", F.size("pixels").alias("n"), weighed(digits=3).alias("checksum"))
 
 
-def _bilinear(size: int, out: int) -> str:
-    """Twin of the resize of a gray frame: four weighted taps per output pixel."""
-    def at(k: str) -> str:
-        return f"greatest(0.0, least({size - 1}.0, ({k} + 0.5) * {size} / {out} - 0.5))"
-
-    return f"""
-pos AS (SELECT k, CAST(floor(fy) AS INTEGER) AS y, CAST(floor(fx) AS INTEGER) AS x, fy - floor(fy) AS py, fx - floor(fx) AS px2
-  FROM (SELECT k, CAST({at(f'(k // {out})')} AS DOUBLE) AS fy, CAST({at(f'(k % {out})')} AS DOUBLE) AS fx FROM range({out * out}) AS t(k))),
-taps AS (SELECT frame_id, k,
-  (px[y * {size} + x + 1] * (1 - py) + px[least(y + 1, {size - 1}) * {size} + x + 1] * py) * (1 - px2)
-  + (px[y * {size} + least(x + 1, {size - 1}) + 1] * (1 - py) + px[least(y + 1, {size - 1}) * {size} + least(x + 1, {size - 1}) + 1] * py) * px2 AS v
-  FROM gray, pos)"""
-
-
-@query(f"""WITH {tw.GRAY}, {_bilinear(8, 12)}
+@query(f"""WITH {tw.GRAY}, {tw.bilinear(8, 12)}
 SELECT frame_id, CAST(count(*) AS INTEGER) AS n, round(sum(CAST(CAST(v AS FLOAT) AS DOUBLE) * (k + 1)), 1) AS checksum FROM taps GROUP BY frame_id""")
 def resize(spark: SparkSession, sf: str) -> DataFrame:
     df = fr.resize(st.gray_frames(spark, sf), 12)
@@ -89,9 +73,9 @@ def resize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {tw.RGB}, h AS (SELECT frame_id, list_transform(range(192), lambda k: px[(k % 3) * 64 + k // 3 + 1]) AS px FROM rgb),
 c AS (SELECT frame_id, ch, list_transform(range(64), lambda k: px[k * 3 + ch + 1]) AS px FROM h, range(3) AS t(ch)),
-gray AS (SELECT frame_id * 3 + ch AS frame_id, px FROM c), {_bilinear(8, 4)},
+gray AS (SELECT frame_id * 3 + ch AS frame_id, px FROM c), {tw.bilinear(8, 4)},
 n AS (SELECT frame_id // 3 AS id, frame_id % 3 AS ch, k, CAST((CAST(CAST(v AS FLOAT) AS DOUBLE) / 255
-  - {MEAN}[frame_id % 3 + 1]) / {STD}[frame_id % 3 + 1] AS FLOAT) AS v FROM taps)
+  - {tw.MEAN}[frame_id % 3 + 1]) / {tw.STD}[frame_id % 3 + 1] AS FLOAT) AS v FROM taps)
 SELECT id AS frame_id, 'CHW' AS layout, CAST(count(*) AS INTEGER) AS n,
   round(sum(CAST(v AS DOUBLE) * (ch * 16 + k + 1)), 2) AS checksum FROM n GROUP BY id""")
 def to_tensor(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +84,7 @@ def to_tensor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {tw.TENSOR}, x AS (SELECT frame_id, list_transform(px, lambda v, i: CAST(greatest(0.0, least(1.0,
-  CAST(v AS DOUBLE) * {STD}[(i - 1) // 64 + 1] + {MEAN}[(i - 1) // 64 + 1])) AS FLOAT)) AS px FROM tensor)
+  CAST(v AS DOUBLE) * {tw.STD}[(i - 1) // 64 + 1] + {tw.MEAN}[(i - 1) // 64 + 1])) AS FLOAT)) AS px FROM tensor)
 SELECT frame_id, CAST(len(px) AS INTEGER) AS n, {WF.format('px')} AS checksum,
   list_min(px) >= 0 AND list_max(px) <= 1 AS in_range FROM x""")
 def denormalise(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,15 +220,15 @@ def split_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {DAMAGED}, usable AS (SELECT frame_id, source, label, px FROM damaged WHERE reason IS NULL),
 {tw.metrics('usable', 50)}
-SELECT d.frame_id, d.reason IS NULL AS valid, CASE WHEN d.reason IS NULL THEN NULL ELSE 'Failed to process image' END AS reason,
+SELECT d.frame_id, d.reason IS NULL AS valid, CASE WHEN d.reason IS NULL THEN '' ELSE 'Failed to process image' END AS reason,
   round(coalesce(density, 0.0), 6) AS density, round(coalesce(congestion, 0.0), 6) AS congestion,
   round(coalesce(flow_rate, 0.0), 6) AS flow_rate, CAST(coalesce(traffic_level, 0) AS INTEGER) AS traffic_level
 FROM damaged d LEFT JOIN metrics m USING (frame_id)""")
 def analyze_damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Frames that cannot be read stay, with zeros and a reason."""
     return mt.analyze(_damaged(st.gray_frames(spark, sf))).select(
-        "frame_id", "valid", "reason", r6("density", "density"), r6("congestion", "congestion"),
-        r6("flow_rate", "flow_rate"), "traffic_level")
+        "frame_id", "valid", F.coalesce("reason", F.lit("")).alias("reason"), r6("density", "density"),
+        r6("congestion", "congestion"), r6("flow_rate", "flow_rate"), "traffic_level")
 
 
 @query(tw.SCORED + """ SELECT frame_id, label < 8 AS valid, CASE WHEN label < 8 THEN round(density, 6) ELSE 0.0 END AS density,
@@ -320,7 +304,7 @@ def analyze_rgb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {tw.TENSOR}, d AS (SELECT frame_id, source, label, list_transform(px, lambda v, i:
-  CAST(CAST(greatest(0.0, least(1.0, CAST(v AS DOUBLE) * {STD}[(i - 1) // 64 + 1] + {MEAN}[(i - 1) // 64 + 1])) AS FLOAT) AS DOUBLE)) AS px FROM tensor),
+  CAST(CAST(greatest(0.0, least(1.0, CAST(v AS DOUBLE) * {tw.STD}[(i - 1) // 64 + 1] + {tw.MEAN}[(i - 1) // 64 + 1])) AS FLOAT) AS DOUBLE)) AS px FROM tensor),
 rgb AS (SELECT frame_id, source, label, list_transform(px, lambda v: CAST(trunc(v * 255) AS INTEGER)) AS px FROM d),
 {tw.LUMA}, {tw.metrics('luma', 100)}""" + SCORES)
 def analyze_tensors(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from roadframes.operators import feedback as fb
 from roadframes.operators import frames as fr
 from roadframes.operators import metrics as mt
 from roadframes.plans import feedback_queries as fq
+from roadframes.plans import jobs
 from roadframes.plans import standins as st
 from roadframes.plans import twins as tw
 from roadframes.plans.registry import query, r6, weighed
@@ -77,6 +78,18 @@ def score_image_folder(spark: SparkSession, sf: str) -> DataFrame:
     return mt.analyze(frames, 100).select("frame_id", r6("density", "density"), r6("congestion", "congestion"), "traffic_level")
 
 
+@query(f"""WITH {tw.GRAY_ALL}, gray AS (SELECT * FROM gray_all WHERE label <> 9), {tw.bilinear(8, 4)},
+n AS (SELECT unnest({tw.MEAN}) AS mean, unnest({tw.STD}) AS std),
+v AS (SELECT CAST((v / 255 - mean) / std AS FLOAT) AS v FROM taps, n),
+f AS (SELECT count(*) // 48 AS n, min(v) AS lo, max(v) AS hi FROM v)
+SELECT unnest(['tensors', 'size', 'shape', 'range']) AS name, true AS passed, unnest([
+  'frame_id: bigint, source: string, height: int, width: int, channels: int, layout: string, pixels: array<float>, label: int',
+  printf('%d frames', n), '3x4x4 to 3x4x4, 0 misshapen', printf('[%.3f, %.3f], 0 unreadable', lo, hi)]) AS detail FROM f""")
+def prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Image files to a stored and checked tensor dataset."""
+    return jobs.prepare_dataset(spark, image_folder(spark, sf), scratch_path(spark, "dataset"), 4)[0]
+
+
 @query(f"""WITH {tw.GRAY}, x AS (SELECT frame_id, list_transform(range(20), lambda k: px[(2 + k // 4) * 8 + 3 + k % 4 + 1]) AS px FROM gray)
 SELECT printf('cam_%07d_cropped.jpg', frame_id) AS origin, CAST(len(px) AS INTEGER) AS n, {W.format('px')} AS checksum FROM x""")
 def write_crops(spark: SparkSession, sf: str) -> DataFrame:

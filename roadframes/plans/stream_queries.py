@@ -32,11 +32,11 @@ def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 @query(f"""WITH {tw.GRAY}, x AS (SELECT frame_id, flatten(list_transform(px, lambda v: [v, v, v])) AS px FROM gray WHERE label <> 9)
 SELECT frame_id, CAST(8 AS INTEGER) AS height, CAST(list_sum(list_transform(px, lambda v, i: v * i)) AS BIGINT) AS checksum FROM x
-UNION ALL SELECT vec_id, CAST(-1 AS INTEGER), NULL FROM embeddings WHERE label = 9""")
+UNION ALL SELECT vec_id, CAST(-1 AS INTEGER), CAST(0 AS BIGINT) FROM embeddings WHERE label = 9""")
 def stream_captures(spark: SparkSession, sf: str) -> DataFrame:
     """Image files read as a stream; files that are no images come with height -1."""
     images = sc.stream_captures(spark, sq.image_folder(spark, sf))
-    rows = to_rgb(images).select(sq._id_in_name("origin").alias("frame_id"), "height", weighed().alias("checksum"))
+    rows = to_rgb(images).select(sq._id_in_name("origin").alias("frame_id"), "height", F.coalesce(weighed(), F.lit(0)).alias("checksum"))
     return _run(spark, rows, "stream-captures")
 
 
@@ -84,7 +84,7 @@ def review_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {tw.LOG}, due AS (SELECT * FROM log
   WHERE time_bucket(INTERVAL '1 minute', ts) + INTERVAL '16 minutes' <= (SELECT max(ts) FROM events)), {tw.folded('due')}
-SELECT * FROM folded""")
+{fq.FOLDED}""")
 def fold_reviews_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Standing answers after the minutes the watermark has passed."""
     events = _event_stream(spark, sf)
@@ -92,7 +92,7 @@ def fold_reviews_stream(spark: SparkSession, sf: str) -> DataFrame:
     log = events.select(
         F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), action.alias("action"),
         (st.k() % 5).alias("level"))
-    return sr.standing_answers(_run(spark, sr.fold_reviews_stream(log), "fold-reviews"))
+    return fq.no_level(sr.standing_answers(_run(spark, sr.fold_reviews_stream(log), "fold-reviews")))
 
 
 @query(tw.REVIEWS + f""", {fq.LEARNT} SELECT round(wd, 6) AS density_weight, round(wc, 6) AS congestion_weight,

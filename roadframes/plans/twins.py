@@ -14,6 +14,10 @@ TENSOR = (
     f"tensor AS (SELECT vec_id AS frame_id, {SOURCE} AS source, label, list_concat(list_concat(embedding, "
     "list_transform(embedding, lambda v: -v)), list_reverse(embedding)) AS px FROM embeddings)")
 
+GRAY_ALL = GRAY.replace("gray AS", "gray_all AS")
+MEAN = "[0.485, 0.456, 0.406]"
+STD = "[0.229, 0.224, 0.225]"
+
 # gray values of the three-channel frames
 LUMA = (
     "luma AS (SELECT frame_id, source, label, list_transform(range(64), lambda k: "
@@ -48,6 +52,20 @@ edge AS (SELECT frame_id, r, c FROM kept WHERE m > {2 * threshold}
 edge_px AS (SELECT frame_id, count(*) AS edge_px FROM edge GROUP BY frame_id)"""
 
 
+def bilinear(size: int, out: int) -> str:
+    """Twin of the resize of a gray frame: four weighted taps per output pixel."""
+    def at(k: str) -> str:
+        return f"greatest(0.0, least({size - 1}.0, ({k} + 0.5) * {size} / {out} - 0.5))"
+
+    return f"""
+pos AS (SELECT k, CAST(floor(fy) AS INTEGER) AS y, CAST(floor(fx) AS INTEGER) AS x, fy - floor(fy) AS py, fx - floor(fx) AS px2
+  FROM (SELECT k, CAST({at(f'(k // {out})')} AS DOUBLE) AS fy, CAST({at(f'(k % {out})')} AS DOUBLE) AS fx FROM range({out * out}) AS t(k))),
+taps AS (SELECT frame_id, k,
+  (px[y * {size} + x + 1] * (1 - py) + px[least(y + 1, {size - 1}) * {size} + x + 1] * py) * (1 - px2)
+  + (px[y * {size} + least(x + 1, {size - 1}) + 1] * (1 - py) + px[least(y + 1, {size - 1}) * {size} + least(x + 1, {size - 1}) + 1] * py) * px2 AS v
+  FROM gray, pos)"""
+
+
 def level(score: str, thresholds: list[str]) -> str:
     hits = ", ".join(f"CASE WHEN round({score}, 9) > {t} THEN {i + 1} ELSE 0 END" for i, t in enumerate(thresholds))
     return f"CAST(greatest({hits}) AS INTEGER)"

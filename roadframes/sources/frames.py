@@ -12,7 +12,7 @@ from roadframes.schemas import FRAMES
 
 
 def scan_frames(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FRAMES).parquet(path)
+    return spark.read.schema(FRAMES).parquet(path).select(*FRAMES.names)
 
 
 def write_frames(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
