@@ -89,11 +89,12 @@ def _channels_first(layout, channels) -> bool:
     return layout == "CHW"
 
 
-def pixel_udf(kernel: Callable[[np.ndarray], np.ndarray], layout: str | None = None, whole: bool = False):
+def pixel_udf(kernel: Callable[[np.ndarray], np.ndarray | None], layout: str | None = None, whole: bool = False):
     """New pixels of each frame from ``kernel`` on ``(n, h, w, c)`` stacks.
 
-    The result is in ``layout`` order, or in each frame's own order for None. With
-    ``whole`` the values are integers and frames that cannot be scored are NULL.
+    The result is in ``layout`` order, or in each frame's own order for None. Where the
+    kernel gives None the pixels are NULL. With ``whole`` the values are integers and
+    frames that cannot be scored are NULL.
     """
     kind = pa.int32() if whole else pa.float32()
 
@@ -106,6 +107,8 @@ def pixel_udf(kernel: Callable[[np.ndarray], np.ndarray], layout: str | None = N
             first = int(rows[0])
             stays = _channels_first(stated[first].as_py(), channels[first].as_py())
             out = kernel(block)
+            if out is None:
+                continue
             if layout == "CHW" or (layout is None and stays):
                 out = out.transpose(0, 3, 1, 2)
             parts.append((rows, np.ascontiguousarray(out).reshape(len(rows), -1)))

@@ -1,31 +1,18 @@
-"""Pixel-array expressions that cut and do not compute; they stay inside the JVM.
+"""Shape expressions of frames.
 
 A frame is a flat ``pixels`` array with ``height``, ``width``, ``channels`` and
-``layout`` (``HWC`` or ``CHW``) beside it. Work on single values is done by the
-Arrow kernels: a lambda is interpreted, and costs several times as much per value.
+``layout`` (``HWC`` or ``CHW``) beside it. Work on the values is done by the Arrow
+kernels: a lambda over an array is interpreted, and costs several times as much per
+value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, not for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
 
 def layout_or_guess() -> Column:
     """The stated layout; where it is NULL, three channels are read as channels first."""
     guess = F.when(F.col("channels") == 3, F.lit("CHW")).otherwise(F.lit("HWC"))
     return F.coalesce(F.col("layout"), guess)
-
-
-def region(pixels: Column, x: int, y: int, w: int, h: int) -> Column:
-    """Rows ``y..y+h-1`` and columns ``x..x+w-1`` of channels-last pixels."""
-    c, width = F.col("channels"), F.col("width")
-    return let(pixels, lambda px: F.flatten(F.transform(
-        F.sequence(F.lit(y), F.lit(y + h - 1)),
-        lambda r: F.slice(px, (r * width + F.lit(x)) * c + 1, F.lit(w) * c))))

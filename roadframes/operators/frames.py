@@ -38,10 +38,17 @@ def gray_to_rgb(df: DataFrame) -> DataFrame:
 
 
 def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
-    """Cut one region out of channels-last frames; see ``crop_in_bounds`` for the filter."""
+    """Cut one region out of every frame; where it does not fit, the pixels become NULL.
+
+    ``crop_in_bounds`` finds those frames beforehand without touching pixels.
+    """
     _check_region(w, h)
-    return df.withColumn("pixels", pixels.region(F.col("pixels"), x, y, w, h)).withColumns(
-        {"height": F.lit(h), "width": F.lit(w)})
+
+    def cut(stack):
+        fits = y + h <= stack.shape[1] and x + w <= stack.shape[2]
+        return stack[:, y:y + h, x:x + w] if fits else None
+
+    return _kernel(df, pixel_udfs.pixel_udf(cut)).withColumns({"height": F.lit(h), "width": F.lit(w)})
 
 
 def crop_in_bounds(df: DataFrame, x: int, y: int, w: int, h: int) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +113,8 @@ def unbatch(df: DataFrame, shape: str = "shape") -> DataFrame:
     dims = F.col(shape)
     deep = F.size(dims) > 3
     rest = F.when(deep, F.slice(dims, 3, F.size(dims) - 2)).otherwise(dims)
-    length = F.aggregate(rest, F.lit(1), lambda a, n: a * n)
+    elements = F.get(dims, F.lit(0)) * F.get(dims, F.lit(1))
+    length = F.floor(F.try_divide(F.size("pixels"), elements)).cast("int")
     return df.withColumns({
         "pixels": F.when(deep, F.slice(F.col("pixels"), 1, length)).otherwise(F.col("pixels")), shape: rest})
 

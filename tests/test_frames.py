@@ -61,6 +61,9 @@ def test_crop_and_bounds(frames):
     kept, rejects = fr.crop_in_bounds(df, 1, 2, 4, 2)
     assert [r.frame_id for r in kept.collect()] == [0] and [r.frame_id for r in rejects.collect()] == [1]
     assert px(fr.crop(kept, 1, 2, 4, 2)) == [HWC[2:4, 1:5].ravel().tolist()]
+    assert px(fr.crop(rejects, 1, 2, 4, 2)) == [None]
+    first = frames((CHW.ravel(), 4, 5, 3, "CHW"))
+    assert px(fr.crop(first, 1, 2, 4, 2)) == [CHW[:, 2:4, 1:5].ravel().tolist()]
     with pytest.raises(ValueError):
         fr.crop(df, 0, 0, 0, 3)
 
