@@ -15,12 +15,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = """
-relearn_and_rescore analyze analyze_rgb level_counts distributions rescored_levels learn_params
+relearn_and_rescore analyze analyze_rgb analyze_tensors level_counts distributions rescored_levels learn_params
 fold_reviews review_entries session_metrics review_sessions
 global_rank ordered_rank subset split_exact split_by_source batches_shuffled batches_in_order collate
 histogram capture_gaps epoch_metrics running_metrics improvements
 to_hwc crop resize to_tensor denormalise to_uint8 gray
-write_chunks read_chunks write_frames scan_images score_image_folder scan_feedback parse_capture_name
+prepare_dataset write_chunks read_chunks write_frames scan_images score_image_folder scan_feedback parse_capture_name
 capture_slots review_sessions_stream score_stream fold_reviews_stream online_params
 frame_features source_classifier
 """.split()
