@@ -45,7 +45,9 @@ def verify_frames(df: DataFrame, expected_shape: tuple[int, int, int] | None = N
         _check("shape", (F.col("misshapen") == 0) & (F.col("first") == F.col("last")),
               F.format_string("%s to %s, %d misshapen", "first", "last", "misshapen")),
         _check("range", F.col("unreadable") == 0,
-              F.format_string("[%.3f, %.3f], %d unreadable", F.col("low").cast("double"), F.col("high").cast("double"), F.col("unreadable"))))))
+              F.format_string(
+                  "[%.3f, %.3f], %d unreadable", F.col("low").cast("double"), F.col("high").cast("double"),
+                  F.col("unreadable"))))))
 
 
 def verify_stored(written: DataFrame, read_back: DataFrame) -> DataFrame:

@@ -221,8 +221,9 @@ def relearn_and_rescore(metrics: DataFrame, reviews: DataFrame, **options) -> Da
     def share(name: str) -> Column:
         return F.coalesce(F.try_divide(F.col(name).cast("double"), "reviewed"), F.lit(0.0))
 
-    return beside(params, checked).select(
-        "*", share("agreed_before").alias("accuracy_before"), share("agreed_after").alias("accuracy_after"))
+    return beside(checked, params).select(
+        *params.columns, *checked.columns,
+        share("agreed_before").alias("accuracy_before"), share("agreed_after").alias("accuracy_after"))
 
 
 def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hours") -> DataFrame:

@@ -40,9 +40,12 @@ def global_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rank_all(_orders(spark, sf).select("frame_id"), "frame_id", seed=7)
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem""")
+LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"SELECT {LINE_KEY}, row_number() OVER (ORDER BY {LINE_KEY}) AS rn FROM lineitem")
 def ordered_rank(spark: SparkSession, sf: str) -> DataFrame:
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    order = LINE_KEY.split(", ")
     return rank_in_order(st.table(spark, sf, "lineitem").select(*order), order)
 
 
@@ -163,7 +166,8 @@ def range_and_shape(spark: SparkSession, sf: str) -> DataFrame:
 # --- sets --------------------------------------------------------------------
 
 
-@query(f"WITH {tw.GRAY} SELECT source, CAST(CASE source WHEN 'src_a' THEN 0 ELSE 1 END AS INTEGER) AS label, count(*) AS n, CAST(sum(frame_id) AS BIGINT) AS ids FROM gray GROUP BY 1, 2")
+@query(f"""WITH {tw.GRAY} SELECT source, CAST(CASE source WHEN 'src_a' THEN 0 ELSE 1 END AS INTEGER) AS label,
+  count(*) AS n, CAST(sum(frame_id) AS BIGINT) AS ids FROM gray GROUP BY 1, 2""")
 def concat_sources(spark: SparkSession, sf: str) -> DataFrame:
     df = st.gray_frames(spark, sf)
     both = union_sources(
@@ -174,12 +178,15 @@ def concat_sources(spark: SparkSession, sf: str) -> DataFrame:
 # --- histograms and counts -----------------------------------------------------
 
 
-def _histogram(src: str, value: str, where: str = "true") -> str:
-    return f"""b AS (SELECT CAST(min({value}) AS DOUBLE) AS lo, CAST(max({value}) AS DOUBLE) AS hi FROM {src} WHERE {where}),
-w AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM b),
-c AS (SELECT CAST(least(29, floor(({value} - lo) / (hi - lo) * 30)) AS INTEGER) AS bin, count(*) AS n FROM {src}, w WHERE {where} GROUP BY 1),
-h AS (SELECT CAST(k AS INTEGER) AS bin, round(lo + k * ((hi - lo) / 30), 6) AS bin_start,
-  round(lo + (k + 1) * ((hi - lo) / 30), 6) AS bin_end, coalesce(n, 0) AS rows FROM w, range(30) AS t(k) LEFT JOIN c ON c.bin = t.k)"""
+def _histogram(src: str, value: str, tag: str = "") -> str:
+    """CTEs up to ``h``; ``tag`` tells several histograms in one statement apart."""
+    b, w, c, h = (name + tag for name in "bwch")
+    return f"""{b} AS (SELECT CAST(min({value}) AS DOUBLE) AS lo, CAST(max({value}) AS DOUBLE) AS hi FROM {src}),
+{w} AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM {b}),
+{c} AS (SELECT CAST(least(29, floor(({value} - lo) / (hi - lo) * 30)) AS INTEGER) AS bin, count(*) AS n FROM {src}, {w} GROUP BY 1),
+{h} AS (SELECT CAST(k AS INTEGER) AS bin, round(lo + k * ((hi - lo) / 30), 6) AS bin_start,
+  round(lo + (k + 1) * ((hi - lo) / 30), 6) AS bin_end, coalesce(n, 0) AS rows
+  FROM {w}, range(30) AS t(k) LEFT JOIN {c} ON {c}.bin = t.k)"""
 
 
 def _bins(df: DataFrame, *more: str) -> DataFrame:
@@ -197,12 +204,11 @@ def histogram_constant(spark: SparkSession, sf: str) -> DataFrame:
     return _bins(summary.histogram(st.table(spark, sf, "orders").select(F.lit(3.0).alias("v")), "v"))
 
 
-@query(tw.SCORED + ", " + ", ".join(
-    _histogram("metrics", m).replace("b AS", f"b_{i} AS").replace("FROM b)", f"FROM b_{i})").replace("w AS (", f"w_{i} AS (")
-    .replace(", w ", f", w_{i} ").replace("FROM w,", f"FROM w_{i},").replace("c AS (SELECT CAST", f"c_{i} AS (SELECT CAST")
-    .replace("JOIN c ON c.bin", f"JOIN c_{i} ON c_{i}.bin").replace("h AS (", f"h_{i} AS (")
-    for i, m in enumerate(summary.METRICS)) + " " + " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, * FROM h_{i}" for i, m in enumerate(summary.METRICS)))
+EACH = ", ".join(_histogram("metrics", m, f"_{i}") for i, m in enumerate(summary.METRICS))
+ALL = " UNION ALL ".join(f"SELECT '{m}' AS metric, * FROM h_{i}" for i, m in enumerate(summary.METRICS))
+
+
+@query(f"{tw.SCORED}, {EACH} {ALL}")
 def distributions(spark: SparkSession, sf: str) -> DataFrame:
     return _bins(summary.distributions(st.stored_scores(spark, sf)), "metric")
 

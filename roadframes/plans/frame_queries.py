@@ -26,7 +26,7 @@ def _shown(df: DataFrame, *extra) -> DataFrame:
 # --- transforms --------------------------------------------------------------
 
 
-@query(f"""WITH {tw.RGB}, x AS (SELECT *, CAST(1 AS INTEGER) AS one FROM rgb),
+@query(f"""WITH {tw.RGB},
 h AS (SELECT frame_id, list_transform(range(192), lambda k: px[(k % 3) * 64 + k // 3 + 1]) AS px FROM rgb)
 SELECT frame_id, CAST(len(px) AS INTEGER) AS n, {W.format('px')} AS checksum, 'HWC' AS layout FROM h""")
 def to_hwc(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,8 @@ def name_filter(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores ------------------------------------------------------------------
 
 
-@query(f"WITH RECURSIVE {tw.GRAY}, {tw.edges('gray', 50)} SELECT frame_id, CAST(64 AS BIGINT) AS px, coalesce(edge_px, 0) AS edge_px FROM gray LEFT JOIN edge_px USING (frame_id)")
+@query(f"""WITH RECURSIVE {tw.GRAY}, {tw.edges('gray', 50)}
+SELECT frame_id, CAST(64 AS BIGINT) AS px, coalesce(edge_px, 0) AS edge_px FROM gray LEFT JOIN edge_px USING (frame_id)""")
 def edge_count(spark: SparkSession, sf: str) -> DataFrame:
     return mt.edge_count(st.gray_frames(spark, sf), 50)
 
@@ -312,17 +313,19 @@ def analyze_tensors(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(mt.analyze(st.tensor_frames(spark, sf), 100, normal=(IMAGENET_MEAN, IMAGENET_STD)))
 
 
-@query(f"WITH {tw.GRAY} SELECT CAST(0.75 AS DOUBLE) AS density_weight, CAST(1 AS DOUBLE) AS congestion_weight, CAST(50 AS INTEGER) AS edge_threshold, CAST(list_aggregate([avg(list_max(px)) / 1000, 0.3, 0.6], 'max') AS DOUBLE) AS top_threshold, CAST(3 AS INTEGER) AS levels FROM gray")
+@query(f"""WITH {tw.GRAY} SELECT CAST(0.75 AS DOUBLE) AS density_weight, CAST(1 AS DOUBLE) AS congestion_weight,
+  CAST(50 AS INTEGER) AS edge_threshold, round(avg(list_max(px)) / 100, 6) AS top_threshold,
+  CAST(3 AS INTEGER) AS levels FROM gray""")
 def update_params(spark: SparkSession, sf: str) -> DataFrame:
     """Some parameters replaced, one of them by a value found in the data; the rest kept."""
     params = mt.update_params(mt.default_params(spark), density_weight=0.75)
     found = st.gray_frames(spark, sf).agg(
         F.lit(None).cast("double").alias("density_weight"), F.lit(None).cast("double").alias("congestion_weight"),
         F.lit(None).cast("int").alias("edge_threshold"),
-        F.array(F.avg(F.array_max("pixels").cast("double")) / 1000, F.lit(0.3), F.lit(0.6)).alias("thresholds"))
+        F.array(F.lit(0.3), F.lit(0.6), F.avg(F.array_max("pixels").cast("double")) / 100).alias("thresholds"))
     return mt.merge_params(params, found).select(
         "density_weight", "congestion_weight", "edge_threshold",
-        F.array_max("thresholds").alias("top_threshold"), F.size("thresholds").alias("levels"))
+        r6(F.array_max("thresholds"), "top_threshold"), F.size("thresholds").alias("levels"))
 
 
 @query(tw.SCORED + f""", again AS (SELECT *, 0.5 * density + 2.0 * congestion AS s FROM metrics)

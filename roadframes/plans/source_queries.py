@@ -18,7 +18,7 @@ from roadframes.plans import twins as tw
 from roadframes.plans.registry import query, r6, weighed
 from roadframes.session import scratch_path
 from roadframes.sources import feedback as fs
-from roadframes.sources import frames as sf_
+from roadframes.sources import frames as store
 from roadframes.sources import images as im
 from roadframes.sources.files import write_files
 
@@ -104,17 +104,25 @@ def write_crops(spark: SparkSession, sf: str) -> DataFrame:
 def write_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames stored by source, read back with the fixed schema."""
     path = scratch_path(spark, "frames")
-    sf_.write_frames(st.rgb_frames(spark, sf), path)
-    return sf_.scan_frames(spark, path).groupBy("source").agg(
+    store.write_frames(st.rgb_frames(spark, sf), path)
+    return store.scan_frames(spark, path).groupBy("source").agg(
         F.count("*").alias("n"), F.sum(weighed()).alias("checksum"))
 
 
+@query(f"WITH {tw.RGB} SELECT frame_id, source, 'CHW' AS layout, {W.format('px')} AS checksum, label FROM rgb")
+def scan_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored frames come back as they were, source and label included."""
+    path = scratch_path(spark, "frames")
+    store.write_frames(st.rgb_frames(spark, sf), path)
+    return store.scan_frames(spark, path).select("frame_id", "source", "layout", weighed().alias("checksum"), "label")
+
+
 @query("SELECT 'read back' AS name, true AS passed, printf('%d written, %d read', count(*), count(*)) AS detail FROM embeddings")
 def verify_stored(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "frames")
     df = st.tensor_frames(spark, sf)
-    sf_.write_frames(df, path)
-    return checks.verify_stored(df, sf_.scan_frames(spark, path))
+    store.write_frames(df, path)
+    return checks.verify_stored(df, store.scan_frames(spark, path))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)
@@ -125,8 +133,8 @@ def write_chunks(spark: SparkSession, sf: str) -> DataFrame:
     items = st.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("frame_id"), "o_totalprice", (F.col("o_orderpriority") != "1-URGENT").alias("ok"))
     path = scratch_path(spark, "chunks")
-    sf_.write_chunks(items, path, valid="ok")
-    return sf_.read_chunks(spark, path).groupBy("chunk_id").agg(
+    store.write_chunks(items, path, valid="ok")
+    return store.read_chunks(spark, path).groupBy("chunk_id").agg(
         F.count("*").alias("n"), F.min("frame_id").alias("first_id"), F.max("frame_id").alias("last_id"))
 
 
@@ -137,15 +145,15 @@ def read_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Frames with their pixels through chunk folders and back into one table."""
     df = st.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("pixels"))
     path = scratch_path(spark, "chunks")
-    sf_.write_chunks(df, path, chunk_size=100)
-    return sf_.read_chunks(spark, path).select("frame_id", "chunk_id", weighed(digits=3).alias("checksum"))
+    store.write_chunks(df, path, chunk_size=100)
+    return store.read_chunks(spark, path).select("frame_id", "chunk_id", weighed(digits=3).alias("checksum"))
 
 
 @query("SELECT label % 3 AS chunk, count(*) AS n FROM embeddings GROUP BY 1")
 def concat_chunks(spark: SparkSession, sf: str) -> DataFrame:
     df = st.gray_frames(spark, sf)
     parts = [df.where(F.col("label") % 3 == i).withColumn("chunk", F.lit(i)) for i in range(3)]
-    return sf_.concat_chunks(parts).groupBy("chunk").agg(F.count("*").alias("n"))
+    return store.concat_chunks(parts).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,12 +204,20 @@ def write_feedback(spark: SparkSession, sf: str) -> DataFrame:
         (F.size("feedback") == F.col("metadata.total_images")).alias("whole"))
 
 
+@query(fq.ENTRIES + """ SELECT image_index, user_correction, count(*) AS n, round(sum(density), 6) AS density FROM entries GROUP BY 1, 2""")
+def flatten_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries out of the sessions' documents."""
+    documents = fs.feedback_documents(_sessions(spark, sf))
+    return fb.flatten_feedback(documents).groupBy("image_index", "user_correction").agg(
+        F.count("*").alias("n"), F.round(F.sum("density"), 6).alias("density"))
+
+
 @query(fq.ENTRIES + " SELECT was_correct, count(*) AS n FROM entries GROUP BY 1")
 def concat_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Entry lists of sessions kept in two places, put together."""
     a = fs.feedback_documents(_sessions(spark, sf).where("session % 2 = 0"))
     b = fs.feedback_documents(_sessions(spark, sf).where("session % 2 = 1"))
-    return fb.flatten_feedback(sf_.concat_chunks([a, b])).groupBy("was_correct").agg(F.count("*").alias("n"))
+    return fb.flatten_feedback(store.concat_chunks([a, b])).groupBy("was_correct").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {tw.CAPTURES} SELECT capture_id, camera, date_trunc('second', captured_at) AS captured_at FROM captures")
@@ -229,5 +245,5 @@ def resolve_image_column(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n, CAST(64 AS INTEGER) AS values FROM embeddings GROUP BY 1")
 def select_frame_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return sf_.select_frame_columns(st.gray_frames(spark, sf)).groupBy("label").agg(
+    return store.select_frame_columns(st.gray_frames(spark, sf)).groupBy("label").agg(
         F.count("*").alias("n"), F.max(F.size("pixel_values")).alias("values"))

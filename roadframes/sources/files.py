@@ -25,7 +25,7 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     A file is written under a passing name and then moved, so a repeated or
     speculative task leaves the same whole file.
     """
-    root = re.sub(r"^file:/+", "/", folder.rstrip("/"))
+    root = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", folder.rstrip("/")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
