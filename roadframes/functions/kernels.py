@@ -67,25 +67,26 @@ def gray(rgb: np.ndarray) -> np.ndarray:
 
 
 def edge_map(img: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Canny edges of ``(n, height, width)`` integers, as booleans."""
+    """Canny edges of ``(n, height, width)`` values from 0 to 255, as booleans."""
     n, h, w = img.shape
-    p = np.pad(img.astype(np.int32), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    # gradients of 8-bit values stay below 1021 and magnitudes below 2041: 16 bits do
+    p = np.pad(img.astype(np.int16), ((0, 0), (1, 1), (1, 1)), mode="edge")
     rows = p[:, :, 2:] - p[:, :, :-2]
     gx = rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]
     cols = p[:, 2:, :] - p[:, :-2, :]
     gy = cols[:, :, :-2] + 2 * cols[:, :, 1:-1] + cols[:, :, 2:]
-    # gradients of 8-bit values stay below 1021, so the products below fit 32 bits
     ax, ay = np.abs(gx), np.abs(gy)
-    mag = ax + ay
-
-    m = np.pad(mag, ((0, 0), (1, 1), (1, 1)))
+    m = np.zeros((n, h + 2, w + 2), dtype=np.int16)
+    mag = m[:, 1:-1, 1:-1]
+    np.add(ax, ay, out=mag)
 
     def at(dr: int, dc: int) -> np.ndarray:
         return m[:, 1 + dr:1 + dr + h, 1 + dc:1 + dc + w]
 
-    flat = ay * TAN_SCALE < ax * TAN_LOW
-    steep = ay * TAN_SCALE > ax * TAN_HIGH
-    falling = gx * gy >= 0
+    ax, rise = ax.astype(np.int32), ay.astype(np.int32) * TAN_SCALE
+    flat = rise < ax * TAN_LOW
+    steep = rise > ax * TAN_HIGH
+    falling = ((gx >= 0) == (gy >= 0)) | (gx == 0) | (gy == 0)
     peak = np.where(
         flat, (mag > at(0, -1)) & (mag >= at(0, 1)),
         np.where(
@@ -93,7 +94,7 @@ def edge_map(img: np.ndarray, low: int, high: int) -> np.ndarray:
             np.where(
                 falling, (mag > at(-1, -1)) & (mag > at(1, 1)),
                 (mag > at(-1, 1)) & (mag > at(1, -1)))))
-    kept = np.zeros((n, h + 2, w + 2), dtype=bool)
+    kept = np.zeros(m.shape, dtype=bool)
     kept[:, 1:-1, 1:-1] = peak & (mag > low)
     return _grow(kept, m > high)[:, 1:-1, 1:-1]
 
@@ -111,9 +112,14 @@ def _grow(kept: np.ndarray, strong: np.ndarray) -> np.ndarray:
     edges = np.zeros(open_.shape, dtype=bool)
     edges[frontier] = True
     open_[frontier] = False
+    last = np.empty(open_.shape, dtype=np.int32)
     while frontier.size:
         near = (frontier[:, None] + steps).ravel()
-        frontier = np.unique(near[open_[near]])
+        near = near[open_[near]]
+        # of equal positions the last one written is kept, so none is followed twice
+        turn = np.arange(near.size, dtype=np.int32)
+        last[near] = turn
+        frontier = near[last[near] == turn]
         edges[frontier] = True
         open_[frontier] = False
     return edges.reshape(kept.shape)

@@ -18,13 +18,8 @@ from roadframes.functions import kernels
 cloudpickle.register_pickle_by_value(sys.modules["roadframes"])
 
 FAILED = "Failed to process image"
-COUNTS = (
-    "struct<valid:boolean,reason:string,px:bigint,edge_px:bigint,px_sum:bigint,px_sumsq:bigint,"
-    "r_sum:bigint,g_sum:bigint,b_sum:bigint,r_sumsq:bigint,g_sumsq:bigint,b_sumsq:bigint>"
-)
-COUNT_NAMES = [
-    "px", "edge_px", "px_sum", "px_sumsq", "r_sum", "g_sum", "b_sum", "r_sumsq", "g_sumsq", "b_sumsq",
-]
+COUNT_NAMES = ["px", "edge_px", "px_sum", "px_sumsq"]
+CHANNEL_NAMES = ["r_sum", "g_sum", "b_sum", "r_sumsq", "g_sumsq", "b_sumsq"]
 
 
 def _stacks(pixels, height, width, channels, layout, scored: bool = False):
@@ -117,20 +112,24 @@ def pixel_udf(kernel: Callable[[np.ndarray], np.ndarray | None], layout: str | N
     return new_pixels
 
 
-def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None):
-    """Integer counts of one pass over the pixels: edges, size, sums, channel sums.
+def frame_counts_udf(
+    edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None, by_channel: bool = False
+):
+    """Integer counts of one pass over the pixels: size, edges, gray sum and sum of squares.
 
     ``normal`` gives the (mean, std) of normalised frames, undone in the same pass.
+    ``by_channel`` adds the sums of R, G and B.
     """
     wrap = overflow == "wrap"
+    names = COUNT_NAMES + CHANNEL_NAMES if by_channel else COUNT_NAMES
 
-    @F.arrow_udf(COUNTS)
+    @F.arrow_udf("struct<valid:boolean,reason:string," + ",".join(f"{name}:bigint" for name in names) + ">")
     def frame_counts(
         pixels: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, layout: pa.Array
     ) -> pa.Array:
         n = len(pixels)
         valid = np.zeros(n, dtype=bool)
-        out = np.zeros((len(COUNT_NAMES), n), dtype=np.int64)
+        out = np.zeros((len(names), n), dtype=np.int64)
         for rows, block in _stacks(pixels, height, width, channels, layout, scored=True):
             shape = block.shape
             if normal:
@@ -143,11 +142,12 @@ def frame_counts_udf(edge_threshold: int = 50, overflow: str = "clamp", normal:
             out[1, rows] = edges.sum(axis=(1, 2))
             out[2, rows] = g.sum(axis=(1, 2), dtype=np.int64)
             out[3, rows] = np.square(g).sum(axis=(1, 2), dtype=np.int64)
-            total, squares = kernels.channel_sums(rgb)
-            out[4:7, rows], out[7:10, rows] = total.T, squares.T
+            if by_channel:
+                total, squares = kernels.channel_sums(rgb)
+                out[4:7, rows], out[7:10, rows] = total.T, squares.T
         reason = pa.array(np.where(valid, None, FAILED), pa.string())
         return pa.StructArray.from_arrays(
-            [pa.array(valid), reason, *(pa.array(v) for v in out)], ["valid", "reason", *COUNT_NAMES])
+            [pa.array(valid), reason, *(pa.array(v) for v in out)], ["valid", "reason", *names])
 
     return frame_counts
 

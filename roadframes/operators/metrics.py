@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadframes.functions import scoring
-from roadframes.functions.pixel_udfs import COUNT_NAMES, frame_counts_udf, pixel_columns
+from roadframes.functions.pixel_udfs import CHANNEL_NAMES, COUNT_NAMES, frame_counts_udf, pixel_columns
 from roadframes.operators.running import beside
 from roadframes.schemas import PARAMS, SCORER_DEFAULTS
 
@@ -40,20 +40,22 @@ def merge_params(params: DataFrame, update: DataFrame) -> DataFrame:
 
 def frame_counts(
     frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
-    keep_pixels: bool = False,
+    keep_pixels: bool = False, by_channel: bool = False,
 ) -> DataFrame:
     """Replace the pixels by the counts all scores need.
 
     For normalised tensors pass their (mean, std) as ``normal``: they are
     denormalised in the same pass. With ``keep_pixels`` the pixels stay beside the
-    counts, which spares a join where both are wanted.
+    counts, which spares a join where both are wanted; ``by_channel`` adds the sums of
+    R, G and B.
     """
     if overflow not in ("clamp", "wrap"):
         raise ValueError("overflow is clamp or wrap")
-    counted = frames.withColumn("_c", frame_counts_udf(edge_threshold, overflow, normal)(*pixel_columns()))
+    counted = frames.withColumn("_c", frame_counts_udf(edge_threshold, overflow, normal, by_channel)(*pixel_columns()))
+    names = COUNT_NAMES + CHANNEL_NAMES if by_channel else COUNT_NAMES
     return counted.select(
         *[c for c in frames.columns if keep_pixels or c != "pixels"],
-        "_c.valid", "_c.reason", *[f"_c.{name}" for name in COUNT_NAMES])
+        "_c.valid", "_c.reason", *[f"_c.{name}" for name in names])
 
 
 def edge_count(frames: DataFrame, edge_threshold: int = 50) -> DataFrame:
@@ -89,10 +91,11 @@ def with_params(metrics: DataFrame, params: DataFrame) -> DataFrame:
 
 def base_metrics(
     frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
-    keep_pixels: bool = False,
+    keep_pixels: bool = False, by_channel: bool = False,
 ) -> DataFrame:
     """Everything that depends on pixels; store this, and re-score it as often as needed."""
-    counts = congestion(density(edge_density(frame_counts(frames, edge_threshold, overflow, normal, keep_pixels))))
+    counts = congestion(density(edge_density(frame_counts(
+        frames, edge_threshold, overflow, normal, keep_pixels, by_channel))))
     return counts.withColumn("flow_rate", F.col("edge_density"))
 
 
@@ -107,14 +110,14 @@ def rescore(metrics: DataFrame, params: DataFrame) -> DataFrame:
 
 def analyze(
     frames: DataFrame, edge_threshold: int = 50, overflow: str = "clamp", normal: tuple | None = None,
-    keep_pixels: bool = False, **params,
+    keep_pixels: bool = False, by_channel: bool = False, **params,
 ) -> DataFrame:
     """All scores of each frame; a frame that cannot be read is kept with zeros and a reason.
 
     Weights and thresholds are plan-time values here, so this also works on a stream.
     """
     values = {**SCORER_DEFAULTS, **params}
-    base = base_metrics(frames, edge_threshold, overflow, normal, keep_pixels)
+    base = base_metrics(frames, edge_threshold, overflow, normal, keep_pixels, by_channel)
     scored = base.withColumn("traffic_score", scoring.traffic_score(
         F.lit(float(values["density_weight"])), F.lit(float(values["congestion_weight"]))))
     thresholds = F.array(*[F.lit(float(t)) for t in values["thresholds"]])

@@ -26,7 +26,7 @@ PARAMETERS = ["density", "congestion", "flow_rate"]
 
 def frame_features(frames: DataFrame, edge_threshold: int = 50) -> DataFrame:
     """Per-channel mean and spread and the edge density of usable frames, with their scores."""
-    counts = base_metrics(frames, edge_threshold).where("valid")
+    counts = base_metrics(frames, edge_threshold, by_channel=True).where("valid")
     means = {f"{c}_mean": F.col(f"{c}_sum").cast("double") / F.col("px") for c in "rgb"}
     stds = {f"{c}_std": spread(F.col(f"{c}_sum"), F.col(f"{c}_sumsq"), F.col("px")) for c in "rgb"}
     kept = [c for c in frames.columns if c != "pixels"]

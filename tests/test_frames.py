@@ -51,8 +51,8 @@ def test_to_tensor_is_resize_normalise_reorder(frames):
 
 def test_scoring_tensors_is_denormalise_then_score(frames):
     df = fr.normalise(frames((CHW.ravel(), 4, 5, 3, "CHW"), (HWC.ravel(), 4, 5, 3, "HWC")))
-    a = mt.frame_counts(fr.denormalise(df)).orderBy("frame_id").collect()
-    b = mt.frame_counts(df, normal=(IMAGENET_MEAN, IMAGENET_STD)).orderBy("frame_id").collect()
+    a = mt.frame_counts(fr.denormalise(df), by_channel=True).orderBy("frame_id").collect()
+    b = mt.frame_counts(df, normal=(IMAGENET_MEAN, IMAGENET_STD), by_channel=True).orderBy("frame_id").collect()
     assert a == b
 
 

@@ -80,7 +80,7 @@ HALVES = [0, 0, 0, 0, 255, 255, 255, 255] * 8
 
 
 def score(df, **options):
-    return [r.asDict() for r in mt.analyze(df, **options).orderBy("frame_id").collect()]
+    return [r.asDict() for r in mt.analyze(df, by_channel=True, **options).orderBy("frame_id").collect()]
 
 
 def test_fixture_scores(frames):
