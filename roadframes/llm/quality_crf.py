@@ -134,18 +134,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: in
     if not len(label):
         return QualityModel(crf.Chain(np.zeros((OWN + 12, 2)), np.zeros((2, 2)), np.zeros(2)), 1.0, 0.0)
     tags = [np.full(len(f), y) for f, y in zip(features, label, strict=True)]
+    # features of equal spread fit in few steps; the scale then goes into the weights
+    scale = np.maximum(np.concatenate(features).std(axis=0), 1e-2)
+    scale[0] = 1
+    features = [f / scale for f in features]
     bounds = np.concatenate([[0], np.cumsum([len(f) for f in features])])
     flat = np.concatenate(features)
     chain = None
     for _ in range(rounds):
-        chain = crf.fit(features, tags, 2, start=chain, steps=80)
+        chain = crf.fit(features, tags, 2, start=chain, steps=60, rate=0.15, l2=1e-5)
         p = crf.marginals(chain, chain.scores(flat), bounds)[:, GOOD]
         for i in np.flatnonzero(label == 0):
             own = p[bounds[i] : bounds[i + 1]]
             tags[i] = (own > 0.5).astype(np.int64)
             tags[i][own.argmin()] = 0
     share = good_share(chain, flat, np.concatenate(sizes), bounds)
-    return QualityModel(chain, *crf.platt(_logit(share), label))
+    curve = crf.platt(_logit(share), label)
+    return QualityModel(crf.Chain(chain.weights / scale[:, None], chain.moves, chain.first), *curve)
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from roadframes.llm import crf
 from roadframes.llm.common import hash_sample, over_batches, texts
-from roadframes.llm.textscan import DIGIT, FOLD, LOWER, NOT_SPACE, POINT, U64, UPPER, Chunk, byte_table, chunks, text_hash
+from roadframes.llm.textscan import DIGIT, FOLD, LOWER, NOT_SPACE, POINT, U64, UPPER, Chunk, HashIndex, byte_table, chunks, text_hash
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,7 +42,7 @@ HIGH = byte_table(bytes(range(128, 256)))
 SETS = byte_table(b"=:")
 # Words that often stand before a secret.
 KEYWORDS = "password passwd pwd secret token apikey api_key key bearer auth authorization credential credentials private"
-KEY_HASHES = np.array(sorted(text_hash(w) for w in KEYWORDS.split()), dtype=U64)
+KEY_INDEX = HashIndex(np.array(sorted(text_hash(w) for w in KEYWORDS.split()), dtype=U64))
 OWN, FILE = 12, 3
 WIDTH = OWN + 6 + FILE
 
@@ -114,8 +114,7 @@ class Tokens:
         own[:, 8] = mixed_up
         own[:, 9] = (size >= 20) & (high == 0)
         h = chunk.hasher(fold=True)(self.start, self.stop)
-        spot = np.minimum(np.searchsorted(KEY_HASHES, h), len(KEY_HASHES) - 1)
-        own[:, 10] = KEY_HASHES[spot] == h
+        own[:, 10] = KEY_INDEX.places(h) >= 0
         own[:, 11] = (sets > 0) & (high == 0)
         x = np.zeros((n, WIDTH), dtype=np.float32)
         x[:, :OWN] = own

@@ -150,3 +150,21 @@ def text_hash(word: str) -> int:
     data = np.frombuffer(word.encode(), dtype=np.uint8)
     chunk = Chunk(0, data, np.array([0, len(data)]))
     return int(chunk.hasher(fold=True)(np.array([0]), np.array([len(data)]))[0])
+
+
+class HashIndex:
+    """Places of hashes in a sorted array; a bit table turns nearly all others away."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(keys >> U64(44)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        out = np.full(len(h), -1)
+        maybe = np.flatnonzero(self.bits[(h >> U64(44)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == h[maybe], at, -1)
+        return out

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from roadframes.llm.common import hash_sample, over_batches, texts
 from roadframes.llm.crf import platt
-from roadframes.llm.textscan import LETTER, U64, Chunk, Runs, byte_table, chunks, mixed, text_hash
+from roadframes.llm.textscan import LETTER, MIX_B, U64, Chunk, HashIndex, Runs, byte_table, chunks, mixed, text_hash
 
 OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT = range(7)
 STOP = byte_table(b".!?;:\n")
@@ -130,27 +130,21 @@ class ToxicModel:
 _KINDS = {text_hash(word): kind for kind, words in WORDS.items() for word in words.split()}
 _FIXED = np.array(list(_KINDS), dtype=U64)
 _ORDER = np.argsort(mixed(_FIXED))
-_FIXED_KEYS, _FIXED_KINDS = mixed(_FIXED)[_ORDER], np.array(list(_KINDS.values()))[_ORDER]
+_FIXED_INDEX, _FIXED_KINDS = HashIndex(mixed(_FIXED)[_ORDER]), np.array(list(_KINDS.values()))[_ORDER]
+#: Clause scores level off at this weight: many lexemes in one clause say little more than some.
+LEVEL = 20.0
 
 
-def _lookup(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of the hashes among sorted keys; -1 for those that are not there."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, at, -1)
-
-
-def evidence(chunk: Chunk, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def evidence(chunk: Chunk, lexemes: HashIndex, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest clause score of each document and how many of its clauses matched."""
     words, hashes = lexical_hashes(chunk)
     weight = np.zeros(len(words))
     for h in hashes:
-        at = _lookup(keys, h)
+        at = lexemes.places(h)
         hit = at >= 0
         weight[hit] = np.maximum(weight[hit], weights[at[hit]])
     top, matched = np.zeros(chunk.n), np.zeros(chunk.n)
-    fixed = _lookup(_FIXED_KEYS, hashes[0])
+    fixed = _FIXED_INDEX.places(hashes[0])
     kind = np.where(fixed >= 0, _FIXED_KINDS[fixed], OTHER)
     lexeme = np.flatnonzero((weight > 0) | (kind == THREAT))
     if not len(lexeme):
@@ -166,7 +160,7 @@ def evidence(chunk: Chunk, keys: np.ndarray, weights: np.ndarray) -> tuple[np.nd
         threat_alone = np.where((classes == THREAT) & (weight[own] <= 0), 0.5, weight[own])
         score = clause_score(classes.tolist(), threat_alone.tolist())
         d = words.doc[first[c]]
-        top[d] = max(top[d], score)
+        top[d] = max(top[d], score / (1 + score / LEVEL))
         matched[d] += score > 0
     return top, matched
 
@@ -182,36 +176,56 @@ def labelled(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: int)
     return texts(docs).join(F.broadcast(hash_sample(chosen, "doc_id", sample_docs)), "doc_id")
 
 
-def learn_lexemes(rows: DataFrame, most: int = 4000, least_docs: int = 3, least_odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of lexemes: at most ``most``, from document frequencies by label."""
+def learn_lexemes(rows: DataFrame, most: int = 4000, least_odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of lexemes: at most ``most``, from document frequencies by label.
+
+    A lexeme's odds must stand out, and its frequencies must be too unlikely for chance: their
+    log-likelihood ratio must exceed the logarithm of ten times the number of rows. It must
+    also follow different words: what copies of one text share stands in one context only."""
+
+    top, bottom = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+    def distinct(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Where each document has each hash first."""
+        some = np.flatnonzero(h)
+        _, first = np.unique(mixed(h[some] + doc[some].astype(U64) * U64(MIX_B)), return_index=True)
+        return some[first]
 
     def frequencies(batch: pa.RecordBatch) -> pa.RecordBatch:
         label = batch.column("label").to_numpy()
-        keys, toxic = [], []
+        keys, toxic, before = [], [], []
         for chunk in chunks(batch.column("text")):
             words, hashes = lexical_hashes(chunk)
+            context = np.zeros(len(words), dtype=np.int64)
+            context[1:] = np.where(words.doc[1:] == words.doc[:-1], hashes[0][:-1].view(np.int64), 0)
             for h in hashes:
-                some = h != 0
-                own = np.unique(np.stack([words.doc[some].astype(U64), h[some]], axis=1), axis=0) if some.any() else None
-                if own is not None:
-                    keys.append(own[:, 1])
-                    toxic.append(label[chunk.first + own[:, 0].astype(np.int64)])
-        if not keys:
-            return pa.RecordBatch.from_pydict({"key": pa.array([], pa.int64()), "bad": pa.array([], pa.int64()),
-                                               "fine": pa.array([], pa.int64())})
+                own = distinct(words.doc, h)
+                keys.append(h[own])
+                toxic.append(label[chunk.first + words.doc[own]])
+                before.append(context[own])
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        bad = np.bincount(at, weights=np.concatenate(toxic)).astype(np.int64)
+        toxic, before = np.concatenate(toxic), np.concatenate(before)
+        bad = np.bincount(at, weights=toxic, minlength=len(key)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(key)))
+        low, high = (f.reduceat(np.where(toxic == 1, before, none)[order], first) if len(key) else before
+                     for f, none in ((np.minimum, top), (np.maximum, bottom)))
         return pa.RecordBatch.from_pydict({
-            "key": key.view(np.int64), "bad": bad, "fine": np.bincount(at).astype(np.int64) - bad})
+            "key": key.view(np.int64), "bad": bad, "fine": np.bincount(at, minlength=len(key)).astype(np.int64) - bad,
+            "low": low, "high": high})
 
     sizes = rows.agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("fine")).first()
     if not sizes["bad"]:
         return np.zeros(0, dtype=U64), np.zeros(0)
     odds = (F.log((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) - F.log((F.col("fine") + 0.5) / ((sizes["fine"] or 0) + 1.0)))
-    found = over_batches(rows, frequencies, "key long, bad long, fine long").groupBy("key").agg(
-        F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(F.col("bad") >= least_docs).withColumn("odds", odds)
-    # a lexeme must stand out, and be rare in other rows
-    found = found.where((F.col("odds") >= least_odds) & (F.col("bad") > 2 * F.col("fine")))
+    n = sizes["bad"] + (sizes["fine"] or 0)
+    share, both = sizes["bad"] / n, F.col("bad") + F.col("fine")
+    surprise = F.col("bad") * F.log(F.col("bad") / (both * share)) + F.when(
+        F.col("fine") > 0, F.col("fine") * F.log(F.col("fine") / (both * max(1 - share, 1e-9)))).otherwise(0.0)
+    found = over_batches(rows, frequencies, "key long, bad long, fine long, low long, high long").groupBy(
+        "key").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.where((F.col("bad") > 2) & (F.col("bad") > 2 * F.col("fine")) & (F.col("low") < F.col("high")))
+    found = found.withColumn("odds", odds).where((F.col("odds") >= least_odds) & (surprise >= float(np.log(10 * n))))
     best = found.orderBy(F.desc(F.col("odds") * F.log1p("bad")), "key").limit(most).collect()
     key = np.array([r["key"] for r in best], dtype=np.int64).view(U64)
     weight = np.array([r["odds"] for r in best])
@@ -220,8 +234,10 @@ def learn_lexemes(rows: DataFrame, most: int = 4000, least_docs: int = 3, least_
 
 
 def _evidence_rows(rows: DataFrame, keys: np.ndarray, weights: np.ndarray) -> DataFrame:
+    index = HashIndex(keys)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [evidence(c, keys, weights) for c in chunks(batch.column("text"))]
+        found = [evidence(c, index, weights) for c in chunks(batch.column("text"))]
         return pa.RecordBatch.from_arrays(
             [batch.column("label"), *(pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1))],
             ["label", "top", "matched"])
@@ -244,8 +260,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: i
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``doc_id, score, clause_score, n_clauses`` for every row."""
 
+    index = HashIndex(model.keys)
+
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [evidence(c, model.keys, model.weights) for c in chunks(batch.column("text"))]
+        found = [evidence(c, index, model.weights) for c in chunks(batch.column("text"))]
         top, matched = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         x = np.clip(model.curve[0] * _joint(top, matched) + model.curve[1], -30, 30)
         return pa.RecordBatch.from_arrays(

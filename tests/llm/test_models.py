@@ -9,11 +9,12 @@ from roadframes.llm.common import crc_fold
 from roadframes.llm.toxicity import INSULT, MODAL, NEGATION, OTHER, REPORT, TARGET, THREAT, clause_score
 
 SF = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 
 
 def accuracy(spark, query, label):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col(label).alias("label"))
-    rows = query(spark, SF).where("held_out").join(labels, "doc_id").collect()
+    labels = spark.read.parquet(f"{BIG}/labels.parquet").select("doc_id", F.col(label).alias("label"))
+    rows = query(spark, BIG).where("held_out").join(labels, "doc_id").collect()
     assert len(rows) > 50
     hits = {y: [r["predicted"] == y for r in rows if r["label"] == y] for y in (0, 1)}
     return {y: np.mean(h) for y, h in hits.items()}
@@ -21,12 +22,12 @@ def accuracy(spark, query, label):
 
 def test_toxicity_held_out(spark):
     by_label = accuracy(spark, catalog.op1_toxicity, "toxic")
-    assert by_label[0] > 0.97 and by_label[1] > 0.85
+    assert by_label[0] > 0.99 and by_label[1] > 0.95
 
 
 def test_quality_held_out(spark):
     by_label = accuracy(spark, catalog.op4_quality, "quality")
-    assert by_label[1] > 0.97 and by_label[0] > 0.8
+    assert by_label[1] > 0.99 and by_label[0] > 0.9
 
 
 @pytest.mark.parametrize("query", [catalog.op1_toxicity, catalog.op4_quality])
