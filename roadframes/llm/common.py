@@ -17,8 +17,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, unless its own bound is lower already."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name, "0") or 0)
-        if now <= 0 or now > most:
+        now = spark.conf.get(name).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
 
