@@ -59,28 +59,29 @@ def repair(symbols: np.ndarray, base: int, least: int = 16, rounds: int = 10, pe
         if not len(often):
             break
         often = often[np.argsort(-n[often], kind="stable")][:per_round]
-        keys = np.sort(ordered[edge[often]])
-        rank = np.empty(len(often), dtype=np.int64)
-        rank[np.searchsorted(keys, ordered[edge[often]])] = np.arange(len(often))
-        # most places are ruled out by one of their two symbols
-        head, tail = (np.zeros(made + 1, dtype=bool) for _ in range(2))
-        head[(keys >> np.uint64(32)).astype(np.int64)] = True
-        tail[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        chosen = ordered[edge[often]]
+        heads, tails = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # the rank of a pair stands in a table of the chosen heads by the chosen tails; row and column 0 are for others
         known = np.minimum(symbols, made)  # a wall is no head and no tail
-        at = np.flatnonzero(head[known[:-1]] & tail[known[1:]])
-        slot = np.searchsorted(keys, pair[at])
-        slot[slot == len(keys)] = 0
-        hit = keys[slot] == pair[at]
-        at, order = at[hit], rank[slot[hit]]
+        row, column = (np.zeros(made + 1, dtype=np.int32) for _ in range(2))
+        head, tail = np.unique(heads), np.unique(tails)
+        row[head], column[tail] = np.arange(1, len(head) + 1), np.arange(1, len(tail) + 1)
+        ranks = np.full((len(head) + 1, len(tail) + 1), -1, dtype=np.int32)
+        ranks[row[heads], column[tails]] = np.arange(len(often))
+        first, second = row[known[:-1]], column[known[1:]]
+        at = np.flatnonzero((first > 0) & (second > 0))
+        order = ranks[first[at], second[at]]
+        hit = order >= 0
+        at, order = at[hit], order[hit]
         # of neighbouring places the better rank wins; a run of equal ranks is taken from the left
         taken = _disjoint(at, order)
         at, order = at[taken], order[taken]
-        used, order = np.unique(order, return_inverse=True)
-        key = np.empty(len(often), dtype=np.uint64)
-        key[rank] = keys
-        rules.append(np.stack([key[used] >> np.uint64(32), key[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        used = np.flatnonzero(np.bincount(order, minlength=len(often)))
+        number = np.zeros(len(often), dtype=np.uint32)
+        number[used] = np.arange(made, made + len(used))
+        rules.append(np.stack([heads[used], tails[used]], axis=1).astype(np.uint32))
         symbols = symbols.copy()
-        symbols[at] = (made + order).astype(np.uint32)
+        symbols[at] = number[order]
         made += len(used)
         left = np.ones(len(symbols), dtype=bool)
         left[at + 1] = False

@@ -14,8 +14,9 @@ import re
 
 import numpy as np
 
-#: Entries a cache holds; later pieces are encoded each time.
-CACHE = 500_000
+#: Entries a cache holds; later pieces are encoded each time. A piece enters when it is met again:
+#: most pieces are met once. DOOR is the size of the table that remembers first meetings.
+CACHE, DOOR = 400_000, 1 << 22
 #: Letters whose normal form, case and class both tokenizers treat alike, and a tail of plain punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 MEETING = ("  ", " \n", "\n ", "\n\n")
@@ -46,11 +47,14 @@ class _Pieces(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.met = encoder, bytearray(DOOR)
 
     def __missing__(self, piece: str) -> bytes:
         out = self.encoder.piece(piece)
-        if len(self) < CACHE and len(piece) <= 64:
+        at = hash(piece) % DOOR
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(self) < CACHE and len(piece) <= 64:
             self[piece] = out
         return out
 
@@ -94,10 +98,21 @@ class Encoder:
         head = self._word("\n") + self._word(word) if broken else self._word(" " + word)
         return head + (self._word(tail) if tail else b"")
 
+    @staticmethod
+    def _lower(text: str) -> str:
+        """Lower case, where a text is Latin-1 and so has one form and one lower form for each letter."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit bytes."""
         if not text or text[0] in " \n" or text[-1] in " \n" or any(m in text for m in MEETING):
             return self.whole(text) if text else b""
+        if self.kind == "word":
+            text = self._lower(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         head = self.pieces[first] if self.kind == "word" else self.whole(first)
         return head + b"".join(map(self.pieces.__getitem__, rest))
