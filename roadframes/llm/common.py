@@ -41,6 +41,7 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
                 out = fn(batch)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers live on, and their memory counts
 
     return df.mapInArrow(run, schema)
 

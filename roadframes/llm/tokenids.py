@@ -11,12 +11,13 @@ those of encoding each whole text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 #: Entries a cache holds; later pieces are encoded each time. A piece enters when it is met again:
 #: most pieces are met once. DOOR is the size of the table that remembers first meetings.
-CACHE, DOOR = 400_000, 1 << 22
+CACHE, DOOR = 250_000, 1 << 21
 #: Letters whose normal form, case and class both tokenizers treat alike, and a tail of plain punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 MEETING = ("  ", " \n", "\n ", "\n\n")
@@ -42,15 +43,15 @@ def _signs(text: str) -> str:
     return "".join(SIGNS[b] for b in text.encode())
 
 
-class _Pieces(dict):
-    """Ids of pieces as little-endian 32-bit bytes."""
+class _Cache(dict):
+    """Ids of pieces as little-endian 32-bit bytes, made by ``ids`` where they are not kept."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, ids: Callable[[str], bytes]):
         super().__init__()
-        self.encoder, self.met = encoder, bytearray(DOOR)
+        self.ids, self.met = ids, bytearray(DOOR)
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.encoder.piece(piece)
+        out = self.ids(piece)
         at = hash(piece) % DOOR
         if not self.met[at]:
             self.met[at] = 1
@@ -72,19 +73,13 @@ class Encoder:
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self)
+        self.words, self.pieces = _Cache(self._model_ids), _Cache(self.piece)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            out = np.asarray([t.id for t in self.model.tokenize(_signs(word))], dtype="<u4").tobytes()
-            if len(self.words) < CACHE and len(word) <= 64:
-                self.words[word] = out
-        return out
+    def _model_ids(self, word: str) -> bytes:
+        return np.asarray([t.id for t in self.model.tokenize(_signs(word))], dtype="<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece: one that follows a space, or begins with a line break."""
@@ -94,9 +89,9 @@ class Encoder:
             return self.whole(piece if broken else " " + piece)
         word, tail = m.groups()
         if self.kind == "word":
-            return self._word(word.lower()) + (self._word(tail) if tail else b"")
-        head = self._word("\n") + self._word(word) if broken else self._word(" " + word)
-        return head + (self._word(tail) if tail else b"")
+            return self.words[word.lower()] + (self.words[tail] if tail else b"")
+        head = self.words["\n"] + self.words[word] if broken else self.words[" " + word]
+        return head + (self.words[tail] if tail else b"")
 
     @staticmethod
     def _lower(text: str) -> str:
