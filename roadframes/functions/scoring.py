@@ -32,13 +32,8 @@ def traffic_score(density_weight: Column, congestion_weight: Column) -> Column:
 
 
 def traffic_level(score: Column, thresholds: Column) -> Column:
-    """Highest index (from 1) of the thresholds the score exceeds, 0 for none.
-
-    The score is compared after rounding to 9 digits, so a level does not depend
-    on the last bits of a floating sum.
-    """
-    rounded = F.round(score, 9)
-    hits = F.transform(thresholds, lambda t, i: F.when(rounded > t, i + 1).otherwise(0))
+    """Highest index (from 1) of the thresholds the score exceeds, 0 for none."""
+    hits = F.transform(thresholds, lambda t, i: F.when(score > t, i + 1).otherwise(0))
     return F.coalesce(F.array_max(hits), F.lit(0)).cast("int")
 
 

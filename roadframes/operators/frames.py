@@ -42,7 +42,7 @@ def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
 
     ``crop_in_bounds`` finds those frames beforehand without touching pixels.
     """
-    _check_region(w, h)
+    _check_region(x, y, w, h)
 
     def cut(stack):
         fits = y + h <= stack.shape[1] and x + w <= stack.shape[2]
@@ -53,14 +53,16 @@ def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
 
 def crop_in_bounds(df: DataFrame, x: int, y: int, w: int, h: int) -> tuple[DataFrame, DataFrame]:
     """Frames the region fits into, and the rest. Reads shape columns only."""
-    _check_region(w, h)
+    _check_region(x, y, w, h)
     fits = F.coalesce((F.lit(x + w) <= F.col("width")) & (F.lit(y + h) <= F.col("height")), F.lit(False))
     return df.where(fits), df.where(~fits)
 
 
-def _check_region(w: int, h: int) -> None:
+def _check_region(x: int, y: int, w: int, h: int) -> None:
     if w <= 0 or h <= 0:
         raise ValueError("the crop region is empty")
+    if x < 0 or y < 0:
+        raise ValueError("the crop region begins outside the frame")
 
 
 def resize(df: DataFrame, size: int = 224) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframes.operators.running import (
-    before_cut, beside, global_rank, hash_cuts, ordered_rank, seeded_hash, small_side)
+    before_cut, beside, global_rank, hash_cuts, seeded_hash, small_side)
+from roadframes.session import materialise
 
 
 def order_by_path(df: DataFrame, path: str = "origin") -> DataFrame:
@@ -75,11 +76,19 @@ def assign_group(
 ) -> DataFrame:
     """Number rows in order and cut them into groups of ``size``, from 0.
 
-    The order columns are ranked alone and joined back, so wide rows are moved once.
+    Wide rows are shuffled once, by range, and numbered where they land: their place
+    in the sorted partition, plus the rows of the partitions before it. Every row gets a
+    number of its own; NULLs come first, and rows equal in the order columns in any order.
     """
-    ranks = ordered_rank(df.select(*order), list(order))
-    numbered = ranks if set(df.columns) == set(order) else df.join(ranks, list(order))
-    return numbered.withColumn(group, F.floor((F.col("rn") - 1) / size).cast("bigint"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_block": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    blocks = materialise(placed, "numbered")
+    sizes = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
+    # one row for each partition
+    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    place = F.col("_at") - F.shiftleft(F.col("_block").cast("bigint"), 33)
+    numbered = blocks.join(small_side(before, "rows-before"), "_block").withColumn("rn", place + F.col("_before") + 1)
+    return numbered.withColumn(group, F.floor((F.col("rn") - 1) / size).cast("bigint")).select(*df.columns, "rn", group)
 
 
 def batches(

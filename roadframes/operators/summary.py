@@ -41,10 +41,11 @@ def histograms(df: DataFrame, values: Sequence[str], bins: int = 30) -> DataFram
 
     Two passes: bounds, then counts. Both are partial aggregates, so one small row per
     metric and bin is shuffled and nothing is collected. Constant input is widened by
-    a half on both sides; the last bin is closed.
+    a half on both sides; the last bin is closed. Values that are NULL, NaN or infinite
+    are in no bin and do not move the bounds.
     """
-    ranges = df.agg(*[
-        F.struct(F.min(v).cast("double").alias("lo"), F.max(v).cast("double").alias("hi")).alias(v) for v in values])
+    finite = {v: F.when(F.abs(F.col(v).cast("double")) < float("inf"), F.col(v).cast("double")) for v in values}
+    ranges = df.agg(*[F.struct(F.min(finite[v]).alias("lo"), F.max(finite[v]).alias("hi")).alias(v) for v in values])
     flat = F.col("lo") == F.col("hi")
     # one row per metric
     bounds = ranges.select(F.inline(F.array(*[
@@ -53,7 +54,7 @@ def histograms(df: DataFrame, values: Sequence[str], bins: int = 30) -> DataFram
             "metric", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
             F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])))
+        F.struct(F.lit(v).alias("metric"), finite[v].alias("value")) for v in values])))
     index = F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
     counts = long.where("value is not null").join(F.broadcast(bounds), "metric").groupBy(
         "metric", "lo", "hi", F.least(F.lit(bins - 1), index).cast("int").alias("bin")

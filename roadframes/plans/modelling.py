@@ -69,7 +69,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, label: str = "label", by: Sequence[str] = ("split",)) -> DataFrame:
-    """Loss and accuracy per split from class probabilities."""
+    """Loss and accuracy per split from class probabilities.
+
+    A probability below 1e-15 counts as 1e-15, so that one certain miss leaves the loss finite."""
     at_label = F.get(F.col("probability"), F.col(label).cast("int"))
     hit = F.col("prediction").cast("int") == F.col(label)
     return scored.groupBy(*by).agg(

@@ -67,7 +67,7 @@ taps AS (SELECT frame_id, k,
 
 
 def level(score: str, thresholds: list[str]) -> str:
-    hits = ", ".join(f"CASE WHEN round({score}, 9) > {t} THEN {i + 1} ELSE 0 END" for i, t in enumerate(thresholds))
+    hits = ", ".join(f"CASE WHEN {score} > {t} THEN {i + 1} ELSE 0 END" for i, t in enumerate(thresholds))
     return f"CAST(greatest({hits}) AS INTEGER)"
 
 

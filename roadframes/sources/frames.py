@@ -40,8 +40,9 @@ def write_chunks(
     df: DataFrame, path: str, chunk_size: int = 5000, order: Sequence[str] = ("frame_id",),
     valid: str | None = None, mode: str = "errorifexists",
 ) -> None:
-    """One folder per chunk. Each chunk is gathered once, so it is one file and not many."""
-    chunked(df, chunk_size, order, valid).repartition("chunk_id").write.mode(mode).partitionBy("chunk_id").parquet(path)
+    """One folder per chunk. Rows are numbered in ranges, so a chunk lies in one range, or in two
+    neighbouring ones, and is written from there without another shuffle."""
+    chunked(df, chunk_size, order, valid).write.mode(mode).partitionBy("chunk_id").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
