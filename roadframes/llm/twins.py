@@ -1,3 +1,28 @@
 """DuckDB twins of the corpus queries that SQL can express."""
 
-TWINS: dict[str, str] = {}
+REACH = """
+reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT b, root FROM reach JOIN ends ON reach.id = ends.a),
+parts AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+NEAR_COPIES = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT doc_id AS id FROM documents),""" + REACH + """
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN parts ON id = doc_id LEFT JOIN sizes USING (doc_id)"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ends AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM v),""" + REACH + """
+SELECT vec_id, (SELECT count(*) FROM ends WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts ON id = vec_id"""
+
+TWINS: dict[str, str] = {"op6_minhash_dedup": NEAR_COPIES, "op8_embedding_dedup": NEAR_VECTORS}
