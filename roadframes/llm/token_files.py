@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadframes.llm.common import bounded_batches, over_batches, texts
-from roadframes.llm.tokenids import encoder
+from roadframes.llm.tokenids import encoder, gathered
 
 BLOCK = ("shard int, block int, doc_ids binary, symbol_ends binary, token_ends binary, base long, rules binary, "
          "lengths binary, symbols binary, n_tokens long")
 #: No pair is formed with this symbol: it marks the end of a document while pairs are sought.
 WALL = np.uint32(0xFFFFFFFF)
+#: Slots in which pairs are first counted, and an odd number that spreads pairs over them.
+SLOT_BITS, SLOT_MIX = 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 def repair(symbols: np.ndarray, base: int, least: int = 16, rounds: int = 10, per_round: int = 4096):
@@ -49,7 +51,10 @@ def repair(symbols: np.ndarray, base: int, least: int = 16, rounds: int = 10, pe
         if len(symbols) < 2:
             break
         pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        fine = (symbols[:-1] != WALL) & (symbols[1:] != WALL)
+        # a pair is seen no more often than all pairs of its slot: only those of full slots are sorted
+        slot = (pair * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        full = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
+        fine = (symbols[:-1] != WALL) & (symbols[1:] != WALL) & full[slot]
         ordered = np.sort(pair[fine])
         if not len(ordered):
             break
@@ -135,6 +140,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
         symbols = out
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids behind all symbols of a block: every rule is opened once, then copied to its places."""
+    opened = expand(rules.ravel(), rules, lengths, base)
+    source = np.concatenate([opened, np.arange(base, dtype=np.uint32)])
+    start = np.concatenate([np.arange(base) + len(opened), np.cumsum(lengths, dtype=np.int64) - lengths])[symbols]
+    size = np.concatenate([np.ones(base, dtype=np.int64), lengths])[symbols]
+    return gathered(source, start, size)
+
+
 def read_document(block: dict, at: int) -> np.ndarray:
     """Ids of one document of a block, without expanding the others."""
     ends = np.frombuffer(block["symbol_ends"], dtype="<i8")
@@ -195,9 +209,10 @@ def token_blocks(docs: DataFrame, kind: str = "word", path: str | None = None, e
             (c, pa.binary()) for c in ("doc_ids", "symbol_ends", "token_ends")), ("base", pa.int64()), *(
             (c, pa.binary()) for c in ("rules", "lengths", "symbols")), ("n_tokens", pa.int64())])
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            encoded = tokens.encode_all(batch.column("text"))
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 rows.append(doc_id)
-                ids.append(tokens.encode(text.as_py()) + end)
+                ids.append(own + end)
                 n += len(ids[-1]) // 4
                 if n >= block_tokens:
                     yield pa.RecordBatch.from_pylist([_block(shard, number, rows, ids, base)], schema=schema)
@@ -233,7 +248,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
             lengths = np.frombuffer(row["lengths"], dtype="<u4")
             symbols = np.frombuffer(row["symbols"], dtype="<u4")
-            ids = expand(symbols, rules, lengths, row["base"]).astype("<u4").tobytes()
+            ids = expand_all(symbols, rules, lengths, row["base"]).astype("<u4").tobytes()
             ends = np.frombuffer(row["token_ends"], dtype="<i8")
             first = np.concatenate([[0], ends[:-1]])
             out["doc_id"] += np.frombuffer(row["doc_ids"], dtype="<i8").tolist()

@@ -1,26 +1,32 @@
 """Token ids of whole texts by the tokenizers library, with a cache of their pieces.
 
-A text is cut where both kinds of tokenizer end a pre-token anyway: before a single
-space between two visible signs, and at a single line break. Pieces repeat, so their
-ids are kept; a piece of letters with a tail of punctuation is encoded by the
-tokenizer's own model, pre-token by pre-token, and any other piece by the whole
-tokenizer. Texts in which spaces or line breaks meet are encoded whole. The ids are
-those of encoding each whole text.
+A text is cut where both kinds of tokenizer end a pre-token anyway: at a single space
+between two visible signs, and at a single line break. Pieces repeat, so their ids are
+kept, found again by a 64-bit hash of the piece (equal but for collisions). Of the
+other pieces, those of letters with a tail of punctuation go to the tokenizer's own
+model, pre-token by pre-token, and the rest to the whole tokenizer, always many at once,
+as one text whose ids are dealt to them by their places. Texts in which spaces or line
+breaks meet are encoded whole. The ids are those of encoding each whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries a cache holds; later pieces are encoded each time. A piece enters when it is met again:
-#: most pieces are met once. DOOR is the size of the table that remembers first meetings.
-CACHE, DOOR = 250_000, 1 << 21
+from roadframes.llm.textscan import MIX_B, U64, Chunk, byte_table, chunks, mixed
+
+#: Slots of the cache (a newer piece takes the slot of an older one), ids it holds (then it starts
+#: anew), bytes of a piece that enters, and pre-tokens that are encoded together.
+SLOT_BITS, POOL, LONGEST, TOGETHER = 20, 1 << 22, 64, 256
+SEPARATOR = byte_table(b" \n")
+#: First bytes of signs beyond Latin-1: pieces that have one are not folded, for marks may join with a letter.
+BEYOND = byte_table(bytes(range(0xC4, 0xF8)))
 #: Letters whose normal form, case and class both tokenizers treat alike, and a tail of plain punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-MEETING = ("  ", " \n", "\n ", "\n\n")
 KINDS = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
 
 
@@ -36,35 +42,47 @@ SIGNS = _byte_signs()
 
 
 def _signs(text: str) -> str:
-    """A pre-token in a byte-level tokenizer's signs: a visible ASCII word is its own form."""
+    """A pre-token in a byte-level tokenizer's signs, none of which is a space: a visible ASCII word is its own form."""
     word = text[1:] if text[:1] == " " else text
     if word.isascii() and word.isprintable() and " " not in word:
         return text if word is text else SIGNS[32] + word
     return "".join(SIGNS[b] for b in text.encode())
 
 
-class _Cache(dict):
-    """Ids of pieces as little-endian 32-bit bytes, made by ``ids`` where they are not kept."""
+def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of an array that begin at ``start``, one after the other."""
+    first = np.cumsum(size) - size
+    return source[np.arange(int(size.sum())) + np.repeat(start - first, size)]
+
+
+class _Cache:
+    """Ids of pieces by the hash of the piece."""
 
-    def __init__(self, ids: Callable[[str], bytes]):
-        super().__init__()
-        self.ids, self.met = ids, bytearray(DOOR)
+    def __init__(self):
+        self.keys = np.zeros(1 << SLOT_BITS, dtype=U64)
+        self.start = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.size = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        self.pool, self.used = np.zeros(POOL, dtype=np.uint32), 0
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self.ids(piece)
-        at = hash(piece) % DOOR
-        if not self.met[at]:
-            self.met[at] = 1
-        elif len(self) < CACHE and len(piece) <= 64:
-            self[piece] = out
-        return out
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if len(ids) > POOL:
+            return
+        if self.used + len(ids) > POOL:
+            self.keys[:], self.used = 0, 0
+        slot = (keys >> U64(64 - SLOT_BITS)).astype(np.int64)
+        self.pool[self.used : self.used + len(ids)] = ids
+        _, one = np.unique(slot, return_index=True)  # of several new pieces of a slot, one enters
+        slot = slot[one]
+        self.keys[slot], self.size[slot] = keys[one], size[one]
+        self.start[slot] = (self.used + np.cumsum(size) - size)[one]
+        self.used += len(ids)
 
 
 class Encoder:
     """One of the public tokenizers; ``kind`` is "word" (white space dropped) or "byte"."""
 
     def __init__(self, kind: str, path: str | None = None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -72,45 +90,106 @@ class Encoder:
             path = public_tokenizers.path(KINDS[kind])
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.words, self.pieces = _Cache(self._model_ids), _Cache(self.piece)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.cache = _Cache()
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _model_ids(self, word: str) -> bytes:
-        return np.asarray([t.id for t in self.model.tokenize(_signs(word))], dtype="<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece: one that follows a space, or begins with a line break."""
-        broken = piece[:1] == "\n"
-        m = PLAIN.fullmatch(piece, 1 if broken else 0)
+    def _pre_tokens(self, piece: str) -> list[str] | None:
+        """Pre-tokens, in the model's signs, of a piece of letters with a tail; None for another piece."""
+        lead = "\n" if piece[0] == "\n" else " " if piece[0] == " " else ""
+        m = PLAIN.fullmatch(piece, len(lead))
         if not m:
-            return self.whole(piece if broken else " " + piece)
+            return None
         word, tail = m.groups()
         if self.kind == "word":
-            return self.words[word.lower()] + (self.words[tail] if tail else b"")
-        head = self.words["\n"] + self.words[word] if broken else self.words[" " + word]
-        return head + (self.words[tail] if tail else b"")
-
-    @staticmethod
-    def _lower(text: str) -> str:
-        """Lower case, where a text is Latin-1 and so has one form and one lower form for each letter."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
+            head = [_signs(word.lower())]
+        elif lead == "\n":
+            head = [_signs(lead), _signs(word)]
+        else:
+            head = [_signs(lead + word)]
+        return [*head, tail] if tail else head
+
+    def _plain(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces from their pre-tokens, and how many each piece has."""
+        words = [w for own in parts for w in own]
+        owner = np.repeat(np.arange(len(parts)), [len(own) for own in parts])
+        ids, size = [], np.zeros(len(parts), dtype=np.int64)
+        for k in range(0, len(words), TOGETHER):
+            found = self.model.encode(" ".join(words[k : k + TOGETHER]), add_special_tokens=False)
+            ids.append(np.asarray(found.ids, dtype=np.uint32))
+            size += np.bincount(owner[k : k + TOGETHER][np.asarray(found.word_ids, dtype=np.int64)], minlength=len(parts))
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), size
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has. A piece begins with its separator, if it has one."""
+        parts = [self._pre_tokens(p) for p in pieces]
+        plain = np.array([own is not None for own in parts], dtype=bool)
+        ids, size = self._plain([own for own in parts if own is not None])
+        if plain.all():
+            return ids, size
+        rest = [self.whole(p) for p, own in zip(pieces, parts, strict=True) if own is None]
+        sizes, starts = np.zeros((2, len(pieces)), dtype=np.int64)
+        sizes[plain], sizes[~plain] = size, [len(r) for r in rest]
+        starts[plain], starts[~plain] = np.cumsum(size) - size, len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        return gathered(np.concatenate([ids, *rest]), starts, sizes), sizes
+
+    def _hashes(self, chunk: Chunk, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        if self.kind == "byte":  # the separator before a piece is a part of it
+            return mixed(chunk.hasher()(start, end) + lead.astype(U64) * U64(MIX_B))
+        keys = chunk.hasher(fold=True)(start, end)
+        beyond = chunk.totals(BEYOND)
+        odd = beyond[end] > beyond[start]
+        if odd.any():
+            keys[odd] = mixed(chunk.hasher()(start[odd], end[odd]) + U64(MIX_B))
+        return keys
+
+    def _chunk(self, chunk: Chunk) -> Iterator[bytes]:
+        data, offsets = chunk.data, chunk.offsets
+        between = SEPARATOR[data]
+        filled = np.flatnonzero(np.diff(offsets))
+        uncut = np.zeros(chunk.n, dtype=bool)
+        uncut[filled] = between[offsets[filled]] | between[offsets[filled + 1] - 1]
+        meet = np.flatnonzero(between[:-1] & between[1:])
+        uncut[np.searchsorted(offsets, meet, "right") - 1] = True  # a text that ends with a separator is there already
+        runs = chunk.runs(~SEPARATOR)
+        cut = ~uncut[runs.doc]
+        start, end, doc = runs.start[cut], runs.end[cut], runs.doc[cut]
+        lead = np.where(start > offsets[doc], data[start - 1], 0)
+        keys = self._hashes(chunk, start, end, lead)
+        cache, slot = self.cache, (keys >> U64(64 - SLOT_BITS)).astype(np.int64)
+        known = cache.keys[slot] == keys
+        size, place = np.where(known, cache.size[slot], 0).astype(np.int64), cache.start[slot]
+        new, first, which = np.unique(keys[~known], return_index=True, return_inverse=True)
+        at, raw = np.flatnonzero(~known)[first], data.tobytes()
+        signs = {0: "", 10: "\n", 32: " "}
+        made, many = self._pieces([signs[v] + raw[a:b].decode() for v, a, b in zip(
+            lead[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
+        size[~known], place[~known] = many[which], (np.cumsum(many) - many)[which]
+        ids = np.empty(int(size.sum()), dtype=np.uint32)
+        old = np.repeat(known, size)
+        ids[old] = gathered(cache.pool, place[known], size[known])
+        ids[~old] = gathered(made, place[~known], size[~known])
+        short = end[at] - start[at] <= LONGEST
+        cache.add(new[short], gathered(made, (np.cumsum(many) - many)[short], many[short]), many[short])
+        out, stops = ids.astype("<u4").tobytes(), np.cumsum(np.bincount(doc, weights=size, minlength=chunk.n).astype(np.int64))
+        a = 0
+        for d, b in enumerate((4 * stops).tolist()):
+            if uncut[d]:
+                yield self.whole(raw[offsets[d] : offsets[d + 1]].decode()).astype("<u4").tobytes()
+            else:
+                yield out[a:b]
+            a = b
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit bytes, in their order."""
+        for chunk in chunks(texts):
+            yield from self._chunk(chunk)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit bytes."""
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(m in text for m in MEETING):
-            return self.whole(text) if text else b""
-        if self.kind == "word":
-            text = self._lower(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        head = self.pieces[first] if self.kind == "word" else self.whole(first)
-        return head + b"".join(map(self.pieces.__getitem__, rest))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
