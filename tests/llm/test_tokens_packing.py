@@ -5,12 +5,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from roadframes.llm import packing, token_files
+from roadframes.llm import packing, token_files, tokenids
 from roadframes.llm.tokenids import Encoder
 
 
@@ -31,6 +32,15 @@ def test_pieces_encode_like_the_whole(kind, text):
     assert np.frombuffer(ours.encode(text), dtype="<u4").tolist() == theirs(text)
 
 
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_small_cache_starts_anew(kind, monkeypatch):
+    monkeypatch.setattr(tokenids, "POOL", 40)
+    ours, theirs = Encoder(kind), whole(kind)
+    texts = [" ".join(f"{a}{b}" for b in ("one", "Two,", "thrée", "J̌k", "x" * 70)) for a in "abcdefgh"] * 3 + ["", None]
+    got = [np.frombuffer(x, dtype="<u4").tolist() for t in texts for x in ours.encode_all(pa.array([t], pa.string()))]
+    assert got == [theirs(t) for t in texts]
+
+
 @pytest.fixture(scope="module")
 def files(spark, both, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("files") / "tokens")
