@@ -9,16 +9,24 @@ The rates come from accelerated projected gradient steps. A step needs the domai
 totals only, so each pass over the documents sums r w p in Spark, and the few totals go
 into the next step. A rate is a function of the document's probabilities and of the
 totals so far, so tasks replay the steps and no state is kept between passes; a lost
-executor costs its tasks alone.
+executor costs its tasks alone. Replays make the arithmetic quadratic in the steps: tens of
+them on even tables, some hundreds where a domain has a thousandth of the tokens.
+
+Steps end when every domain has its target, or when a bound from below on the sum of squares
+shows that no rates do better. If neither comes, the fit raises. Rates have no upper bound
+unless the caller sets one with ``most``; then steps also end when ``STILL`` passes have moved
+no share by more than ``close``.
 
 A target for a domain without any probability cannot be reached and leaves its gap to the
-others' best fit. Null and empty texts have no tokens and get the classifier's prior.
+others' best fit: ``mix`` returns target and reached share of each row's domain, ``Mixture.shares``
+those of all, and domains that miss their target are named in a warning. Null and empty texts have no tokens and get the classifier's prior.
 Repeated rows are mixed as often as they stand. An empty table gives no rows. Other
 columns are read for the labels only.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +40,12 @@ from roadframes.llm.textscan import NOT_SPACE, U64, Chunk, chunks
 from roadframes.session import materialise
 
 SLOTS = 2048
+#: Residuals of the domains' totals, and whether the step starts anew from the rates.
+Step = tuple[np.ndarray, bool]
+#: A warning names domains that miss their target share by more than this.
+MISSED = 1e-3
+#: Passes over which shares must not move where the caller has set a bound.
+STILL = 50
 
 
 def hashed_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +119,16 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return over_batches(texts(docs), predict, "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, history: list[np.ndarray], rate: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps whose residuals are given, and the point at which the next one is taken.
+def replay(p: np.ndarray, history: list[Step], rate: float, most: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the given steps, and the point at which the next one is taken.
 
-    Accelerated: each step starts from a point a little beyond the last two rates."""
+    Accelerated: each step starts from a point a little beyond the last two rates, but for
+    a fresh one, which starts from the rates themselves."""
     r = point = np.ones(len(p))
     weight = 1.0
-    for residual in history:
+    for residual, fresh in history:
+        if fresh:
+            point, weight = r, 1.0
         new = np.clip(point - rate * (p @ residual), 0.0, most)
         ahead = (1 + np.sqrt(1 + 4 * weight * weight)) / 2
         point = new + (weight - 1) / ahead * (new - r)
@@ -121,56 +138,98 @@ def replay(p: np.ndarray, history: list[np.ndarray], rate: float, most: float) -
 
 @dataclass
 class Mixture:
-    """Residuals of the steps, step size, and the totals reached."""
+    """The steps, step size, and the totals reached beside the targets."""
 
-    history: list[np.ndarray]
+    history: list[Step]
     rate: float
     reached: np.ndarray
     target: np.ndarray
 
+    def shares(self, domains: list[str]) -> dict[str, tuple[float, float]]:
+        """Target and reached share of each domain."""
+        return {d: (float(t), float(r)) for d, t, r in zip(domains, self.target, self.reached, strict=True)}
+
 
 def _p(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, k)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], most: float = 8.0,
-              steps: int = 60, close: float = 1e-4) -> Mixture:
-    """Steps until every domain is within ``close`` of its target share, or ``steps`` of them."""
+def _above_least(residual: np.ndarray, target: np.ndarray, lowest: float, below: float, most: float | None) -> float:
+    """How far half the sum of squares is above its least value, at most: the gap to the dual problem.
+
+    ``lowest`` is the smallest product of a document's probabilities with the residual, ``below`` the
+    weighed sum of the negative ones. Probabilities sum to 1, so a shift makes all products positive."""
+    dual = residual + max(-lowest, 0.0) if most is None else residual
+    bound = -(dual @ dual) / 2 - dual @ target
+    if most is not None:
+        bound += most * below
+    return float(residual @ residual / 2 - bound)
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None,
+              steps: int = 2000, close: float = 1e-4, settled: float = 1e-6) -> Mixture:
+    """Steps until every domain is within ``close`` of its target share, or half the sum of squares
+    within ``settled`` of the least that any rates give; an error after ``steps`` of them."""
     k = len(domains)
     target = np.array([targets.get(d, 0.0) for d in domains], dtype=np.float64)
     target = target / target.sum() if target.sum() else target
 
-    def totals(fn, size: int) -> np.ndarray:
+    def totals(fn, size: int) -> tuple[np.ndarray, float]:
+        """Sums over all documents, and the minimum of the value after the last sum."""
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             p, n = _p(batch, k), batch.column("n_tokens").to_numpy().astype(np.float64)
             v = fn(p, n)
-            return pa.RecordBatch.from_pydict({"at": np.arange(size, dtype=np.int32), "value": v})
+            return pa.RecordBatch.from_pydict({"at": np.arange(len(v), dtype=np.int32), "value": v})
 
-        parts = over_batches(members, run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-        out = np.zeros(size)
+        parts = over_batches(members, run, "at int, value double").groupBy("at").agg(
+            F.sum("value").alias("value"), F.min("value").alias("least"))
+        out, least = np.zeros(size), 0.0
         for row in parts.collect():
-            out[row["at"]] = row["value"]
-        return out
+            if row["at"] < size:
+                out[row["at"]] = row["value"]
+            else:
+                least = row["least"]
+        return out, least
 
     def moments(p: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.append(((p * n[:, None]).T @ p).ravel(), n.sum())
 
-    first = totals(moments, k * k + 1)
+    first, _ = totals(moments, k * k + 1)
     if not k or not first[-1]:
         return Mixture([], 1.0, np.zeros(k), target)
     every = first[-1]
     rate = 1 / max(float(np.linalg.eigvalsh(first[:-1].reshape(k, k) / every).max()), 1e-12)
-    history: list[np.ndarray] = []
+    history: list[Step] = []
+    path: list[np.ndarray] = []
+    last: np.ndarray | None = None  # residual of the rates one pass before
     while True:
-        def weighed(p: np.ndarray, n: np.ndarray, history=tuple(history)) -> np.ndarray:
+        def weighed(p: np.ndarray, n: np.ndarray, history=tuple(history), last=last) -> np.ndarray:
             r, point = replay(p, list(history), rate, most)
-            return np.concatenate([(r * n) @ p, (point * n) @ p])
-
-        both = totals(weighed, 2 * k) / every
-        reached = both[:k]
-        if len(history) >= steps or np.abs(reached - target).max() <= close:
+            along = (p @ last)[n > 0] if last is not None else np.zeros(0)
+            below = (n[n > 0] * np.minimum(along, 0)).sum() if len(along) else 0.0
+            return np.concatenate([(r * n) @ p, (point * n) @ p, [below, along.min(initial=np.inf)]])
+
+        both, lowest = totals(weighed, 2 * k + 1)
+        both /= every
+        reached, residual = both[:k], both[:k] - target
+        if np.abs(residual).max() <= close:
+            return Mixture(history, rate, reached, target)
+        fresh = False
+        if last is not None:
+            # the bound is known for the rates of the last pass; rates that are as good or better share it
+            worse = float(residual @ residual - last @ last) / 2
+            if _above_least(last, target, lowest, both[2 * k], most) + worse <= settled:
+                return Mixture(history, rate, reached, target)
+            fresh = worse > 0  # the lead went too far
+        # many rates at a bound make steps short: there, shares that hardly move have settled too
+        path.append(reached)
+        if most is not None and len(path) > STILL and np.ptp(path[-STILL:], axis=0).max() <= close:
             return Mixture(history, rate, reached, target)
-        history.append(both[k:] - target)
+        if len(history) >= steps:
+            raise RuntimeError(f"rates have not settled after {steps} steps: target and reached shares "
+                               f"{Mixture(history, rate, reached, target).shares(domains)}")
+        history.append((residual if fresh else both[k : 2 * k] - target, fresh))
+        last = residual
 
 
 @dataclass
@@ -179,23 +238,30 @@ class Mixer:
 
     model: DomainModel
     mixture: Mixture
-    most: float
+    most: float | None
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return replay(p, self.mixture.history, self.mixture.rate, self.most)[0]
 
 
 def fit_mixer(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str | Column = "lang",
-              most: float = 8.0, **fit) -> tuple[Mixer, DataFrame]:
+              most: float | None = None, **fit) -> tuple[Mixer, DataFrame]:
     """The mixer, and the documents' memberships in the shared folder."""
     model = fit_domains(docs, labels, domain)
     members = materialise(memberships(docs, model), "memberships")
-    return Mixer(model, fit_rates(members, model.domains, targets, most, **fit), most), members
+    mixture = fit_rates(members, model.domains, targets, most, **fit)
+    if mixture.reached.any():
+        shares = {d: (t, 0.0) for d, t in targets.items() if t} | mixture.shares(model.domains)
+        missed = {d: s for d, s in shares.items() if abs(s[0] - s[1]) > MISSED}
+        if missed:
+            warnings.warn(f"domains miss their target shares (target, reached): {missed}", stacklevel=3)
+    return Mixer(model, mixture, most), members
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str | Column = "lang",
-        most: float = 8.0, **fit) -> DataFrame:
-    """``doc_id, n_tokens, domain, rate, copies`` for every row; domain is the likeliest one.
+        most: float | None = None, **fit) -> DataFrame:
+    """``doc_id, n_tokens, domain, rate, target, reached, copies`` for every row; domain is the likeliest one,
+    and has ``target`` and ``reached`` as its share of tokens asked for and expected.
 
     ``copies`` rounds the rate up or down by a hash of the id, so that its mean is the rate."""
     mixer, members = fit_mixer(docs, labels, targets, domain, most, **fit)
@@ -203,17 +269,21 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
 
     def rates(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = _p(batch, len(domains))
-        name = [domains[i] for i in p.argmax(axis=1)] if domains else [None] * len(p)
+        at = p.argmax(axis=1) if domains else None
+        own = [pa.array(v, pa.float64()).take(pa.array(at)) if domains else pa.nulls(len(p), pa.float64())
+               for v in (mixer.mixture.target, mixer.mixture.reached)]
+        name = [domains[i] for i in at] if domains else [None] * len(p)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(name, pa.string()), pa.array(mixer.rates(p))],
-            ["doc_id", "n_tokens", "domain", "rate"])
+            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(name, pa.string()), pa.array(mixer.rates(p)), *own],
+            ["doc_id", "n_tokens", "domain", "rate", "target", "reached"])
 
-    out = over_batches(members, rates, "doc_id long, n_tokens long, domain string, rate double")
+    out = over_batches(members, rates,
+                       "doc_id long, n_tokens long, domain string, rate double, target double, reached double")
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str | Column = "lang",
-         most: float = 8.0, **fit) -> DataFrame:
+         most: float | None = None, **fit) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` of its rate says."""
     mixer, _ = fit_mixer(docs, labels, targets, domain, most, **fit)
 

@@ -161,3 +161,32 @@ def test_mixing_odd_rows(odd, docs, labels, none):
     assert drawn.columns == odd.columns
     assert mixing.draw(none, labels, {"en": 1.0}).count() == 0
     assert OTHER == 0
+
+
+def skewed(spark, rare):
+    """A thousand texts of two languages, ``rare`` of them of the second."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(1000):
+        lang = "de" if i < rare else "en"
+        rows.append((i, " ".join(f"{lang}{v}" for v in rng.integers(0, 40, 30)), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_mixing_reaches_targets_of_rare_domains(spark):
+    rare = 20
+    df = skewed(spark, rare)
+    got = mixing.mix(df, df.select("doc_id"), {"en": 0.8, "de": 0.2}).collect()
+    total = sum(r["rate"] * r["n_tokens"] for r in got)
+    assert sum(r["rate"] * r["n_tokens"] for r in got if r["doc_id"] < rare) / total == pytest.approx(0.2, abs=0.02)
+    assert {round(r["target"], 6) for r in got} == {0.8, 0.2}
+    assert all(r["reached"] == pytest.approx(r["target"], abs=1e-3) for r in got)
+
+
+def test_mixing_tells_of_missed_targets(spark):
+    df = skewed(spark, 20)
+    names = df.select("doc_id")
+    with pytest.warns(UserWarning, match="fr"):  # nobody speaks it
+        mixing.mix(df, names, {"en": 0.6, "de": 0.2, "fr": 0.2})
+    with pytest.raises(RuntimeError, match="not settled after 3 steps"):
+        mixing.mix(df, names, {"en": 0.8, "de": 0.2}, steps=3)
