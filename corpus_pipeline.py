@@ -27,9 +27,12 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8 or more."""
-    found = minhash_dedup.minhash_dedup(docs, percent=80)
-    copies = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    found = minhash_dedup.near_copies(docs, percent=80)
+    copies = found.where("not kept and doc_id is not null").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = (docs["doc_id"].cast("long") == copies["__id"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == copies["__key"])
+    return docs.join(copies, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

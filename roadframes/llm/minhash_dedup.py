@@ -3,7 +3,8 @@
 1. A text's words are lower-cased (A-Z) and hashed; its set is the distinct shingles of
    ``width`` words (a shorter text is one shingle). ``bands`` x ``rows`` universal hash
    functions give its minima, and each band of minima one key.
-2. Documents with equal sets are one class, stood for by its smallest id.
+2. Documents with equal sets are one class, stood for by its smallest id. Where an id stands for
+   several classes, as it has several texts, all but one of them get numbers of their own.
 3. Classes that share a band key are a bucket. Buckets with the same members count once.
    A bucket's members are compared with its pivot first: linear in the bucket's size.
 4. Links are confirmed: the share of equal minima rules out pairs far below the limit,
@@ -14,9 +15,10 @@
    no link between different components is lost, and no bucket is cut or gathered whole.
 6. Components come from alternating large-star and small-star.
 
-Null and empty texts have no set and are linked with nothing. Ids should be unique: rows
-with the same id are one document as to links, and the first of its texts is compared. A null id is returned with its own counts. An empty
-table gives no rows. Other columns are not read.
+Null and empty texts have no set and are linked with nothing. Different texts of one id are
+documents of their own: each is linked by its own set, and one text of a component is kept. A
+component is named by the id of its class with the smallest number. A null id is returned with
+its own counts. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,8 +110,13 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_key``: the key tells the texts of one id apart."""
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles``, a digest of the set, its minima as bytes, and its band keys."""
+    """``doc_id, text_key, n_shingles``, a digest of the set, its minima as bytes, and its band keys."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, minis, keys = [], [], [], []
@@ -129,11 +136,12 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         flat = np.concatenate(keys)
         lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * bands, pa.array(flat.ravel()))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(digests, pa.binary()),
-             pa.array(minis, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "minima", "bands"])
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(sizes)),
+             pa.array(digests, pa.binary()), pa.array(minis, pa.binary()), lists],
+            ["doc_id", "text_key", "n_shingles", "digest", "minima", "bands"])
 
-    return over_batches(texts(docs), sign,
-                        "doc_id long, n_shingles long, digest binary, minima binary, bands array<long>")
+    return over_batches(keyed_texts(docs), sign, "doc_id long, text_key long, n_shingles long, digest binary, "
+                                                 "minima binary, bands array<long>")
 
 
 class Sets:
@@ -207,7 +215,7 @@ def _tile_links(percent: int, width: int, n: int):
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """``bucket, pivot, node`` for the members of buckets of two or more, one bucket for each set of members."""
-    banded = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
+    banded = classes.select("node", F.explode("bands").alias("key"))
     kept = banded.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"),
         F.min("node").alias("pivot")).where("n > 1")
@@ -241,24 +249,44 @@ def _tiled(open_buckets: DataFrame, tile: int = TILE) -> DataFrame:
     return everyone.unionByName(outside.select(everyone.columns))
 
 
+def _classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, digest, rep, rep_key, minima, bands`` of every set, and ``node, rep`` of the sets
+    whose number is not the id of the text that stands for them."""
+    least = materialise(
+        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+            F.min(F.struct("doc_id", "text_key")).alias("r")).select(
+            "digest", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_key")), "least")
+    shared = materialise(
+        least.groupBy("rep").agg(F.min("digest").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    own = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
+    named = least.join(shared, "rep", "left").withColumn(
+        "node", F.when(F.coalesce(F.col("main") == F.col("digest"), F.lit(True)), F.col("rep")).otherwise(own)).drop("main")
+    bodies = signed.select("digest", F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "minima", "bands")
+    classes = materialise(
+        named.join(bodies, ["digest", "rep", "rep_key"]).dropDuplicates(["digest"]), "classes")
+    extra = materialise(classes.where("node <> rep").select("node", "rep"), "extra")
+    return classes, extra
+
+
 def minhash_dedup(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return near_copies(docs, percent, width, bands, rows).drop("text_key")
+
+
+def near_copies(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, kept`` for every row of ``docs``; the key is that of ``keyed_texts``."""
     bounded_batches(docs.sparkSession)
     n = bands * rows
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"))
-    classes = materialise(
-        classes.join(signed.select("digest", F.col("doc_id").alias("rep"), "minima", "bands"), ["digest", "rep"])
-        .dropDuplicates(["digest", "rep"]), "classes")
+    classes, extra = _classes(signed)
     buckets = _buckets(classes)
     members = buckets.select("node").distinct()
-    # a class's text is one of those with its digest, as an id may stand on several rows
-    wanted = classes.select("rep", "minima", "digest").join(members.withColumnRenamed("node", "rep"), "rep", "leftsemi")
+    # a class's text is the one whose digest it has, by its key, as an id may stand on several rows
+    wanted = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"), "minima").join(
+        members, "node", "leftsemi")
     bodies = materialise(
-        texts(docs).withColumnRenamed("doc_id", "rep").join(wanted.groupBy("rep").agg(
-            F.min("digest").alias("digest"), F.min("minima").alias("minima")), "rep")
-        .dropDuplicates(["rep"]).select(F.col("rep").alias("node"), "text", "minima"), "bodies")
+        keyed_texts(docs).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select(
+            "node", "text", "minima"), "bodies")
     pivots = bodies.select(
         F.col("node").alias("v"), F.col("text").alias("pivot_text"), F.col("minima").alias("pivot_minima"))
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
@@ -269,11 +297,14 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands:
     bounded = tiled.join(bodies, "node").groupBy("bucket", "tile", "strip").applyInArrow(
         _tile_links(percent, width, n), "u long, v long")
     more = materialise(bounded, "more_links")
-    same = classes.select("rep", "digest")
+    same = classes.select("node", "digest", "rep", "rep_key")
     parts = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    named = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named.groupBy("digest").agg(
-        F.min("component_id").alias("component_id")), "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = same.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(extra.toDF("component", "id"), "component", "left").select(
+        "digest", "rep", "rep_key", F.coalesce("id", "component").alias("component_id"),
+        (F.col("node") == F.col("component")).alias("lead"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
+    first = F.col("lead") & (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+    return out.select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.when(F.col("digest").isNull(), F.col("doc_id").isNotNull()).otherwise(first), F.lit(False)).alias("kept"))

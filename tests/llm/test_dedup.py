@@ -143,3 +143,22 @@ def test_bound_holds():
     product = (a.codes.astype(float) @ b.codes.T.astype(float)) * a.scale[:, None] * b.scale
     bound = (a.norm + a.error)[:, None] * b.error + a.error[:, None] * b.norm
     assert (np.abs(a.unit @ b.unit.T - product) <= bound + 1e-12).all()
+
+
+def test_texts_of_one_id(spark):
+    """An id on several rows: each of its texts is linked by its own set, and none unlike all others is lost."""
+    import corpus_pipeline
+
+    words = lambda c, n=60: [f"{c}{k}" for k in range(n)]
+    near = lambda c: " ".join([*words(c, 59), "other"])
+    whole = {c: " ".join(words(c)) for c in "abcd"}
+    rows = [(1, whole["a"]), (2, near("a")), (2, whole["b"]), (3, near("b")), (4, whole["c"]), (4, near("c")),
+            (5, whole["d"]), (5, whole["d"]), (6, ""), (6, near("d")), (None, whole["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    for c in "abcd":  # one text of each family
+        assert sum(i is not None and t.startswith(f"{c}0 ") for i, t in left) == 1, c
+    assert (6, "") in left and (None, whole["a"]) in left and len(left) == 6
+    assert (1, whole["a"]) in left and (5, whole["d"]) in left
+    got = minhash_dedup.minhash_dedup(df, percent=80)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == len(rows)
