@@ -75,5 +75,7 @@ FEEDBACK_SESSION = T.StructType([
         T.StructField("total_images", T.LongType()),
         T.StructField("correct_predictions", T.LongType()),
         T.StructField("session_duration", T.DoubleType()),
+        T.StructField("session_images", T.LongType()),
+        T.StructField("session_correct", T.LongType()),
     ])),
 ])

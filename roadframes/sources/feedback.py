@@ -41,10 +41,12 @@ def feedback_documents(reviews: DataFrame, images: int = 12) -> DataFrame:
     ``reviews`` has ``session``, ``timestamp``, ``session_duration`` and the entry
     columns, one row per image. A session that reviewed more images than one page
     holds becomes several documents, one per page, so no document grows without bound.
+    In the metadata, ``total_images`` and ``correct_predictions`` count the document's own
+    entries; ``session_images`` and ``session_correct`` those of the whole session.
     """
     page = F.floor(F.col("image_index") / images).cast("bigint").alias("page")
     entries = F.sort_array(F.collect_list(F.struct(*ENTRY)))
-    return reviews.groupBy("session", page).agg(
+    pages = reviews.groupBy("session", page).agg(
         F.max("timestamp").alias("timestamp"),
         entries.alias("feedback"),
         F.max("session_duration").alias("session_duration"),
@@ -53,6 +55,11 @@ def feedback_documents(reviews: DataFrame, images: int = 12) -> DataFrame:
             F.count("*").alias("total_images"),
             F.count_if("was_correct").alias("correct_predictions"),
             F.max("session_duration").alias("session_duration")).alias("metadata"))
+    totals = reviews.groupBy(F.col("session").alias("__session")).agg(
+        F.count("*").alias("__images"), F.count_if("was_correct").alias("__correct"))
+    whole = F.col("metadata").withField("session_images", F.col("__images")).withField("session_correct", F.col("__correct"))
+    joined = pages.join(totals, F.col("session").eqNullSafe(F.col("__session")))
+    return joined.withColumn("metadata", whole).select(pages.columns)
 
 
 def write_feedback(reviews: DataFrame, path: str, images: int = 12, one_file_each: bool = False) -> None:

@@ -129,3 +129,14 @@ def test_feedback_round_trip_and_pages(spark, tmp_path):
     assert sorted(r.metadata.total_images for r in sessions.collect()) == [6, 12, 12]
     assert sorted(r.image_index for r in fb.flatten_feedback(sessions).collect()) == list(range(30))
     assert [e.image_index for e in sessions.orderBy(F.desc("metadata.total_images"), "feedback").first().feedback] == list(range(12))
+
+
+def test_session_totals_in_every_page(spark, tmp_path):
+    rows = [(s, "20240101_000000", 9.0, i, 2.0, 2.0, i % 3 == 0, 0.5, 0.5) for s, n in (("s", 30), ("t", 5), (None, 13)) for i in range(n)]
+    df = spark.createDataFrame(rows, "session string, timestamp string, session_duration double, image_index bigint, model_prediction double, user_correction double, was_correct boolean, density double, congestion double")
+    want = [("s", 0, 30, 10), ("s", 1, 30, 10), ("s", 2, 30, 10), ("t", 0, 5, 2), (None, 0, 13, 5), (None, 1, 13, 5)]
+    got = fs.feedback_documents(df).select("session", "page", "metadata.session_images", "metadata.session_correct").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    fs.write_feedback(df.where("session = 's'"), str(tmp_path / "a"), one_file_each=True)
+    sessions, _ = fs.scan_feedback(spark, str(tmp_path / "a"))
+    assert [tuple(r) for r in sessions.select("metadata.session_images", "metadata.session_correct").collect()] == [(30, 10)] * 3
