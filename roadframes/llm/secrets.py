@@ -5,9 +5,10 @@ tags every token (a run without white space) as B, I or O from its shape, its
 neighbours and features of the file; Viterbi decodes it, and a span the CRF finds where
 no base span lies is added with kind ``crf``. Base spans always stay.
 
-The CRF learns from the base patterns, which serve as labels: on a bounded sample of documents
-(``sample_docs`` by a hash of the id), windows of tokens around base spans, and as many
-windows without. Shapes are described by shares of signs, so it also finds
+The CRF learns from the base patterns, which serve as labels. Base spans are searched in all
+documents; about ``marked_docs`` of those that have one give windows of tokens around them,
+and about ``sample_docs`` of the others windows without, both by a hash of the id. So
+secrets are learnt however rare they are; without any base span the CRF finds nothing. Shapes are described by shares of signs, so it also finds
 secrets of other forms.
 
 Decoding is exact without running the chain over every token: where a token's lead of O
@@ -25,10 +26,12 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from roadframes.llm import crf
 from roadframes.llm.common import hash_sample, over_batches, texts
 from roadframes.llm.textscan import DIGIT, FOLD, LOWER, NOT_SPACE, POINT, U64, UPPER, Chunk, HashIndex, byte_table, chunks, text_hash
+from roadframes.session import materialise
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -177,23 +180,53 @@ def _tags(tokens: Tokens, spans: list[list[tuple[str, int, int]]], points: np.nd
     return tags
 
 
-def fit_secrets(docs: DataFrame, sample_docs: int = 3000, around: int = 12, most_windows: int = 20) -> crf.Chain:
-    """A chain from windows of a bounded sample: one window without a secret, and up to
-    ``most_windows`` with one, from each of about ``sample_docs`` documents."""
-    rows = hash_sample(texts(docs), "doc_id", sample_docs)
+def marked_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key`` of the rows of ``docs`` that have a base span."""
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        has = [bool(s) for c in chunks(batch.column("text")) for s in base_spans(c, c.totals(POINT))]
+        return batch.select(["doc_id", "text_key"]).filter(pa.array(has, pa.bool_()))
+
+    return over_batches(texts(docs).withColumn("text_key", F.xxhash64("text")), mark, "doc_id long, text_key long")
+
+
+def strata(docs: DataFrame, sample_docs: int, marked_docs: int) -> DataFrame:
+    """``doc_id, text, marked``: about ``marked_docs`` rows with a base span, and a uniform sample with about
+    ``sample_docs`` rows without; its rows with one are not to be used."""
+    marked, every = materialise(marked_rows(docs), "marked"), texts(docs)
+    n, m = every.count(), marked.count()
+    uniform = hash_sample(every, "doc_id", -(-sample_docs * n // max(n - m, 1)))
+    # broadcast: about marked_docs rows by the bound of the sample
+    few = F.broadcast(hash_sample(marked, "doc_id", marked_docs).distinct().toDF("id", "key"))
+    same = every["doc_id"].eqNullSafe(few["id"]) & (F.xxhash64(every["text"]) == few["key"])
+    return every.join(few, same, "leftsemi").withColumn("marked", F.lit(True)).unionByName(
+        uniform.withColumn("marked", F.lit(False)))
+
+
+def fit_secrets(docs: DataFrame, sample_docs: int = 3000, around: int = 12, most_windows: int = 20,
+                marked_docs: int = 300) -> crf.Chain:
+    """A chain from windows of a bounded sample: one window without a secret from each of about ``sample_docs``
+    documents without a base span, and that and up to ``most_windows`` with one from each of about
+    ``marked_docs`` documents with one."""
+    rows = strata(docs, sample_docs, marked_docs)
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = [], []
+        wanted = np.array(batch.column("marked").to_pylist(), dtype=bool)
         for chunk in chunks(batch.column("text")):
             points, tokens = chunk.totals(POINT), Tokens(chunk)
-            tags = _tags(tokens, base_spans(chunk, points), points)
+            spans = base_spans(chunk, points)
+            tags = _tags(tokens, spans, points)
+            # documents of this row's stratum
+            own_kind = np.array([bool(s) for s in spans]) == wanted[chunk.first : chunk.first + chunk.n]
             marked = np.flatnonzero(tags == B)
             nth = np.arange(len(marked)) - np.searchsorted(tokens.runs.doc[marked], tokens.runs.doc[marked])
             marked = marked[nth < most_windows]
             # one window without a secret for each document, where its shapes are least like words
             odd = np.lexsort((-tokens.features[:, 7] - tokens.features[:, 2], tokens.runs.doc))
             lead = odd[np.unique(tokens.runs.doc[odd], return_index=True)[1]] if len(odd) else odd
-            for c in [*marked.tolist(), *lead[tags[lead] == O].tolist()]:
+            chosen = np.concatenate([marked, lead[tags[lead] == O]]).astype(np.int64)
+            for c in chosen[own_kind[tokens.runs.doc[chosen]]].tolist():
                 a, b = np.searchsorted(tokens.runs.doc, [tokens.runs.doc[c], tokens.runs.doc[c] + 1])
                 own = slice(max(a, c - around), min(b, c + around + 1))
                 x.append(tokens.features[own].tobytes())

@@ -175,3 +175,26 @@ def test_redaction(odd, docs):
 def test_digests(spark):
     got = catalog.op2_secrets(spark, "/root/testdata/sf0.01").where("n_assign > 0").first()
     assert got["spans"].count("assign") == got["n_assign"]
+
+
+def test_rare_secrets_are_learnt(spark):
+    """Eight documents of 2,000 have a secret, and a uniform sample has none of them."""
+    import random
+
+    from roadframes.llm.common import hash_sample
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9)))
+    blob = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
+    text = lambda secret: " ".join([word() for _ in range(30)] + [secret] + [word() for _ in range(30)])
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+    sampled = {r["doc_id"] for r in hash_sample(ids, "doc_id", 200).collect()}
+    rare = [i for i in range(2000) if i not in sampled][::220][:8]
+    rows = [(i, text(f'token = "{blob()}"' if i in rare else word())) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in secrets.marked_rows(df).collect()} == set(rare)
+    chain = secrets.fit_secrets(df, sample_docs=200)
+    tests = [(i, text(f'auth = "{blob()}"' if i % 2 else word())) for i in range(100)]
+    found = secrets.find_secrets(spark.createDataFrame(tests, "doc_id long, text string"), chain).collect()
+    hit = {r["doc_id"] for r in found if any(s["kind"] == "crf" for s in r["spans"])}
+    assert sum(i % 2 for i in hit) >= 40 and sum(1 - i % 2 for i in hit) <= 2
