@@ -25,4 +25,31 @@ nodes AS (SELECT vec_id AS id FROM v),""" + REACH + """
 SELECT vec_id, (SELECT count(*) FROM ends WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN parts ON id = vec_id"""
 
-TWINS: dict[str, str] = {"op6_minhash_dedup": NEAR_COPIES, "op8_embedding_dedup": NEAR_VECTORS}
+
+
+def _clusters(clusters: int = 40, rounds: int = 5) -> str:
+    """Plain rounds of k-means over whole numbers: the nearest centroid by distance, then number."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT r, min(d * {clusters} + c) % {clusters} AS c, min(d * {clusters} + c) // {clusters} AS d FROM (
+  SELECT r, c, sum((x - y) * (x - y)) AS d FROM xs JOIN c{k} USING (i) GROUP BY r, c) GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{k} LEFT JOIN (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM a{k} JOIN xs USING (r) GROUP BY c, i) USING (c, i))""")
+    return f"""
+WITH vecs AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+xs AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM vecs),
+c0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS i, unnest(v) AS y FROM (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM vecs) WHERE c < {clusters}),{",".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN vecs USING (r) JOIN (
+  SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+TWINS: dict[str, str] = {"op6_minhash_dedup": NEAR_COPIES, "op8_embedding_dedup": NEAR_VECTORS,
+                         "op12_ns_clusters": _clusters()}
