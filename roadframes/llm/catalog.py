@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadframes.llm import (
-    embedding_dedup, minhash_dedup, mixing, ns_clusters, packing, pii, quality_crf, quality_rules, secrets, token_files, toxicity)
+    embedding_dedup, minhash_dedup, mixing, ns_clusters, packing, pii, quality_crf, quality_rules, secrets, spelling, token_files, toxicity)
 from roadframes.llm.common import crc_fold, span_digest, table
 from roadframes.llm.twins import TWINS
 from roadframes.session import scratch_path
@@ -84,8 +84,13 @@ def op12_ns_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ns_clusters.with_inertia(assigned, centroids, spark)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_points=5, least_n=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_secrets, op3_token_files, op4_quality, op5_quality_rules,
-                            op6_minhash_dedup, op7_packing, op8_embedding_dedup, op9_pii, op10_mixing, op12_ns_clusters)}
+                            op6_minhash_dedup, op7_packing, op8_embedding_dedup, op9_pii, op10_mixing, op12_ns_clusters,
+                            op13_spelling_variants)}
 
 __all__ = ["QUERIES", "TWINS"]
