@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadframes.llm import (
-    embedding_dedup, minhash_dedup, mixing, ns_clusters, packing, pii, quality_crf, quality_rules, secrets, spelling, token_files, toxicity)
+    chat, embedding_dedup, minhash_dedup, mixing, ns_clusters, packing, pii, quality_crf, quality_rules, secrets, spelling, token_files, toxicity)
 from roadframes.llm.common import crc_fold, span_digest, table
 from roadframes.llm.twins import TWINS
 from roadframes.session import scratch_path
@@ -79,6 +79,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rate", F.round("rate", 6))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "chats")
+    chat.write_chats(chat.chat_turns(rows.union(more)), path)
+    return chat.read_chats(spark, path)
+
+
 def op12_ns_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = ns_clusters.ns_clusters(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64, scale=256, seed=2)
     return ns_clusters.with_inertia(assigned, centroids, spark)
@@ -90,7 +99,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_secrets, op3_token_files, op4_quality, op5_quality_rules,
-                            op6_minhash_dedup, op7_packing, op8_embedding_dedup, op9_pii, op10_mixing, op12_ns_clusters,
-                            op13_spelling_variants)}
+                            op6_minhash_dedup, op7_packing, op8_embedding_dedup, op9_pii, op10_mixing, op11_chat_format,
+                            op12_ns_clusters, op13_spelling_variants)}
 
 __all__ = ["QUERIES", "TWINS"]

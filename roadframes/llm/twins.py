@@ -51,5 +51,18 @@ FROM a{rounds} JOIN vecs USING (r) JOIN (
   SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
 
 
+#: Each backslash and each control string in a text adds one sign to the formatted text.
+CHATS = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+turns AS (SELECT *, len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|role\|>|<\|text\|>|<\|end\|>')) AS escapes,
+  CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 23 + length(role) END AS marks FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + escapes + marks) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
 TWINS: dict[str, str] = {"op6_minhash_dedup": NEAR_COPIES, "op8_embedding_dedup": NEAR_VECTORS,
+                         "op11_chat_format": CHATS,
                          "op12_ns_clusters": _clusters()}
