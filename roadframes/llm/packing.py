@@ -7,9 +7,9 @@
    because both are whole numbers up to ``capacity``. Spark counts the runs.
 3. A step sweeps over the runs of pieces from the longest down. All pieces of a run ask for the
    smallest gap that holds them (the successor of their length). Where more pieces ask than
-   there are gaps, those of lower rank get them and the others ask for the next gap; the
+   the gaps hold, those of lower rank get them and the others ask for the next gap; the
    gaps shrink and are sorted in again. Pieces without any gap open sequences, each for
-   as many of their run as fit. Steps repeat until no piece is left.
+   as many of their run as fit. Steps repeat until no piece is left. The result is that of best-fit decreasing.
 4. The sweep gives ranges: pieces of one length and a range of ranks go to a range of
    sequences at one offset. A piece finds its place by its rank in its run.
 
@@ -78,6 +78,7 @@ def pieces_of(docs: DataFrame, capacity: int, end_id: int, kind: str = "byte", p
                 arrays.append(pa.array(out["ids"], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
 
@@ -96,45 +97,44 @@ class Gaps:
                 self.ranges[gap] = []
             self.ranges[gap].append((first, number))
 
-    def take(self, least: int, most: int) -> tuple[int, int, int] | None:
-        """The smallest gap of at least this size: its size, and up to ``most`` sequences that have it."""
+    def take(self, least: int) -> tuple[int, int, int] | None:
+        """A range of sequences with the smallest gap of at least this size: the gap, the first sequence, the number."""
         at = bisect_left(self.sizes, least)
         if at == len(self.sizes):
             return None
         gap = self.sizes[at]
         first, number = self.ranges[gap].pop()
-        if number > most:
-            self.ranges[gap].append((first + most, number - most))
-        elif not self.ranges[gap]:
+        if not self.ranges[gap]:
             del self.ranges[gap]
             self.sizes.pop(at)
-        return gap, first, min(number, most)
+        return gap, first, number
 
 
 def sweep(runs: dict[int, int], capacity: int) -> np.ndarray:
     """Ranges from the number of pieces of each length: rows of length, first rank, number,
-    first sequence, offset; sorted by length and rank."""
+    first sequence, offset; sorted by length and rank.
+
+    What a piece leaves of the smallest gap that holds it is a smaller gap still, so the next piece of its
+    run goes there as long as it fits: each sequence of a range takes as many pieces of the run as its gap holds.
+    """
     gaps, placed, sequences = Gaps(), [], 0
     for length in sorted(runs, reverse=True):
         rank, left = 0, runs[length]
         while left:
-            found = gaps.take(length, left)
-            if found:
-                gap, first, number = found
-                placed.append((length, rank, number, first, capacity - gap))
-                gaps.add(gap - length, first, number)
-                rank, left = rank + number, left - number
-                continue
-            fit = capacity // length
-            full, rest = divmod(left, fit)
-            for number, each in ((full, fit), (1, rest)):
-                if number and each:
-                    for k in range(each):
-                        placed.append((length, rank, number, sequences, k * length))
-                        rank += number
-                    gaps.add(capacity - each * length, sequences, number)
-                    sequences += number
-            left = 0
+            gap, first, number = gaps.take(length) or (capacity, sequences, left)
+            fit = gap // length
+            full = min(number, left // fit)
+            each = fit if full else left  # the last pieces of a run fill a part of one more gap
+            used = full or 1
+            for k in range(each):
+                placed.append((length, rank, used, first, capacity - gap + k * length))
+                rank += used
+            left -= used * each
+            gaps.add(gap - each * length, first, used)
+            if first == sequences:
+                sequences += used
+            else:
+                gaps.add(gap, first + used, number - used)
     return np.array(sorted(placed), dtype=np.int64).reshape(-1, 5)
 
 

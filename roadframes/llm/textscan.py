@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from roadframes.llm.process import kept
+
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 #: Fixed odd multipliers of the rolling hash and its finish.
@@ -40,14 +42,11 @@ FOLD[65:91] += 32
 
 
 class _Powers:
-    """Powers of ROLL and of its inverse modulo 2**64, grown as needed."""
-
-    up = np.ones(1, dtype=U64)
-    down = np.ones(1, dtype=U64)
+    """Powers of ROLL and of its inverse modulo 2**64, grown as needed and kept by the process."""
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    @staticmethod
+    def get(n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(kept().get("powers", ((),))[0]) < n:
             size = max(n, CHUNK_BYTES + 1)
             one = np.ones(size, dtype=U64)
             one[1:] = ROLL
@@ -56,8 +55,8 @@ class _Powers:
             down = np.cumprod(one, dtype=U64)
             if size > 4 * CHUNK_BYTES:
                 return up, down
-            cls.up, cls.down = up, down
-        return cls.up, cls.down
+            kept()["powers"] = up, down
+        return kept()["powers"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -38,18 +38,17 @@ WALL = np.uint32(0xFFFFFFFF)
 SLOT_BITS, SLOT_MIX = 20, np.uint64(0x9E3779B97F4A7C15)
 
 
-def repair(symbols: np.ndarray, base: int, least: int = 16, rounds: int = 10, per_round: int = 4096):
+def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 4096):
     """Re-Pair over a sequence with walls: the rules (n x 2) and the shorter sequence.
 
-    A round counts all neighbouring pairs and takes the most frequent ones, at most
-    ``per_round`` of those seen ``least`` times or more; it ends after ``rounds`` of them. Where chosen pairs overlap, the
-    more frequent one has the place, and the left one among equals.
+    A round counts all neighbouring pairs and takes the most frequent ones, ``per_round`` at a
+    time; rounds go on until no pair is seen ``least`` times. Where chosen pairs overlap, the
+    more frequent one has the place, and the left one among equals. A round replaces the first pair somewhere, so the
+    sequence gets shorter and the rounds end.
     """
     rules: list[np.ndarray] = []
     made = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) >= 2:
         pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         # a pair is seen no more often than all pairs of its slot: only those of full slots are sorted
         slot = (pair * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -219,6 +218,7 @@ def token_blocks(docs: DataFrame, kind: str = "word", path: str | None = None, e
                     number, rows, ids, n = number + 1, [], [], 0
         if rows:
             yield pa.RecordBatch.from_pylist([_block(shard, number, rows, ids, base)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     ranged = texts(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return ranged.mapInArrow(compress, BLOCK)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from roadframes.llm.process import kept
 from roadframes.llm.textscan import MIX_B, U64, Chunk, byte_table, chunks, mixed
 
 #: Slots of the cache (a newer piece takes the slot of an older one), ids it holds (then it starts
@@ -192,11 +193,9 @@ class Encoder:
         return next(self.encode_all(pa.array([text], pa.string())))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(kind: str, path: str | None = None) -> Encoder:
     """The process's encoder: a worker keeps its cache from task to task."""
-    if (kind, path) not in _ENCODERS:
-        _ENCODERS[kind, path] = Encoder(kind, path)
-    return _ENCODERS[kind, path]
+    key = "encoder", kind, path
+    if key not in kept():
+        kept()[key] = Encoder(kind, path)
+    return kept()[key]
