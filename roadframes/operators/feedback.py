@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadframes.operators.automaton import Machine, decode
 from roadframes.operators.metrics import rescore
 from roadframes.operators.running import beside
 from roadframes.schemas import LEARNER_THRESHOLDS, SCORER_DEFAULTS
@@ -21,6 +22,28 @@ def key_action(key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(key))
 
 
+# The review prompt asks a question; after a no it asks for a level, where b returns to the question.
+REVIEW_PROMPT = Machine("question", {
+    **{("question", key): ("question", ("agree", None)) for key in ("y", "1")},
+    **{("question", key): ("correction", None) for key in ("n", "0")},
+    ("question", "b"): ("question", ("back", None)),
+    **{("correction", str(level)): ("question", ("disagree", level)) for level in range(5)},
+    ("correction", "b"): ("question", None),
+    **{(state, "q"): ("over", ("quit", None)) for state in ("question", "correction")}})
+
+
+def decode_keys(presses: DataFrame) -> DataFrame:
+    """Review events from the keys pressed, each read in the state that the keys before it led to.
+
+    ``presses`` has ``session``, ``ts``, ``seq`` and ``key``; the result has ``action`` and ``level`` in place of the key, and
+    only rows where something was said: a no counts with the level that follows it, other keys are ignored,
+    and after a quit the session says nothing.
+    """
+    pressed = presses.select("session", "ts", "seq", F.lower("key").alias("key"))
+    said = decode(pressed, REVIEW_PROMPT, ["session"], ["ts", "seq"], "key", {"action": "string", "level": "int"})
+    return said.where("action is not null").drop("key")
+
+
 def step_of(action: Column) -> Column:
     return F.when(action.isin("agree", "disagree"), 1).when(action == "back", -1).otherwise(0)
 

@@ -34,6 +34,18 @@ def fold_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return no_level(fb.fold_reviews(st.review_log(spark, sf)))
 
 
+@query(f"WITH {tw.PRESSED} SELECT session, seq, action, coalesce(level, -1) AS level FROM log")
+def decode_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Bare keys read in context: a level only after a no, back within the correction, nothing after a quit."""
+    return fb.decode_keys(st.key_log(spark, sf)).select("session", "seq", "action", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+@query(f"WITH {tw.PRESSED}, {tw.folded()} {FOLDED}")
+def fold_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The answers that stand at the end of each session, from bare keys."""
+    return no_level(fb.fold_reviews(fb.decode_keys(st.key_log(spark, sf))))
+
+
 @query(f"""SELECT CASE WHEN {tw.K} % 7 IN (0, 5) THEN 'agree' WHEN {tw.K} % 7 IN (1, 4) THEN 'disagree' WHEN {tw.K} % 7 = 2 THEN 'back'
   WHEN {tw.K} % 7 = 3 THEN 'quit' ELSE 'none' END AS action, count(*) AS n FROM events GROUP BY 1""")
 def key_actions(spark: SparkSession, sf: str) -> DataFrame:

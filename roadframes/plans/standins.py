@@ -92,6 +92,16 @@ def review_log(spark: SparkSession, sf: str) -> DataFrame:
         action.alias("action"), (k() % 5).alias("level"))
 
 
+KEYS = ("y", "N", "1", "n", "0", "b", "2", "x", "3", "Y", "4", "n")
+
+
+def key_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Bare keys pressed in review sessions, one session per user."""
+    key = F.when(k() == 99, "q").otherwise(F.get(F.array(*map(F.lit, KEYS)), k() % len(KEYS)))
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), key.alias("key"))
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Training rows: an epoch per day, a batch per quarter of an hour."""
     return table(spark, sf, "events").select(

@@ -98,6 +98,22 @@ LOG = (
     f"log AS (SELECT user_id AS session, ts, event_id AS seq, {K} % 5 AS level, "
     f"CASE WHEN {K} < 60 THEN 'agree' WHEN {K} < 85 THEN 'disagree' WHEN {K} < 97 THEN 'back' ELSE 'quit' END AS action "
     "FROM events)")
+# The prompt's state before a key: the last key that leads to one state whatever came before, turned over by
+# each "0" since, for "0" leads from the question to the correction and back.
+KEY_LIST = "['y', 'N', '1', 'n', '0', 'b', '2', 'x', '3', 'Y', '4', 'n']"
+PRIOR = "OVER (PARTITION BY session ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+PRESSED = f"""
+keys AS (SELECT user_id AS session, ts, event_id AS seq,
+  lower(CASE WHEN {K} = 99 THEN 'q' ELSE {KEY_LIST}[{K} % 12 + 1] END) AS key FROM events),
+resets AS (SELECT *, CASE WHEN key IN ('b', '1', '2', '3', '4') THEN 0 WHEN key = 'n' THEN 1 END AS reset,
+  sum(CASE WHEN key = '0' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turns FROM keys),
+asked AS (SELECT *, (coalesce(last_value(reset IGNORE NULLS) {PRIOR}, 0) + coalesce(lag(turns) OVER (PARTITION BY session ORDER BY ts, seq), 0)
+  - coalesce(last_value(CASE WHEN reset IS NOT NULL THEN turns END IGNORE NULLS) {PRIOR}, 0)) % 2 AS correcting,
+  count(*) FILTER (key = 'q') {PRIOR} AS ended FROM resets),
+said AS (SELECT session, ts, seq, CASE WHEN key = 'q' THEN 'quit' WHEN correcting = 1 AND key IN ('0', '1', '2', '3', '4') THEN 'disagree'
+  WHEN correcting = 0 AND key IN ('y', '1') THEN 'agree' WHEN correcting = 0 AND key = 'b' THEN 'back' END AS action,
+  CASE WHEN correcting = 1 AND key IN ('0', '1', '2', '3', '4') THEN CAST(key AS INTEGER) END AS level FROM asked WHERE ended = 0),
+log AS (SELECT * FROM said WHERE action IS NOT NULL)"""
 RUN = (
     "run AS (SELECT event_type AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, "
     "CAST(hour(ts) * 4 + minute(ts) // 15 AS BIGINT) AS batch_id, ts, event_id AS seq, ln(1 + value) AS loss, "
