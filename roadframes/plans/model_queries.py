@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadframes.operators.frames import label_by_source
 from roadframes.operators.sampling import split_by_source, split_exact
+from roadframes.plans import epochs as ep
 from roadframes.plans import modelling as md
 from roadframes.plans import standins as st
 from roadframes.plans import twins as tw
@@ -69,19 +69,73 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return md.evaluate(scored).withColumns({"loss": r6("loss"), "accuracy": r6("accuracy")})
 
 
-@query()
+#: Epochs, mini-batches of an epoch and learning rate of the run that the queries train.
+EPOCHS, STEPS, RATE = 3, 4, 0.05
+
+
+def _training() -> str:
+    """CTEs of the whole run, a step at a time, up to ``epochs`` and the ``test`` figures of each epoch."""
+    listed = ", ".join(md.FEATURES)
+    last = len(md.FEATURES) + 1
+    out = f"""{tw.RGB}, {tw.LUMA}, {tw.metrics('luma', 100)}, ch AS (SELECT frame_id, {CHANNELS} FROM rgb),
+ranked AS (SELECT frame_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0|' || frame_id), frame_id) AS rn,
+  count(*) OVER (PARTITION BY source) AS n FROM metrics),
+cuts AS (SELECT *, CAST(ceil(n * 30 / 100.0) AS BIGINT) AS held FROM ranked),
+feats AS MATERIALIZED (SELECT frame_id, CASE cuts.source WHEN 'src_a' THEN 0 ELSE 1 END AS y,
+  CASE WHEN rn <= n - held THEN 'train' WHEN rn <= n - CAST(ceil(held / 2.0) AS BIGINT) THEN 'val' ELSE 'test' END AS split, {listed}
+  FROM ch JOIN metrics USING (frame_id) JOIN cuts USING (frame_id)),
+raw_x AS (SELECT frame_id, split, y, unnest(range(1, {last})) AS j, unnest([{listed}]) AS value FROM feats),
+scales AS (SELECT j, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS scale
+  FROM raw_x WHERE split = 'train' GROUP BY j),
+xs AS MATERIALIZED (SELECT frame_id, split, y, j, (value - mean) / scale AS value FROM raw_x JOIN scales USING (j)
+  UNION ALL SELECT frame_id, split, y, {last}, 1 FROM feats),
+w0 AS MATERIALIZED (SELECT c, j, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM range(2) AS a(c), range(1, {last + 1}) AS b(j))"""
+    figures = []
+
+    def judged(name: str, weights: str, rows: str) -> str:
+        """Probabilities and log-sums of some rows."""
+        return f"""
+{name} AS MATERIALIZED (SELECT frame_id, split, y, c, l, ln(sum(exp(l - top)) OVER f) + top AS z FROM (
+  SELECT *, max(l) OVER (PARTITION BY frame_id) AS top FROM (
+    SELECT frame_id, split, y, c, sum(w * value) AS l FROM xs JOIN {weights} USING (j) WHERE {rows} GROUP BY frame_id, split, y, c))
+  WINDOW f AS (PARTITION BY frame_id)),
+{name}_said AS (SELECT split, count(*) AS n, avg(z - own) AS loss, count(*) FILTER (said = y) AS hits FROM (
+  SELECT frame_id, split, y, any_value(z) AS z, max(l) FILTER (c = y) AS own, arg_min(c, (-l, c)) AS said FROM {name} GROUP BY frame_id, split, y) GROUP BY split)"""
+
+    for step in range(1, EPOCHS * STEPS + 1):
+        epoch, batch = divmod(step - 1, STEPS)
+        drawn = f"split = 'train' AND CAST('0x' || substr(md5('0|{epoch}|' || frame_id), 1, 4) AS BIGINT) * {STEPS} // 65536 = {batch}"
+        out += "," + judged(f"s{step}", f"w{step - 1}", drawn) + f""",
+w{step} AS MATERIALIZED (SELECT c, j, w - {RATE} * (m2 / (1 - 0.9 ** {step})) / (sqrt(v2 / (1 - 0.999 ** {step})) + 1e-8) AS w, m2 AS m, v2 AS v FROM (
+  SELECT c, j, w, 0.9 * m + 0.1 * g AS m2, 0.999 * v + 0.001 * g * g AS v2 FROM w{step - 1} JOIN (
+    SELECT c, j, sum((exp(l - z) - CASE WHEN c = xs.y THEN 1 ELSE 0 END) * value) / (SELECT n FROM s{step}_said) AS g
+    FROM s{step} JOIN xs USING (frame_id) GROUP BY c, j) USING (c, j)))"""
+        if batch == STEPS - 1:
+            parts = " UNION ALL ".join(f"SELECT loss, hits, n FROM s{k}_said" for k in range(step - STEPS + 1, step + 1))
+            out += "," + judged(f"e{epoch}", f"w{step}", "split <> 'train'")
+            figures.append(f"""SELECT {epoch} AS epoch, (SELECT avg(loss) FROM ({parts})) AS train_loss, (SELECT sum(hits) * 100.0 / sum(n) FROM ({parts})) AS train_acc,
+  v.loss AS val_loss, v.hits * 100.0 / v.n AS val_acc, t.n AS test_n, t.loss AS test_loss, t.hits * 100.0 / t.n AS test_acc
+  FROM e{epoch}_said v, e{epoch}_said t WHERE v.split = 'val' AND t.split = 'test'""")
+    return out + ", epochs AS (" + " UNION ALL ".join(figures) + ")"
+
+
+@query(f"""WITH RECURSIVE {_training()}, best AS (SELECT arg_min(epoch, (-val_acc, epoch)) AS epoch FROM epochs WHERE val_acc > 0)
+SELECT 'test' AS split, CAST(test_n AS BIGINT) AS rows, round(test_loss, 6) AS loss, round(test_acc, 6) AS accuracy FROM epochs JOIN best USING (epoch)""")
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Several fits, the best one stored, loaded again and applied."""
-    features = _features(spark, sf)
-    models, runs = md.train_runs(features)
-    folder = md.save_best(models, runs, scratch_path(spark, "models"))
-    again = PipelineModel.load(folder)
-    return md.evaluate(md.predict(again, features.where("split = 'test'")))
+    """A run of several epochs, the best one loaded again and applied to the test rows."""
+    features, folder = _features(spark, sf), scratch_path(spark, "run")
+    ep.train_epochs(features, folder, EPOCHS, STEPS, RATE)
+    best = ep.load_epoch(spark, folder)
+    return md.evaluate(best.predict(features.where("split = 'test'"))).withColumns({"loss": r6("loss"), "accuracy": r6("accuracy")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_training()}
+SELECT 'source' AS run, CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss, round(train_acc, 6) AS train_acc,
+  round(val_loss, 6) AS val_loss, round(val_acc, 6) AS val_acc FROM epochs""")
 def training_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return md.train_runs(_features(spark, sf))[1]
+    """A run of several epochs, each going on from the one before, and their figures."""
+    runs = ep.train_epochs(_features(spark, sf), scratch_path(spark, "run"), EPOCHS, STEPS, RATE)
+    return runs.withColumns({c: r6(c) for c in ("train_loss", "train_acc", "val_loss", "val_acc")})
 
 
 @query()
