@@ -16,6 +16,7 @@ from roadframes.session import scratch_path
 from roadframes.streaming import captures as sc
 from roadframes.streaming import learning as sl
 from roadframes.streaming import reviews as sr
+from roadframes.streaming import upsert as up
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +93,40 @@ def fold_reviews_stream(spark: SparkSession, sf: str) -> DataFrame:
     log = events.select(
         F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), action.alias("action"),
         (st.k() % 5).alias("level"))
-    return fq.no_level(sr.standing_answers(_run(spark, sr.fold_reviews_stream(log), "fold-reviews")))
+    return fq.no_level(sr.standing_answers(_run(spark, sr.fold_reviews_stream(log, forget=None), "fold-reviews")))
+
+
+def _latest(spark: SparkSession, stream: DataFrame, name: str, keys: list[str], order: str | None = None) -> DataFrame:
+    path = scratch_path(spark, name)
+    with sr.stream_settings(spark):
+        up.upsert_to_table(stream, f"{path}/out", f"{path}/checkpoint", keys, order)
+    return up.read_latest(spark, f"{path}/out", stream, keys, order)
+
+
+@query(f"SELECT event_type AS camera, {tw.SLOT.format('ts')} AS slot, count(*) AS captures FROM events GROUP BY 1, 2")
+def capture_slots_now(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all slots, the open ones included."""
+    events = _event_stream(spark, sf).select(F.col("event_type").alias("camera"), F.col("ts").alias("captured_at"))
+    return _latest(spark, sc.capture_slots(events), "slots-now", ["camera", "slot"])
+
+
+@query(SESSIONS + " SELECT * FROM s")
+def review_sessions_now(spark: SparkSession, sf: str) -> DataFrame:
+    """All sessions, the open ones included."""
+    sessions = sr.review_sessions_now(_review_events(_event_stream(spark, sf)))
+    return _latest(spark, sessions, "sessions-now", ["reviewer", "started_at"], "step").select(
+        "reviewer", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ends_at")), "total", "correct")
+
+
+@query(f"WITH {tw.LOG}, {tw.folded()} {fq.FOLDED}")
+def standing_reviews_now(spark: SparkSession, sf: str) -> DataFrame:
+    """Standing answers after all events, those of minutes that the watermark has not passed included."""
+    events = _event_stream(spark, sf)
+    action = F.when(st.k() < 60, "agree").when(st.k() < 85, "disagree").when(st.k() < 97, "back").otherwise("quit")
+    log = events.select(
+        F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), action.alias("action"), (st.k() % 5).alias("level"))
+    answers = _latest(spark, sr.standing_reviews_stream(log, forget=None), "standing", ["session", "image_index"], "step")
+    return fq.no_level(answers.withColumn("answered_at", F.col("answered_at").cast("timestamp_ntz")))
 
 
 @query(tw.REVIEWS + f""", {fq.LEARNT} SELECT round(wd, 6) AS density_weight, round(wc, 6) AS congestion_weight,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from bisect import insort
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -62,36 +64,50 @@ class FoldReviews(StatefulProcessor):
     An event waits until the watermark has passed its minute; then the passed minutes
     are applied. An ordinary session keeps its waiting events in one state value. A
     session with more than ``SMALL`` of them keeps one state entry per minute, so
-    that only one of its minutes is read and sorted at a time. Events of a minute
-    already passed are reported as late and not applied. An ended session keeps none.
+    that only one of its minutes is read and sorted at a time; which minutes wait stands in one sorted
+    list. Events of a minute already passed are reported as late and not applied. An ended session keeps
+    its end alone, and with ``forget`` (milliseconds) not even that once the watermark is so far
+    past the session's last event; an id that is used again after that begins a new session.
     """
 
     SMALL = 1024
 
-    def __init__(self, images: int) -> None:
-        self.images = images
+    def __init__(self, images: int, forget: int | None = None) -> None:
+        self.images, self.forget = images, forget
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.walk = handle.getValueState("walk", "pos bigint, step bigint, done boolean, timer bigint, by_minute boolean")
+        self.walk = handle.getValueState("walk", (
+            "pos bigint, step bigint, done boolean, timer bigint, by_minute boolean, last bigint, waiting array<bigint>"))
         events = "ts array<bigint>, seq array<bigint>, action array<string>, level array<int>"
         self.small = handle.getValueState("small", events)
         self.minutes = handle.getMapState("minutes", "minute bigint", events)
 
     def _load(self) -> None:
-        self.pos, self.step, self.done, self.timer, self.by_minute = (
-            self.walk.get() if self.walk.exists() else (0, 0, False, 0, False))
+        self.pos, self.step, self.done, self.timer, self.by_minute, self.last, self.waiting = (
+            self.walk.get() if self.walk.exists() else (0, 0, False, 0, False, 0, []))
+        self.waiting = list(self.waiting)
 
     def _save(self) -> None:
-        self.walk.update((self.pos, self.step, self.done, self.timer, self.by_minute))
+        self.walk.update((self.pos, self.step, self.done, self.timer, self.by_minute, self.last, self.waiting))
+
+    def _remember_end(self) -> None:
+        """Of an ended session: nothing waits, and a timer may take the rest away."""
+        self.small.clear()
+        self.minutes.clear()
+        self.waiting, self.timer = [], 0
+        if self.forget is not None:
+            self.timer = self.last + self.forget
+            self.handle.registerTimer(self.timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self._load()
         passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:
+            micros = part["ts"].astype("datetime64[us]").astype("int64")
+            self.last = max(self.last, int(micros.max()) // 1000)
             if self.done:
                 continue
-            micros = part["ts"].astype("datetime64[us]").astype("int64")
             events = list(zip(micros.tolist(), part["seq"].tolist(), part["action"].tolist(), part["level"].tolist()))
             late = [e for e in events if _minute_end(e) <= passed]
             if late:
@@ -118,27 +134,36 @@ class FoldReviews(StatefulProcessor):
         for event in events:
             grouped.setdefault(_minute_end(event), []).append(event)
         for end, some in grouped.items():
-            old = self.minutes.getValue((end,))
+            old = self.minutes.getValue((end,)) if end in self.waiting else None
+            if not old:
+                insort(self.waiting, end)
             self.minutes.updateValue((end,), _columns((list(zip(*old)) if old else []) + some))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
         passed = timerValues.getCurrentWatermarkInMs()
-        self.timer = 0
-        if not self.done:
+        if self.done:
+            if self.forget is not None and passed >= self.last + self.forget:
+                self._clear()
+                return
+            self._remember_end()  # events came after the end and put its forgetting off
+        else:
+            self.timer = 0
             for events in self._passed(passed):
                 changes = self._apply(sorted(events))
                 if changes:
                     yield self._changes(key, changes)
                 if self.done:
                     break
-        if self.done:
-            self.small.clear()
-            self.minutes.clear()
-        elif self.timer:
-            self.handle.registerTimer(self.timer)
+            if self.done:
+                self._remember_end()
+            elif self.timer:
+                self.handle.registerTimer(self.timer)
         self._save()
 
+    def _clear(self) -> None:
+        self.walk.clear()
+
     def _passed(self, passed: int) -> Iterator[list]:
         """Waiting events whose minute is over, in order; the next timer is set."""
         if not self.by_minute:
@@ -152,14 +177,24 @@ class FoldReviews(StatefulProcessor):
                     self.small.clear()
                 yield [e for e in events if _minute_end(e) <= passed]
             return
-        for end in sorted(k[0] for k in self.minutes.keys()):
+        while self.waiting:
+            end = self.waiting[0]
             if end > passed:
                 self.timer = end
                 return
             events = list(zip(*self.minutes.getValue((end,))))
             self.minutes.removeKey((end,))
+            del self.waiting[0]
             yield events
 
+    def _waiting_events(self) -> Iterator[list]:
+        """All waiting events in order, a minute at a time where there are many."""
+        if not self.by_minute:
+            yield sorted(zip(*self.small.get())) if self.small.exists() else []
+            return
+        for end in self.waiting:
+            yield sorted(zip(*self.minutes.getValue((end,))))
+
     def _apply(self, events: list) -> list[tuple]:
         out = []
         for us, _, action, level in events:
@@ -201,15 +236,213 @@ def _columns(events: list) -> tuple:
     return tuple(list(column) for column in zip(*events))
 
 
-def fold_reviews_stream(events: DataFrame, images: int = 12, late: str = "15 minutes") -> DataFrame:
+class StandingReviews(FoldReviews):
+    """The answers as they stand now: those applied, then the waiting events on top of them.
+
+    After new events a session tells all its positions, at most ``images`` rows: an answer, or a delete where an
+    answer stood before. Waiting events are applied for good as in the class above, so an event that still
+    comes in time takes its place and the answers are told again.
+    """
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.shown = handle.getValueState(
+            "shown", "number bigint, version bigint, agreed array<boolean>, level array<int>, at array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        changes = list(super().handleInputRows(key, rows, timerValues))
+        number, version, answers = self._shown()
+        now = self._follow(answers, changes)
+        told = list(now)
+        walk = len(told), self.done
+        for events in self._waiting_events() if not self.done else ():
+            walk = self._walk(told, events, walk[1])
+        version += 1
+        yield self._rows(key, told, number, version)
+        self._keep(len(told), version, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        changes = list(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+        if not self.walk.exists():
+            self.shown.clear()
+            return
+        number, version, answers = self._shown()
+        self._keep(number, version, self._follow(answers, changes))
+        yield from ()
+
+    def _shown(self) -> tuple[int, int, list]:
+        if not self.shown.exists():
+            return 0, 0, []
+        number, version, *columns = self.shown.get()
+        return number, version, list(zip(*columns))
+
+    def _keep(self, number: int, version: int, answers: list) -> None:
+        self.shown.update((number, version, *(_columns(answers) if answers else ([], [], []))))
+
+    @staticmethod
+    def _follow(answers: list, changes: list[pd.DataFrame]) -> list:
+        """The applied answers after some changes."""
+        for part in changes:
+            for op, agreed, level, at in zip(part["op"], part["was_correct"], part["corrected_level"], part["at"].astype("datetime64[us]").astype("int64")):
+                if op == "answer":
+                    answers.append((bool(agreed), None if pd.isna(level) else int(level), int(at)))
+                elif op == "retract":
+                    answers.pop()
+        return answers
+
+    def _walk(self, told: list, events: list, done: bool) -> tuple[int, bool]:
+        for us, _, action, level in events:
+            if done:
+                break
+            if action == "quit":
+                done = True
+            elif action == "back":
+                if told:
+                    told.pop()
+            else:
+                told.append((action == "agree", None if action == "agree" else level, us))
+                done = len(told) >= self.images
+        return len(told), done
+
+    @staticmethod
+    def _rows(key, told: list, before: int, version: int) -> pd.DataFrame:
+        rows = [(k, "answer", *answer) for k, answer in enumerate(told)]
+        rows += [(k, "delete", None, None, None) for k in range(len(told), before)]
+        out = pd.DataFrame(rows, columns=["image_index", "op", "was_correct", "corrected_level", "answered_at"])
+        out.insert(0, "session", key[0])
+        out["step"] = version
+        out["corrected_level"] = out["corrected_level"].astype("Int32")
+        out["was_correct"] = out["was_correct"].astype("boolean")
+        out["answered_at"] = pd.to_datetime(out["answered_at"], unit="us")
+        return out[["session", "image_index", "op", "was_correct", "corrected_level", "answered_at", "step"]]
+
+
+STANDING = ("session bigint, image_index bigint, op string, was_correct boolean, corrected_level int, "
+            "answered_at timestamp, step bigint")
+
+
+def _milliseconds(events: DataFrame, span: str | None) -> int | None:
+    if span is None:
+        return None
+    seconds = events.sparkSession.range(1).select(F.expr(
+        f"unix_micros(timestamp '1970-01-02 00:00:00' + interval {span}) - unix_micros(timestamp '1970-01-02 00:00:00')")).first()[0]
+    return seconds // 1000
+
+
+def _folded(events: DataFrame, processor: type[FoldReviews], schema: str, images: int, late: str, forget: str | None, mode: str) -> DataFrame:
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=processor(images, _milliseconds(events, forget)), outputStructType=schema, outputMode=mode, timeMode="EventTime")
+
+
+def fold_reviews_stream(events: DataFrame, images: int = 12, late: str = "15 minutes", forget: str | None = "1 day") -> DataFrame:
     """Changes to the standing answers: ``answer``, ``retract``, or a ``late`` event.
 
     ``events`` as for the batch fold. Run it inside ``stream_settings``; the changes
-    of a session carry rising step numbers, see ``standing_answers``.
+    of a session carry rising step numbers, see ``standing_answers``. With ``forget`` an ended session leaves no state
+    once the watermark is that far past its last event; without, an id may never be used again.
+    """
+    return _folded(events, FoldReviews, CHANGES, images, late, forget, "Append")
+
+
+def standing_reviews_stream(events: DataFrame, images: int = 12, late: str = "15 minutes", forget: str | None = "1 day") -> DataFrame:
+    """The answers as they stand now, events that still wait for the watermark included: for ``upsert_to_table`` with
+    keys ``session, image_index`` and order ``step``."""
+    return _folded(events, StandingReviews, STANDING, images, late, forget, "Update")
+
+
+class ReviewSessions(StatefulProcessor):
+    """Sessions of a reviewer as they are now, those still open included.
+
+    State holds the sessions that the watermark has not closed. New events are cut into runs without a pause, and merged
+    with them; changed sessions are told, and a start that went into an earlier session is deleted. An
+    event whose session the watermark would have closed already is left out, as in the appending stream.
     """
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState(
+            "open", "version bigint, started array<bigint>, last array<bigint>, total array<bigint>, correct array<bigint>")
+
+    def _load(self) -> tuple[int, list[tuple]]:
+        if not self.open.exists():
+            return 0, []
+        version, *columns = self.open.get()
+        return version, list(zip(*columns))
+
+    def _save(self, version: int, sessions: list[tuple]) -> None:
+        if sessions:
+            self.open.update((version, *_columns(sessions)))
+            self.handle.registerTimer(min(last for _, last, _, _ in sessions) // 1000 + self.gap + 1)
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        version, before = self._load()
+        passed, pause = timerValues.getCurrentWatermarkInMs() * 1000, self.gap * 1000
+        now = before
+        for part in rows:
+            at = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            right = part["was_correct"].to_numpy()
+            fine = at + pause > passed
+            order = np.argsort(at[fine], kind="stable")
+            at, right = at[fine][order], right[fine][order].astype(bool)
+            if not len(at):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(at) > pause]))
+            stop = np.concatenate([cut[1:], [len(at)]])
+            runs = list(zip(at[cut].tolist(), at[stop - 1].tolist(), (stop - cut).tolist(), np.add.reduceat(right.astype(int), cut).tolist()))
+            now = self._merged(sorted(now + runs), pause)
+        told = [s for s in now if s not in set(before)]
+        gone = {s[0] for s in before} - {s[0] for s in now}
+        if told or gone:
+            version += 1
+            yield self._rows(key, told, sorted(gone), version, pause)
+        self._save(version, now)
+
+    @staticmethod
+    def _merged(sessions: list[tuple], pause: int) -> list[tuple]:
+        out: list[tuple] = []
+        for started, last, total, correct in sessions:
+            if out and started <= out[-1][1] + pause:
+                a, b, n, k = out[-1]
+                out[-1] = (a, max(b, last), n + total, k + correct)
+            else:
+                out.append((started, last, total, correct))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        version, sessions = self._load()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self._save(version, [s for s in sessions if s[1] + self.gap * 1000 >= passed])
+        yield from ()
+
+    @staticmethod
+    def _rows(key, told: list, gone: list, version: int, pause: int) -> pd.DataFrame:
+        rows = [(a, b + pause, n, k, "session") for a, b, n, k in told] + [(a, None, None, None, "delete") for a in gone]
+        out = pd.DataFrame(rows, columns=["started_at", "ends_at", "total", "correct", "op"])
+        out.insert(0, "reviewer", key[0])
+        out["step"] = version
+        for c in ("started_at", "ends_at"):
+            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+        for c in ("total", "correct"):
+            out[c] = out[c].astype("Int64")
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def review_sessions_now(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """Sessions as they are now, the open ones included: for ``upsert_to_table`` with keys ``reviewer, started_at``
+    and order ``step``. ``events`` has ``reviewer``, ``ts`` and ``was_correct``; run it inside ``stream_settings``."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=FoldReviews(images), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("reviewer").transformWithStateInPandas(
+        statefulProcessor=ReviewSessions(_milliseconds(events, gap)), outputMode="Update", timeMode="EventTime",
+        outputStructType="reviewer bigint, started_at timestamp, ends_at timestamp, total bigint, correct bigint, op string, step bigint")
 
 
 def standing_answers(changes: DataFrame) -> DataFrame:
