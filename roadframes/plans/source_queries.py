@@ -19,6 +19,7 @@ from roadframes.plans.registry import query, r6, weighed
 from roadframes.session import scratch_path
 from roadframes.sources import feedback as fs
 from roadframes.sources import frames as store
+from roadframes.sources import skipping
 from roadframes.sources import images as im
 from roadframes.sources.files import write_files
 
@@ -117,6 +118,28 @@ def scan_frames(spark: SparkSession, sf: str) -> DataFrame:
     return store.scan_frames(spark, path).select("frame_id", "source", "layout", weighed().alias("checksum"), "label")
 
 
+def _indexed(spark: SparkSession, sf: str) -> str:
+    """Frames in files by ranges of ids, with their sidecar."""
+    path = scratch_path(spark, "frames")
+    store.write_frames(st.rgb_frames(spark, sf).repartitionByRange(16, "frame_id"), path)
+    skipping.index_frames(spark, path)
+    return path
+
+
+@query(f"WITH {tw.RGB} SELECT frame_id, source, {W.format('px')} AS checksum FROM rgb WHERE frame_id % 100 = 0")
+def scan_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of listed ids, from the files that may hold them."""
+    ids = st.table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("frame_id"))
+    return skipping.scan_ids(spark, _indexed(spark, sf), ids).select("frame_id", "source", weighed().alias("checksum"))
+
+
+@query(f"""WITH {tw.RGB} SELECT frame_id, source, {W.format('px')} AS checksum FROM rgb
+ORDER BY md5('3|' || frame_id), frame_id LIMIT 25""")
+def scan_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample of stored frames, from the files that hold it."""
+    return skipping.scan_subset(spark, _indexed(spark, sf), 25, 3).select("frame_id", "source", weighed().alias("checksum"))
+
+
 @query("SELECT 'read back' AS name, true AS passed, printf('%d written, %d read', count(*), count(*)) AS detail FROM embeddings")
 def verify_stored(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "frames")
