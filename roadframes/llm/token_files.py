@@ -38,7 +38,7 @@ WALL = np.uint32(0xFFFFFFFF)
 SLOT_BITS, SLOT_MIX = 20, np.uint64(0x9E3779B97F4A7C15)
 
 
-def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 4096):
+def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 1 << 14):
     """Re-Pair over a sequence with walls: the rules (n x 2) and the shorter sequence.
 
     A round counts all neighbouring pairs and takes the most frequent ones, ``per_round`` at a
@@ -64,26 +64,20 @@ def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 409
             break
         often = often[np.argsort(-n[often], kind="stable")][:per_round]
         chosen = ordered[edge[often]]
-        heads, tails = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # the rank of a pair stands in a table of the chosen heads by the chosen tails; row and column 0 are for others
-        known = np.minimum(symbols, made)  # a wall is no head and no tail
-        row, column = (np.zeros(made + 1, dtype=np.int32) for _ in range(2))
-        head, tail = np.unique(heads), np.unique(tails)
-        row[head], column[tail] = np.arange(1, len(head) + 1), np.arange(1, len(tail) + 1)
-        ranks = np.full((len(head) + 1, len(tail) + 1), -1, dtype=np.int32)
-        ranks[row[heads], column[tails]] = np.arange(len(often))
-        first, second = row[known[:-1]], column[known[1:]]
-        at = np.flatnonzero((first > 0) & (second > 0))
-        order = ranks[first[at], second[at]]
-        hit = order >= 0
-        at, order = at[hit], order[hit]
+        by_pair = np.argsort(chosen)
+        sorted_pairs, marked = chosen[by_pair], np.zeros(1 << SLOT_BITS, dtype=bool)
+        marked[(chosen * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+        at = np.flatnonzero(marked[slot])
+        place = np.minimum(np.searchsorted(sorted_pairs, pair[at]), len(chosen) - 1)
+        hit = sorted_pairs[place] == pair[at]
+        at, order = at[hit], by_pair[place[hit]]
         # of neighbouring places the better rank wins; a run of equal ranks is taken from the left
         taken = _disjoint(at, order)
         at, order = at[taken], order[taken]
         used = np.flatnonzero(np.bincount(order, minlength=len(often)))
         number = np.zeros(len(often), dtype=np.uint32)
         number[used] = np.arange(made, made + len(used))
-        rules.append(np.stack([heads[used], tails[used]], axis=1).astype(np.uint32))
+        rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         symbols = symbols.copy()
         symbols[at] = number[order]
         made += len(used)

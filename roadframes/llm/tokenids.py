@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of their pieces.
 
 A text is cut where both kinds of tokenizer end a pre-token anyway: at a single space
-between two visible signs, and at a single line break. Pieces repeat, so their ids are
+between two visible signs, at a single line break, and between a word of Latin letters and the plain
+punctuation that follows it up to the next space or line break. Pieces repeat, so their ids are
 kept, found again by a 64-bit hash of the piece (equal but for collisions). Of the
 other pieces, those of letters with a tail of punctuation go to the tokenizer's own
 model, pre-token by pre-token, and the rest to the whole tokenizer, always many at once,
@@ -28,6 +29,9 @@ SEPARATOR = byte_table(b" \n")
 BEYOND = byte_table(bytes(range(0xC4, 0xF8)))
 #: Letters whose normal form, case and class both tokenizers treat alike, and a tail of plain punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The same as bytes: letters, of which those beyond ASCII have one lead byte, and the tail.
+PLAIN_LETTER = byte_table(bytes(b for b in [*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)] if b not in (0x97, 0xB7)))
+PLAIN_TAIL = byte_table(bytes([*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 KINDS = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
 
 
@@ -40,6 +44,7 @@ def _byte_signs() -> dict[int, str]:
 
 
 SIGNS = _byte_signs()
+FROM_LATIN = str.maketrans({chr(b): sign for b, sign in SIGNS.items()})
 
 
 def _signs(text: str) -> str:
@@ -47,7 +52,7 @@ def _signs(text: str) -> str:
     word = text[1:] if text[:1] == " " else text
     if word.isascii() and word.isprintable() and " " not in word:
         return text if word is text else SIGNS[32] + word
-    return "".join(SIGNS[b] for b in text.encode())
+    return text.encode().decode("latin-1").translate(FROM_LATIN)
 
 
 def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -56,6 +61,18 @@ def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return source[np.arange(int(size.sum())) + np.repeat(start - first, size)]
 
 
+def without_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with those of letters and a tail cut in two: starts, ends, the run that each part is of, and which parts are tails."""
+    letters, tails = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (PLAIN_LETTER, PLAIN_TAIL))
+    middle = start + letters[end] - letters[start]
+    cut = (middle > start) & (middle < end) & (letters[middle] - letters[start] == middle - start)
+    cut &= tails[end] - tails[middle] == end - middle
+    own = np.repeat(np.arange(len(start)), 1 + cut)
+    tail = np.zeros(len(own), dtype=bool)
+    tail[1:] = own[1:] == own[:-1]
+    return np.where(tail, middle[own], start[own]), np.where(cut[own] & ~tail, middle[own], end[own]), own, tail
+
+
 class _Cache:
     """Ids of pieces by the hash of the piece."""
 
@@ -159,6 +176,8 @@ class Encoder:
         cut = ~uncut[runs.doc]
         start, end, doc = runs.start[cut], runs.end[cut], runs.doc[cut]
         lead = np.where(start > offsets[doc], data[start - 1], 0)
+        start, end, own, tail = without_tails(data, start, end)
+        lead, doc = np.where(tail, 0, lead[own]), doc[own]
         keys = self._hashes(chunk, start, end, lead)
         cache, slot = self.cache, (keys >> U64(64 - SLOT_BITS)).astype(np.int64)
         known = cache.keys[slot] == keys
