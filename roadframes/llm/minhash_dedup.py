@@ -300,9 +300,13 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: i
     same = classes.select("node", "digest", "rep", "rep_key")
     parts = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = same.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(extra.toDF("component", "id"), "component", "left").select(
-        "digest", "rep", "rep_key", F.coalesce("id", "component").alias("component_id"),
-        (F.col("node") == F.col("component")).alias("lead"))
+    # a component is named by the smallest id in it; a set whose number is no id may have a smaller id than the smallest number
+    others = extra.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(
+        F.min(F.struct("rep", "node")).alias("other"), F.max(F.col("node") == F.col("component")).alias("no_id"))
+    smallest = F.struct(F.col("component").alias("rep"), F.col("component").alias("node"))
+    name = F.when(F.col("no_id"), F.col("other")).otherwise(F.least(smallest, F.coalesce("other", smallest)))
+    named = named.join(others, "component", "left").withColumn("name", name).select(
+        "digest", "rep", "rep_key", F.col("name.rep").alias("component_id"), (F.col("node") == F.col("name.node")).alias("lead"))
     out = signed.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
     first = F.col("lead") & (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
     return out.select(

@@ -162,3 +162,16 @@ def test_texts_of_one_id(spark):
     assert (1, whole["a"]) in left and (5, whole["d"]) in left
     got = minhash_dedup.minhash_dedup(df, percent=80)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("first", ["a", "b"])
+def test_component_has_the_smallest_id_in_it(spark, first):
+    """An id on rows with different texts names the components of each of them, whichever text comes first."""
+    second = "b" if first == "a" else "a"
+    words = lambda c, last=None: " ".join([f"{c}{k}" for k in range(60)] + [last or f"{c}60"])
+    rows = [(5, words(first)), (5, words(second)), (11, words("b", "other")), (7, words("a", "else")), (3, words("c")), (9, words("c")),
+            (3, words("d")), (4, words("d", "one")), (2, words("d", "two"))]
+    got = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got)
+    assert found == sorted([(5, 5, True), (5, 5, True), (11, 5, False), (7, 5, False), (3, 3, True), (9, 3, False),
+                            (3, 2, False), (4, 2, False), (2, 2, True)])
