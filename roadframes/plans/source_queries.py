@@ -17,6 +17,7 @@ from roadframes.plans import standins as st
 from roadframes.plans import twins as tw
 from roadframes.plans.registry import query, r6, weighed
 from roadframes.session import scratch_path
+from roadframes.sources import chunks
 from roadframes.sources import feedback as fs
 from roadframes.sources import frames as store
 from roadframes.sources import skipping
@@ -172,6 +173,23 @@ def read_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_chunks(spark, path).select("frame_id", "chunk_id", weighed(digits=3).alias("checksum"))
 
 
+@query("""WITH r AS (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) // 40 AS number FROM embeddings),
+c AS (SELECT 'chunk_id=' || number AS chunk, number, count(*) AS n,
+  round(sum(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i))), 3) AS checksum FROM r GROUP BY number)
+SELECT chunk, CAST(row_number() OVER (ORDER BY number) - 1 AS INTEGER) AS position,
+  CAST(row_number() OVER (ORDER BY chunk) - 1 AS INTEGER) AS position_as_text, n, checksum FROM c""")
+def combine_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk folders found by a pattern, in order of their numbers and in order of their names."""
+    df = st.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("pixels"))
+    path = scratch_path(spark, "chunks")
+    store.write_chunks(df, path, chunk_size=40)
+    as_text = chunks.list_chunks(spark, path, "chunk_id=*", "text").select(
+        F.col("name").alias("chunk"), F.col("position").alias("position_as_text"))
+    whole = chunks.combine_chunks(spark, path, "chunk_id=*", schema="frame_id bigint, pixels array<float>")
+    return whole.groupBy("chunk", "position").agg(
+        F.count("*").alias("n"), F.round(F.sum(weighed(digits=9)), 3).alias("checksum")).join(F.broadcast(as_text), "chunk")
+
+
 @query("SELECT label % 3 AS chunk, count(*) AS n FROM embeddings GROUP BY 1")
 def concat_chunks(spark: SparkSession, sf: str) -> DataFrame:
     df = st.gray_frames(spark, sf)
@@ -227,6 +245,16 @@ def write_feedback(spark: SparkSession, sf: str) -> DataFrame:
         (F.size("feedback") == F.col("metadata.total_images")).alias("whole"))
 
 
+@query(fq.ENTRIES + """, n AS (SELECT session, count(*) AS total_images, count(*) FILTER (was_correct) AS correct_predictions FROM entries GROUP BY 1)
+SELECT session, CAST(image_index // 4 AS BIGINT) AS page, count(*) AS entries, any_value(total_images) AS total_images,
+  any_value(n.correct_predictions) AS correct_predictions FROM entries JOIN n USING (session) GROUP BY 1, 2""")
+def session_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of four images each; all documents of a session tell the whole session's totals."""
+    reviews = fq.entries(spark, sf).withColumns({"timestamp": F.lit("20240101_000000"), "session_duration": F.lit(0.0)})
+    return fs.feedback_documents(reviews, images=4, totals="session").select(
+        "session", "page", F.size("feedback").cast("bigint").alias("entries"), "metadata.total_images", "metadata.correct_predictions")
+
+
 @query(fq.ENTRIES + """ SELECT image_index, user_correction, count(*) AS n, round(sum(density), 6) AS density FROM entries GROUP BY 1, 2""")
 def flatten_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Entries out of the sessions' documents."""

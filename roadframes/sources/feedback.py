@@ -35,15 +35,18 @@ def scan_feedback(spark: SparkSession, path: str, pattern: str = "*/feedback_*.j
         read.where(~usable).select("file_path", reason.alias("reason")))
 
 
-def feedback_documents(reviews: DataFrame, images: int = 12) -> DataFrame:
+def feedback_documents(reviews: DataFrame, images: int = 12, totals: str = "page") -> DataFrame:
     """One nested document per session of at most ``images`` entries.
 
     ``reviews`` has ``session``, ``timestamp``, ``session_duration`` and the entry
     columns, one row per image. A session that reviewed more images than one page
     holds becomes several documents, one per page, so no document grows without bound.
     In the metadata, ``total_images`` and ``correct_predictions`` count the document's own
-    entries; ``session_images`` and ``session_correct`` those of the whole session.
+    entries, or with ``totals="session"`` those of the whole session in each of its documents, so that they do not
+    depend on the size of a page; ``session_images`` and ``session_correct`` always count the whole session.
     """
+    if totals not in ("page", "session"):
+        raise ValueError(f"totals of a page or a session, not {totals!r}")
     page = F.floor(F.col("image_index") / images).cast("bigint").alias("page")
     entries = F.sort_array(F.collect_list(F.struct(*ENTRY)))
     pages = reviews.groupBy("session", page).agg(
@@ -55,20 +58,24 @@ def feedback_documents(reviews: DataFrame, images: int = 12) -> DataFrame:
             F.count("*").alias("total_images"),
             F.count_if("was_correct").alias("correct_predictions"),
             F.max("session_duration").alias("session_duration")).alias("metadata"))
-    totals = reviews.groupBy(F.col("session").alias("__session")).agg(
+    sums = reviews.groupBy(F.col("session").alias("__session")).agg(
         F.count("*").alias("__images"), F.count_if("was_correct").alias("__correct"))
     whole = F.col("metadata").withField("session_images", F.col("__images")).withField("session_correct", F.col("__correct"))
-    joined = pages.join(totals, F.col("session").eqNullSafe(F.col("__session")))
+    if totals == "session":
+        whole = whole.withField("total_images", F.col("__images")).withField("correct_predictions", F.col("__correct"))
+    joined = pages.join(sums, F.col("session").eqNullSafe(F.col("__session")))
     return joined.withColumn("metadata", whole).select(pages.columns)
 
 
-def write_feedback(reviews: DataFrame, path: str, images: int = 12, one_file_each: bool = False) -> None:
+def write_feedback(
+    reviews: DataFrame, path: str, images: int = 12, one_file_each: bool = False, totals: str = "page",
+) -> None:
     """Store review sessions as JSON documents.
 
     By default many documents share a file, one per line. ``one_file_each`` writes
     ``<session>_<page>/feedback_<timestamp>.json``, the form ``scan_feedback`` looks for.
     """
-    documents = feedback_documents(reviews, images)
+    documents = feedback_documents(reviews, images, totals)
     if not one_file_each:
         documents.write.json(path)
         return

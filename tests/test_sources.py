@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from roadframes.functions.names import cropped_name, parse_capture_name
 from roadframes.operators import feedback as fb
 from roadframes.operators import frames as fr
+from roadframes.sources import chunks as ck
 from roadframes.sources import feedback as fs
 from roadframes.sources import frames as st
 from roadframes.sources import images as im
+from roadframes.schemas import FRAMES
 
 RNG = np.random.default_rng(0)
 
@@ -140,3 +142,31 @@ def test_session_totals_in_every_page(spark, tmp_path):
     fs.write_feedback(df.where("session = 's'"), str(tmp_path / "a"), one_file_each=True)
     sessions, _ = fs.scan_feedback(spark, str(tmp_path / "a"))
     assert [tuple(r) for r in sessions.select("metadata.session_images", "metadata.session_correct").collect()] == [(30, 10)] * 3
+
+
+def test_totals_of_the_session_in_every_document(spark, tmp_path):
+    rows = [("s", "20240101_000000", 9.0, i, 2.0, 2.0, i % 3 == 0, 0.5, 0.5) for i in range(30)]
+    df = spark.createDataFrame(rows, "session string, timestamp string, session_duration double, image_index bigint, model_prediction double, user_correction double, was_correct boolean, density double, congestion double")
+    fs.write_feedback(df, str(tmp_path / "a"), one_file_each=True, totals="session")
+    sessions, _ = fs.scan_feedback(spark, str(tmp_path / "a"))
+    assert [tuple(r) for r in sessions.select("metadata.total_images", "metadata.correct_predictions").collect()] == [(30, 10)] * 3
+    with pytest.raises(ValueError):
+        fs.feedback_documents(df, totals="day")
+
+
+def test_chunks_by_pattern(spark, tmp_path):
+    for name, ids in (("t_chunk_2", [1, 2]), ("t_chunk_10", [3]), ("t_chunk_1 b+c%20", [4]), ("other_7", [5])):
+        spark.createDataFrame([(i, "x") for i in ids], "frame_id bigint, source string").coalesce(1).write.parquet(str(tmp_path / name))
+    spark.createDataFrame([(9, 1)], "frame_id bigint, label int").coalesce(1).write.parquet(str(tmp_path / "t_chunk_11"))
+    (tmp_path / "t_chunk_99").mkdir()  # no files yet
+    rows = ck.combine_chunks(spark, str(tmp_path), "t_chunk_*")
+    assert rows.columns == [*FRAMES.names, "chunk", "position"]
+    got = [(r.chunk, r.position, r.frame_id, r.source) for r in rows.orderBy("position", "frame_id").collect()]
+    assert got == [("t_chunk_2", 0, 1, "x"), ("t_chunk_2", 0, 2, "x"), ("t_chunk_10", 1, 3, "x"), ("t_chunk_11", 2, 9, None), ("t_chunk_1 b+c%20", 3, 4, "x")]
+    text = ck.combine_chunks(spark, str(tmp_path), "t_chunk_*", order="text")
+    assert [r.chunk for r in text.select("chunk", "position").distinct().orderBy("position").collect()] == ["t_chunk_1 b+c%20", "t_chunk_10", "t_chunk_11", "t_chunk_2"]
+    assert ck.list_chunks(spark, str(tmp_path), "t_chunk_*").count() == 5
+    with pytest.raises(ck.NoChunks):
+        ck.combine_chunks(spark, str(tmp_path), "none_*")
+    with pytest.raises(ValueError):
+        ck.list_chunks(spark, str(tmp_path), order="size")
