@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadframes.operators.automaton import Machine, decode
 from roadframes.operators.metrics import rescore
-from roadframes.operators.running import beside
+from roadframes.operators.running import beside, ordered_blocks
 from roadframes.schemas import LEARNER_THRESHOLDS, SCORER_DEFAULTS
 
 # What each key of the review prompt means.
@@ -48,7 +48,7 @@ def step_of(action: Column) -> Column:
     return F.when(action.isin("agree", "disagree"), 1).when(action == "back", -1).otherwise(0)
 
 
-def fold_reviews(events: DataFrame, images: int = 12, block: str = "1 hour") -> DataFrame:
+def fold_reviews(events: DataFrame, images: int = 12, block: str | None = "1 hour") -> DataFrame:
     """The answers that stand at the end of each review session, one per image.
 
     ``events`` has ``session``, ``ts``, ``seq``, ``action`` (agree, disagree, back,
@@ -60,9 +60,12 @@ def fold_reviews(events: DataFrame, images: int = 12, block: str = "1 hour") ->
     less its running minimum. It is scanned in time blocks, so the hours of one very
     long session are worked on apart. Whether a session ends inside a block follows
     from the block's totals, so later blocks are dropped before their rows are placed.
+    Without ``block`` the borders are quantiles of the rows, so a session that says very
+    much in one hour is spread as well, for one more writing of the events.
     """
-    ev = events.withColumns({
-        "_block": F.window("ts", block)["start"], "_step": step_of(F.col("action"))})
+    blocks = ordered_blocks(events, ["session"], ["ts", "seq"]) if block is None else events.withColumn(
+        "_block", F.window("ts", block)["start"])
+    ev = blocks.withColumn("_step", step_of(F.col("action")))
     inside = Window.partitionBy("session", "_block").orderBy("ts", "seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy("session").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -249,17 +252,20 @@ def relearn_and_rescore(metrics: DataFrame, reviews: DataFrame, **options) -> Da
         share("agreed_before").alias("accuracy_before"), share("agreed_after").alias("accuracy_after"))
 
 
-def review_sessions(events: DataFrame, gap: str = "2 hours", block: str = "6 hours") -> DataFrame:
+def review_sessions(events: DataFrame, gap: str = "2 hours", block: str | None = "6 hours") -> DataFrame:
     """Sessions of a reviewer, closed by a pause longer than ``gap``.
 
     ``events`` has ``reviewer``, ``ts`` and ``was_correct``. The pause before an
     event and the number of its session are scanned in time blocks, so one
-    reviewer's long history is spread over many tasks.
+    reviewer's long history is spread over many tasks; without ``block`` in blocks of
+    about equally many moments.
     """
     # events of one moment belong together; counted first, their order is unique
     moments = events.groupBy("reviewer", "ts").agg(
         F.count("*").alias("_total"), F.count_if("was_correct").alias("_correct")
-    ).withColumn("_block", F.window("ts", block)["start"])
+    )
+    moments = ordered_blocks(moments, ["reviewer"], ["ts"]) if block is None else moments.withColumn(
+        "_block", F.window("ts", block)["start"])
     pause = F.expr(f"interval {gap}")
     inside = Window.partitionBy("reviewer", "_block").orderBy("ts")
     across = Window.partitionBy("reviewer").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,6 +104,15 @@ def ordered_rank(df: DataFrame, order: Sequence[str], rank: str = "rn") -> DataF
     return running(blocks, [], "_block", list(order), {rank: ("count", order[0])}).drop("_block")
 
 
+def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str = "_block") -> DataFrame:
+    """Number blocks that follow ``order`` inside each group of ``keys`` and hold about the same number of rows.
+
+    The blocks are Spark's ranges, whose borders are quantiles of a sample, so a group that is hot, however short its
+    time, is cut into many of them. They are written to the shared folder, so that a repeated task finds the same borders.
+    """
+    return materialise(df.repartitionByRange(*keys, *order).withColumn(block, F.spark_partition_id()), "ordered-blocks")
+
+
 def hash_cuts(
     df: DataFrame,
     key: str,

@@ -34,6 +34,12 @@ def fold_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return no_level(fb.fold_reviews(st.review_log(spark, sf)))
 
 
+@query(f"WITH {tw.LOG}, {tw.folded()} {FOLDED}")
+def fold_reviews_evenly(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from blocks of about equally many events."""
+    return no_level(fb.fold_reviews(st.review_log(spark, sf), block=None))
+
+
 @query(f"WITH {tw.PRESSED} SELECT session, seq, action, coalesce(level, -1) AS level FROM log")
 def decode_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Bare keys read in context: a level only after a no, back within the correction, nothing after a quit."""

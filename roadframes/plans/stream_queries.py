@@ -77,6 +77,12 @@ def review_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return fb.review_sessions(_review_events(st.table(spark, sf, "events")))
 
 
+@query(SESSIONS + " SELECT * FROM s")
+def review_sessions_evenly(spark: SparkSession, sf: str) -> DataFrame:
+    """All sessions, from blocks of about equally many moments."""
+    return fb.review_sessions(_review_events(st.table(spark, sf, "events")), block=None)
+
+
 @query(SESSIONS + " SELECT * FROM s WHERE ends_at + INTERVAL '1 hour' <= (SELECT max(ts) FROM events)")
 def review_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The sessions the watermark has closed."""
