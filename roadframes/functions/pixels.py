@@ -16,3 +16,11 @@ def layout_or_guess() -> Column:
     """The stated layout; where it is NULL, three channels are read as channels first."""
     guess = F.when(F.col("channels") == 3, F.lit("CHW")).otherwise(F.lit("HWC"))
     return F.coalesce(F.col("layout"), guess)
+
+
+def has_gaps(pixels: Column) -> Column:
+    """Whether a value is missing or not a number; false for missing pixels.
+
+    One compiled search for NaN, whose answer is NULL where it finds none among values of which some are NULL.
+    """
+    return F.coalesce(F.array_contains(pixels, F.lit(float("nan")).cast("float")), pixels.isNotNull())

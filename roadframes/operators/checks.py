@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadframes.functions.pixels import layout_or_guess
+from roadframes.functions.pixels import has_gaps, layout_or_guess
 from roadframes.operators.running import beside
 
 
@@ -36,7 +36,7 @@ def verify_frames(df: DataFrame, expected_shape: tuple[int, int, int] | None = N
         F.count("*").alias("rows"),
         F.count_if(~F.coalesce((F.size("pixels") == c * h * w) & right, F.lit(False))).alias("misshapen"),
         F.min(shape).alias("first"), F.max(shape).alias("last"),
-        F.count_if(F.exists("pixels", lambda v: v.isNull() | F.isnan(v))).alias("unreadable"),
+        F.count_if(has_gaps(F.col("pixels"))).alias("unreadable"),
         F.min(F.array_min("pixels")).alias("low"), F.max(F.array_max("pixels")).alias("high"))
 
     return facts.select(F.inline(F.array(

@@ -179,7 +179,7 @@ def reject_reason() -> Column:
     return (
         F.when(px.isNull(), "no pixels")
         .when(~F.coalesce(F.size(px) == F.col("height") * F.col("width") * F.col("channels"), F.lit(False)), "impossible shape")
-        .when(F.exists(px, lambda v: v.isNull() | F.isnan(v)), "value is not a number"))
+        .when(pixels.has_gaps(px), "value is not a number"))
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadframes.functions.pixels import has_gaps
 from roadframes.functions.scoring import level_name, traffic_level
 from roadframes.operators import checks
 from roadframes.operators import frames as fr
@@ -158,3 +159,11 @@ def test_verify_splits_finds_faults(spark):
     split = spark.createDataFrame([(0,), (1,), (1,), (9,)], "frame_id long")
     row = checks.verify_splits(split, whole).first()
     assert not row.passed and row.detail == "1 repeated, 2 missing, 1 unknown"
+
+
+@pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
+def test_gaps_in_values(spark, kind):
+    nan = float("nan")
+    rows = [([1.0, 2.0],), ([1.0, None],), ([nan, 1.0],), ([None, nan],), ([None],), ([float("inf")],), ([],), (None,)]
+    got = spark.createDataFrame(rows, f"px {kind}").select(has_gaps(F.col("px"))).collect()
+    assert [r[0] for r in got] == [False, True, True, True, True, False, False, False]
