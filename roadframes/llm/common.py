@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadframes.session import materialise
+
 #: Rows and bytes of an Arrow batch: texts are long, so a batch is bounded well below a worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 * 1024 * 1024
@@ -52,13 +54,32 @@ def crc_fold(folds: int, doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(col.cast("string").cast("binary")) % folds
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows by a hash of their key, all if there are fewer: the same rows in every run."""
-    n = df.count()
-    if n <= rows:
-        return df
-    share = int(2**31 * rows / n)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(2**31)) < share)
+def hash_sample(df: DataFrame, key: str | Sequence[str], rows: int) -> DataFrame:
+    """About ``rows`` rows by a hash of their key, all keys if there are fewer: the same keys in every run.
+
+    Each key gives one row, and the share is worked out from the number of different keys, so
+    a key on very many rows neither empties the sample nor fills it. A null is a key too."""
+    keys = [key] if isinstance(key, str) else list(key)
+    drawn = F.xxhash64(F.lit("sample"), *keys)
+    n = df.agg(F.approx_count_distinct(drawn, 0.02)).first()[0]
+    if n > rows:
+        df = df.where(F.pmod(drawn, F.lit(2**31)) < int(2**31 * rows / n))
+    return df.dropDuplicates(keys)
+
+
+def one_text(df: DataFrame, name: str) -> DataFrame:
+    """One row of each ``doc_id`` of a bounded set of ids, the one whose text has the smallest hash; stored once.
+
+    Partial aggregates keep an id that stands on very many rows from reaching one task whole."""
+    rest = [c for c in df.columns if c != "doc_id"]
+    least = F.min(F.struct(F.xxhash64("text").alias("_hash"), *rest)).alias("_row")
+    rows = df.groupBy("doc_id").agg(least).select("doc_id", *[F.col("_row")[c].alias(c) for c in rest])
+    return spread(rows, name)
+
+
+def spread(rows: DataFrame, name: str) -> DataFrame:
+    """A bounded sample stored and dealt over all cores: adaptive planning would read so few bytes in one task."""
+    return materialise(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism), name)
 
 
 def span_digest(spans: Column) -> Column:

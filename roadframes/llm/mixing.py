@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadframes.llm.common import bounded_batches, hash_sample, over_batches, texts
+from roadframes.llm.common import bounded_batches, hash_sample, one_text, over_batches, texts
 from roadframes.llm.textscan import NOT_SPACE, U64, Chunk, chunks
 from roadframes.session import materialise
 
@@ -85,7 +85,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str | Column = "lang
         return pa.RecordBatch.from_arrays(
             [batch.column("domain"), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["domain", "x"])
 
-    rows = over_batches(named.where("domain is not null").join(sample, "doc_id", "leftsemi"), vectors,
+    rows = over_batches(one_text(named.where("domain is not null").join(sample, "doc_id", "leftsemi"), "domains"), vectors,
                         "domain string, x binary").collect()
     rows.sort(key=lambda r: bytes(r["x"]))
     domains = sorted({r["domain"] for r in rows})

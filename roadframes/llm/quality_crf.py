@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadframes.llm import crf
-from roadframes.llm.common import hash_sample, over_batches, texts
+from roadframes.llm.common import hash_sample, one_text, over_batches, texts
 from roadframes.llm.textscan import (
     DIGIT, LOWER, MIX_B, NOT_NEWLINE, NOT_SPACE, U64, UPPER, Chunk, byte_table, chunks, mixed)
 
@@ -104,9 +104,10 @@ def good_share(chain: crf.Chain, features: np.ndarray, size: np.ndarray, bounds:
 
 def training_lines(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: int, sample_lines: int):
     """Label, line features and line lengths of the sampled documents."""
-    chosen = labels.where(use).where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
+    chosen = labels.where(use).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(
+        F.min("quality").alias("label"))
     # broadcast: about sample_docs rows by the bound of the sample
-    sample = F.broadcast(hash_sample(chosen.dropDuplicates(["doc_id"]), "doc_id", sample_docs))
+    sample = F.broadcast(hash_sample(chosen, "doc_id", sample_docs))
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, label = [], batch.column("label").to_numpy()
@@ -119,7 +120,7 @@ def training_lines(docs: DataFrame, labels: DataFrame, use: Column, sample_docs:
             [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2))],
             ["label", "features", "size"])
 
-    rows = over_batches(texts(docs).join(sample, "doc_id"), lines, "label int, features binary, size binary").collect()
+    rows = over_batches(one_text(texts(docs).join(sample, "doc_id"), "lines"), lines, "label int, features binary, size binary").collect()
     rows.sort(key=lambda r: bytes(r["features"]))  # a fit must not depend on the order of tasks
     width = OWN + 12
     features = [np.frombuffer(r["features"], dtype=np.float32).reshape(-1, width).astype(np.float64) for r in rows]

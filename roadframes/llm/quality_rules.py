@@ -164,7 +164,7 @@ def rule_profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
             "rule": [r.name for r in rules], "seen": seen.astype(np.int64), "rejected": lost.astype(np.int64),
             "seconds": spent})
 
-    sample = hash_sample(texts(docs), "doc_id", sample_rows)
+    sample = hash_sample(texts(docs), ["doc_id", "text"], sample_rows)
     return over_batches(sample, measure, "rule string, seen long, rejected long, seconds double").groupBy("rule").agg(
         F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
 

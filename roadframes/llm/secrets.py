@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadframes.llm import crf
-from roadframes.llm.common import hash_sample, over_batches, texts
+from roadframes.llm.common import hash_sample, over_batches, spread, texts
 from roadframes.llm.textscan import DIGIT, FOLD, LOWER, NOT_SPACE, POINT, U64, UPPER, Chunk, HashIndex, byte_table, chunks, text_hash
 from roadframes.session import materialise
 
@@ -195,12 +195,12 @@ def strata(docs: DataFrame, sample_docs: int, marked_docs: int) -> DataFrame:
     ``sample_docs`` rows without; its rows with one are not to be used."""
     marked, every = materialise(marked_rows(docs), "marked"), texts(docs)
     n, m = every.count(), marked.count()
-    uniform = hash_sample(every, "doc_id", -(-sample_docs * n // max(n - m, 1)))
+    uniform = hash_sample(every, ["doc_id", "text"], -(-sample_docs * n // max(n - m, 1)))
     # broadcast: about marked_docs rows by the bound of the sample
-    few = F.broadcast(hash_sample(marked, "doc_id", marked_docs).distinct().toDF("id", "key"))
+    few = F.broadcast(hash_sample(marked, ["doc_id", "text_key"], marked_docs).toDF("id", "key"))
     same = every["doc_id"].eqNullSafe(few["id"]) & (F.xxhash64(every["text"]) == few["key"])
-    return every.join(few, same, "leftsemi").withColumn("marked", F.lit(True)).unionByName(
-        uniform.withColumn("marked", F.lit(False)))
+    again = every.join(few, same, "leftsemi").dropDuplicates(["doc_id", "text"])
+    return spread(again.withColumn("marked", F.lit(True)).unionByName(uniform.withColumn("marked", F.lit(False))), "strata")
 
 
 def fit_secrets(docs: DataFrame, sample_docs: int = 3000, around: int = 12, most_windows: int = 20,

@@ -4,8 +4,8 @@ A clause (between line ends and the marks . ! ? ; :) is read as a string of word
 classes: INSULT and THREAT lexemes with weights, MODAL, TARGET, NEGATION, REPORT, and
 OTHER. Transducers for insult, threat, target, negation and reported speech are small
 state machines that emit weights; they are composed into one product machine, whose
-path weight is the clause's score. A lexeme alone gives its weight; near a target it
-weighs more; negated or reported it weighs less; a threat needs a modal or a target for
+path weight is the clause's score. A lexeme alone gives its weight; near a target, read
+before or after it, it weighs more; negated or reported it weighs less; a threat needs a modal or a target for
 its full weight. Clauses without a lexeme emit nothing and are not run.
 
 Lexemes are learnt: words and word beginnings (4 to 7 bytes) whose document frequency
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadframes.llm.common import hash_sample, over_batches, texts
+from roadframes.llm.common import hash_sample, one_text, over_batches, texts
 from roadframes.llm.crf import platt
 from roadframes.llm.textscan import LETTER, MIX_B, U64, Chunk, HashIndex, Runs, byte_table, chunks, mixed, text_hash
 
@@ -54,8 +54,7 @@ WORDS = {
 @dataclass(frozen=True)
 class Transducer:
     """Reads word classes; ``step`` maps (state, class) to (state, factor, bonus): the factor
-    multiplies the weight of a lexeme read now, the bonus is added to it. Missing pairs
-    go to ``rest`` of the state with factor 1 and no bonus."""
+    multiplies the weight of a lexeme read now, the bonus is added to it (``AIMED``: to the clause). Missing pairs go to ``rest`` of the state with factor 1 and no bonus."""
 
     step: dict[tuple[int, int], tuple[int, float, float]]
     rest: dict[int, int]
@@ -70,6 +69,13 @@ def memory(word: int, span: int, factor: float, bonus: float, on: tuple[int, ...
     return Transducer(step, {s: max(s - 1, 0) for s in range(span + 1)})
 
 
+def pending(on: tuple[int, ...], span: int, word: int, bonus: float) -> Transducer:
+    """Remembers a lexeme for ``span`` words; the first ``word`` read meanwhile gives a bonus."""
+    step = {(state, lexeme): (span, 1.0, 0.0) for state in range(span + 1) for lexeme in on}
+    step |= {(state, word): (0, 1.0, bonus) for state in range(1, span + 1)}
+    return Transducer(step, {s: max(s - 1, 0) for s in range(span + 1)})
+
+
 GRAMMAR = {
     "insult": Transducer({(0, INSULT): (1, 1.0, 0.0), (1, INSULT): (1, 1.0, 0.5)}, {0: 0, 1: 1}),
     "threat": memory(MODAL, 3, 1.5, 0.0, (THREAT,)),
@@ -90,6 +96,7 @@ def compose(machines: list[Transducer]) -> dict[tuple[tuple[int, ...], int], tup
     return out
 
 
+AIMED = pending((INSULT, THREAT), 3, TARGET, 1.0)
 MACHINE = compose(list(GRAMMAR.values()))
 START = tuple(0 for _ in GRAMMAR)
 
@@ -104,6 +111,15 @@ def clause_score(classes: list[int], weights: list[float]) -> float:
     return total
 
 
+def aimed_score(classes: list[int]) -> float:
+    """Weight that targets after a lexeme add: the path of ``AIMED`` alone, for it emits on other words than the product."""
+    state, total = 0, 0.0
+    for word in classes:
+        state, _, bonus = AIMED.step.get((state, word), (AIMED.rest[state], 1.0, 0.0))
+        total += bonus
+    return total
+
+
 def lexical_hashes(chunk: Chunk) -> tuple[Runs, list[np.ndarray]]:
     """Runs of letters, and the hashes of their beginnings: 0 where a word is shorter than the beginning."""
     words = chunk.runs(LETTER)
@@ -158,7 +174,7 @@ def evidence(chunk: Chunk, lexemes: HashIndex, weights: np.ndarray) -> tuple[np.
         own = slice(first[c], last[c])
         classes = np.where(weight[own] > 0, np.where(kind[own] == THREAT, THREAT, INSULT), kind[own])
         threat_alone = np.where((classes == THREAT) & (weight[own] <= 0), 0.5, weight[own])
-        score = clause_score(classes.tolist(), threat_alone.tolist())
+        score = clause_score(classes.tolist(), threat_alone.tolist()) + aimed_score(classes.tolist())
         d = words.doc[first[c]]
         top[d] = max(top[d], score / (1 + score / LEVEL))
         matched[d] += score > 0
@@ -170,10 +186,10 @@ def _joint(top: np.ndarray, matched: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: int) -> DataFrame:
-    chosen = labels.where(use).where("doc_id is not null and toxic in (0, 1)").select(
-        "doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    chosen = labels.where(use).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(
+        F.max(F.col("toxic").cast("int")).alias("label"))
     # broadcast: about sample_docs rows by the bound of the sample
-    return texts(docs).join(F.broadcast(hash_sample(chosen, "doc_id", sample_docs)), "doc_id")
+    return one_text(texts(docs).join(F.broadcast(hash_sample(chosen, "doc_id", sample_docs)), "doc_id"), "labelled")
 
 
 def learn_lexemes(rows: DataFrame, most: int = 4000, least_odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:

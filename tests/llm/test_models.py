@@ -50,6 +50,14 @@ def test_grammar():
     assert w(NEGATION, OTHER, OTHER, OTHER, INSULT) == plain  # out of reach
 
 
+def test_targets_after_a_lexeme():
+    aimed = toxicity.aimed_score
+    assert aimed([THREAT, TARGET]) == aimed([MODAL, INSULT, OTHER, OTHER, TARGET]) == 1
+    assert aimed([INSULT, OTHER, OTHER, OTHER, TARGET]) == 0  # out of reach
+    assert aimed([TARGET, INSULT]) == aimed([OTHER, TARGET, TARGET]) == 0
+    assert aimed([INSULT, TARGET, TARGET]) == 1 and aimed([INSULT, TARGET, INSULT, TARGET]) == 2
+
+
 def test_product_machine_equals_parts():
     rng = np.random.default_rng(0)
     for _ in range(50):
