@@ -39,28 +39,35 @@ def _filled(counts: DataFrame, keys: Sequence[str], place: str, last: Column | N
 def histograms(df: DataFrame, values: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width histograms of several columns: one row per metric and bin, empty bins too.
 
-    Two passes: bounds, then counts. Both are partial aggregates, so one small row per
-    metric and bin is shuffled and nothing is collected. Constant input is widened by
+    Two passes: bounds, then counts. Both are partial aggregates, so one small row per metric and bin is
+    shuffled and nothing is collected. The bounds are scalar subqueries, and a row gives one number for each
+    column, which holds metric and bin: nothing is joined. Constant input is widened by
     a half on both sides; the last bin is closed. Values that are NULL, NaN or infinite
     are in no bin and do not move the bounds.
     """
     finite = {v: F.when(F.abs(F.col(v).cast("double")) < float("inf"), F.col(v).cast("double")) for v in values}
-    ranges = df.agg(*[F.struct(F.min(finite[v]).alias("lo"), F.max(finite[v]).alias("hi")).alias(v) for v in values])
-    flat = F.col("lo") == F.col("hi")
-    # one row per metric
-    bounds = ranges.select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("metric"), F.col(f"{v}.lo").alias("lo"), F.col(f"{v}.hi").alias("hi"))
-        for v in values]))).select(
-            "metric", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("metric"), finite[v].alias("value")) for v in values])))
-    index = F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
-    counts = long.where("value is not null").join(F.broadcast(bounds), "metric").groupBy(
-        "metric", "lo", "hi", F.least(F.lit(bins - 1), index).cast("int").alias("bin")
-    ).agg(F.count("*").alias("rows"))
+    ends = [(F.min(finite[v]), F.max(finite[v])) for v in values]
+    bounds = df.agg(*[
+        F.when(lo == hi, F.struct((lo - 0.5).alias("lo"), (hi + 0.5).alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), hi.alias("hi"))).alias(f"_{i}") for i, (lo, hi) in enumerate(ends)])
+    placed = beside(df.select(*[finite[v].alias(f"v{i}") for i, v in enumerate(values)]), bounds)
+
+    def code(i: int) -> Column:
+        """The bin of a value and its column in one number; NULL where the value is in no bin."""
+        lo, hi = F.col(f"_{i}.lo"), F.col(f"_{i}.hi")
+        index = F.floor(F.try_divide(F.col(f"v{i}") - lo, hi - lo) * bins)
+        return F.when(F.col(f"v{i}").isNotNull(), F.least(F.lit(bins - 1), index) + i * bins)
+
+    codes = [code(i) for i in range(len(values))]
+    coded = placed.select((codes[0] if len(codes) == 1 else F.explode(F.array(*codes))).alias("code"))
+    counts = coded.where("code is not null").groupBy("code").agg(F.count("*").alias("rows"))
+    which, span = F.floor(F.col("code") / bins).cast("int"), F.array(*[F.col(f"_{i}") for i in range(len(values))])
+    keyed = beside(counts, bounds).select(
+        F.get(F.array(*[F.lit(v) for v in values]), which).alias("metric"), F.get(span, which).alias("span"),
+        (F.col("code") - which * bins).cast("int").alias("bin"), "rows").select(
+            "metric", F.col("span.lo").alias("lo"), F.col("span.hi").alias("hi"), "bin", "rows")
     width = (F.col("hi") - F.col("lo")) / bins
-    return _filled(counts, ["metric", "lo", "hi"], "bin", F.lit(bins - 1)).select(
+    return _filled(keyed, ["metric", "lo", "hi"], "bin", F.lit(bins - 1)).select(
         "metric", "bin",
         (F.col("lo") + F.col("bin") * width).alias("bin_start"),
         (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"), "rows")

@@ -11,12 +11,14 @@ from roadframes.functions.names import parse_capture_name
 from roadframes.operators import checks, summary
 from roadframes.operators import frames as fr
 from roadframes.operators.feedback import flatten_feedback, learn_params
+from roadframes.operators.ingest import image_tensors
 from roadframes.operators.metrics import analyze, rescore
 from roadframes.operators.sampling import sample_grid, subset
 from roadframes.schemas import FRAMES, IMAGENET_MEAN, IMAGENET_STD
 from roadframes.sources.feedback import scan_feedback
-from roadframes.sources.frames import scan_frames, write_frames
-from roadframes.sources.images import image_rejects, scan_images
+from roadframes.sources.frames import scan_frames
+from roadframes.sources.images import scan_images
+from roadframes.sources.routed import write_routed
 
 NORMAL = (IMAGENET_MEAN, IMAGENET_STD)
 
@@ -25,23 +27,40 @@ def prepare_dataset(
     spark: SparkSession, images: str, out: str, size: int = 224, region: Sequence[int] | None = None,
     source: str = "unknown",
 ) -> tuple[DataFrame, DataFrame]:
-    """Image folder to stored tensors in one pass; returns the checks and the rejects.
+    """Image folder to stored tensors in one pass; returns the checks and the stored rejects.
 
-    Frames are cropped to ``region`` (x, y, width, height) where it fits. The source is
-    the camera in the file name. Ids are given as rows are written and do not change
-    afterwards.
+    See ``ingest``; the rejects are read from where it stored them.
     """
-    kept, rejects = image_rejects(scan_images(spark, images))
-    frames = fr.to_rgb(kept)
-    if region:
-        frames, outside = fr.crop_in_bounds(frames, *region)
-        rejects = rejects.unionByName(outside.select("origin", F.lit("region exceeds image").alias("reason")))
-        frames = fr.crop(frames, *region)
-    tensors = fr.constant_label(fr.to_tensor(frames, size)).withColumns({
+    ingest(spark, images, out, size, region, source)
+    return checks.verify_frames(scan_frames(spark, out), (3, size, size)), scan_rejects(spark, out)
+
+
+def ingest(
+    spark: SparkSession, images: str, out: str, size: int = 224, region: Sequence[int] | None = None,
+    source: str = "unknown",
+) -> dict[str, int]:
+    """Store tensors under ``out`` and rejects under ``out`` + ``_rejects``; returns how many of each.
+
+    Each image is decoded once and one write stores both. Frames are cropped to ``region`` (x, y, width,
+    height). An image that cannot be decoded, that the region exceeds, or whose bytes do not fit
+    its shape is a reject. The source is the camera in the file name. Ids are given as rows
+    are written and do not change afterwards.
+    """
+    tensors = fr.constant_label(image_tensors(scan_images(spark, images), size, region)).withColumns({
         "frame_id": F.monotonically_increasing_id(),
         "source": F.coalesce(parse_capture_name(F.col("origin"))["camera"], F.lit(source))})
-    write_frames(tensors.select(*FRAMES.names), out)
-    return checks.verify_frames(scan_frames(spark, out), (3, size, size)), rejects
+    outcome = F.when(F.col("reason").isNull(), "kept").otherwise("rejected")
+    return write_routed(
+        tensors.select(*FRAMES.names, "origin", "reason"), outcome, {"kept": out, "rejected": _rejects(out)})
+
+
+def _rejects(out: str) -> str:
+    return out.rstrip("/") + "_rejects"
+
+
+def scan_rejects(spark: SparkSession, out: str) -> DataFrame:
+    """``origin, reason`` of the images that ``ingest`` rejected."""
+    return spark.read.schema("origin string, reason string").parquet(_rejects(out)).select("origin", "reason")
 
 
 def score_dataset(

@@ -92,6 +92,16 @@ def prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.prepare_dataset(spark, image_folder(spark, sf), scratch_path(spark, "dataset"), 4)[0]
 
 
+@query("""SELECT vec_id AS frame_id, 'cannot decode image' AS reason, (SELECT count(*) FROM embeddings WHERE label <> 9) AS kept,
+  (SELECT count(*) FROM embeddings WHERE label = 9) AS rejected FROM embeddings WHERE label = 9""")
+def stored_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejects that the one write of the ingest stored beside the tensors, with its counts."""
+    out = scratch_path(spark, "dataset")
+    counts = jobs.ingest(spark, image_folder(spark, sf), out, 4)
+    return jobs.scan_rejects(spark, out).select(
+        _id_in_name("origin").alias("frame_id"), "reason", *[F.lit(n).cast("bigint").alias(k) for k, n in counts.items()])
+
+
 @query(f"""WITH {tw.GRAY}, x AS (SELECT frame_id, list_transform(range(20), lambda k: px[(2 + k // 4) * 8 + 3 + k % 4 + 1]) AS px FROM gray)
 SELECT printf('cam_%07d_cropped.jpg', frame_id) AS origin, CAST(len(px) AS INTEGER) AS n, {W.format('px')} AS checksum FROM x""")
 def write_crops(spark: SparkSession, sf: str) -> DataFrame:
