@@ -47,13 +47,23 @@ def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 1 <
     sequence gets shorter and the rounds end.
     """
     rules: list[np.ndarray] = []
-    made = base
+    made, some = base, None  # some: the places at which a frequent pair may stand, None for all
+    which = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
     while len(symbols) >= 2:
-        pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+        if some is None:
+            left, right = symbols[:-1], symbols[1:]
+        else:
+            left, right = symbols[some], symbols[some + 1]
+        pair = left.astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= right
         # a pair is seen no more often than all pairs of its slot: only those of full slots are sorted
-        slot = (pair * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        full = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
-        fine = (symbols[:-1] != WALL) & (symbols[1:] != WALL) & full[slot]
+        mixed = pair * SLOT_MIX
+        mixed >>= np.uint64(64 - SLOT_BITS)
+        slot = mixed.view(np.int64)
+        fine = (np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]
+        fine &= left != WALL
+        fine &= right != WALL
         ordered = np.sort(pair[fine])
         if not len(ordered):
             break
@@ -62,51 +72,85 @@ def repair(symbols: np.ndarray, base: int, least: int = 16, per_round: int = 1 <
         often = np.flatnonzero(n >= least)
         if not len(often):
             break
+        all_taken = len(often) <= per_round
         often = often[np.argsort(-n[often], kind="stable")][:per_round]
         chosen = ordered[edge[often]]
-        by_pair = np.argsort(chosen)
-        sorted_pairs, marked = chosen[by_pair], np.zeros(1 << SLOT_BITS, dtype=bool)
-        marked[(chosen * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
-        at = np.flatnonzero(marked[slot])
-        place = np.minimum(np.searchsorted(sorted_pairs, pair[at]), len(chosen) - 1)
-        hit = sorted_pairs[place] == pair[at]
-        at, order = at[hit], by_pair[place[hit]]
+        at, rank = _places(pair, slot, chosen, which)
+        if some is not None:
+            at = some[at]
         # of neighbouring places the better rank wins; a run of equal ranks is taken from the left
-        taken = _disjoint(at, order)
-        at, order = at[taken], order[taken]
-        used = np.flatnonzero(np.bincount(order, minlength=len(often)))
+        taken = _disjoint(at, rank)
+        hit, at, rank = at, at[taken], rank[taken]
+        used = np.flatnonzero(np.bincount(rank, minlength=len(often)))
         number = np.zeros(len(often), dtype=np.uint32)
         number[used] = np.arange(made, made + len(used))
         rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         symbols = symbols.copy()
-        symbols[at] = number[order]
+        symbols[at] = number[rank]
         made += len(used)
-        left = np.ones(len(symbols), dtype=bool)
-        left[at + 1] = False
-        symbols = symbols[left]
+        stays = np.ones(len(symbols), dtype=bool)
+        stays[at + 1] = False
+        some = None
+        if all_taken:
+            # a pair that was not chosen was rare and stays so: a frequent one has a new symbol or lost its place to another
+            maybe = np.zeros(len(symbols), dtype=bool)
+            maybe[hit] = True
+            maybe[at[at > 0] - 1] = True
+            some = np.flatnonzero(maybe[stays])
+        symbols = symbols[stays]
+        if some is not None:
+            some = some[some < len(symbols) - 1]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)), symbols
 
 
+def _places(pair: np.ndarray, slot: np.ndarray, chosen: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the chosen pairs, and the rank of the pair at each; ``which`` is a table of -1 for each slot, and is left so.
+
+    A slot holds one chosen pair, and the others of a slot are looked up in sorted order."""
+    own = (chosen * SLOT_MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    which[own] = np.arange(len(chosen), dtype=np.int32)
+    rank = which[slot]
+    at = np.flatnonzero(rank >= 0)
+    rank, here = rank[at], pair[at]
+    hit = chosen[rank] == here
+    others = np.flatnonzero(which[own] != np.arange(len(chosen)))
+    if len(others):
+        others = others[np.argsort(chosen[others])]
+        missed = np.flatnonzero(~hit)
+        place = np.minimum(np.searchsorted(chosen[others], here[missed]), len(others) - 1)
+        found = chosen[others][place] == here[missed]
+        rank[missed[found]], hit[missed[found]] = others[place[found]], True
+    which[own] = -1
+    return at[hit], rank[hit]
+
+
 def _disjoint(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Places of which no two are neighbours: in turn, those better than both neighbours, the left
     one among equals, until nothing is left beside a taken one."""
     taken = np.zeros(len(at), dtype=bool)
-    same = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(rank) == 0)])
-    place = np.arange(len(at))
-    alive = np.flatnonzero((place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0)
+    same = np.zeros(len(at), dtype=bool)
+    same[1:] = (at[1:] - at[:-1] == 1) & (rank[1:] == rank[:-1])
+    alone = ~same
+    # in a run of equal ranks every second place is alive, counted from the left
+    for_run = np.flatnonzero(same)
+    if len(for_run):
+        place = np.flatnonzero(alone)
+        alone[for_run] = (for_run - place[np.searchsorted(place, for_run) - 1]) % 2 == 0
+    alive = np.flatnonzero(alone)
     while len(alive):
         a, r = at[alive], rank[alive]
-        beside = np.diff(a) == 1
-        worse_left = np.concatenate([[True], ~beside | (r[1:] < r[:-1])])
-        worse_right = np.concatenate([~beside | (r[:-1] <= r[1:]), [True]])
-        best = worse_left & worse_right
+        beside = a[1:] - a[:-1] == 1
+        better = r[1:] < r[:-1]
+        best = np.ones(len(alive), dtype=bool)
+        best[1:] = ~beside | better
+        best[:-1] &= ~(beside & better)
         if not best.any():
             break
         taken[alive[best]] = True
-        gone = best.copy()
-        gone[1:] |= best[:-1] & beside
-        gone[:-1] |= best[1:] & beside
-        alive = alive[~gone]
+        rest = ~best
+        rest[1:] &= ~(best[:-1] & beside)
+        rest[:-1] &= ~(best[1:] & beside)
+        alive = alive[rest]
     return taken
 
 

@@ -12,7 +12,7 @@ breaks meet are encoded whole. The ids are those of encoding each whole text.
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +27,8 @@ SLOT_BITS, POOL, LONGEST, TOGETHER = 20, 1 << 22, 64, 256
 SEPARATOR = byte_table(b" \n")
 #: First bytes of signs beyond Latin-1: pieces that have one are not folded, for marks may join with a letter.
 BEYOND = byte_table(bytes(range(0xC4, 0xF8)))
-#: Letters whose normal form, case and class both tokenizers treat alike, and a tail of plain punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: The same as bytes: letters, of which those beyond ASCII have one lead byte, and the tail.
+#: Bytes of letters whose normal form, case and class both tokenizers treat alike (those beyond ASCII, À to ÿ but for × and ÷, have
+#: one lead byte), and of a tail of plain punctuation.
 PLAIN_LETTER = byte_table(bytes(b for b in [*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)] if b not in (0x97, 0xB7)))
 PLAIN_TAIL = byte_table(bytes([*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 KINDS = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
@@ -43,16 +42,11 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-SIGNS = _byte_signs()
-FROM_LATIN = str.maketrans({chr(b): sign for b, sign in SIGNS.items()})
-
-
-def _signs(text: str) -> str:
-    """A pre-token in a byte-level tokenizer's signs, none of which is a space: a visible ASCII word is its own form."""
-    word = text[1:] if text[:1] == " " else text
-    if word.isascii() and word.isprintable() and " " not in word:
-        return text if word is text else SIGNS[32] + word
-    return text.encode().decode("latin-1").translate(FROM_LATIN)
+SIGNS = np.array([ord(sign) for _, sign in sorted(_byte_signs().items())], dtype="<u4")
+#: Bytes of plain letters in lower case: the second byte of À to Þ moves as A to Z do.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[0x80:0x9F] += 32
 
 
 def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -61,16 +55,26 @@ def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return source[np.arange(int(size.sum())) + np.repeat(start - first, size)]
 
 
-def without_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs with those of letters and a tail cut in two: starts, ends, the run that each part is of, and which parts are tails."""
+def without_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with those of letters and a tail cut in two: starts, ends, the run that each part is of, which parts are tails, and
+    which are letters alone."""
     letters, tails = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (PLAIN_LETTER, PLAIN_TAIL))
     middle = start + letters[end] - letters[start]
-    cut = (middle > start) & (middle < end) & (letters[middle] - letters[start] == middle - start)
-    cut &= tails[end] - tails[middle] == end - middle
-    own = np.repeat(np.arange(len(start)), 1 + cut)
+    plain = middle == end
+    # few runs have a tail, so only those that are not letters alone are looked at
+    odd = np.flatnonzero(~plain)
+    a, m, b = start[odd], middle[odd], end[odd]
+    cut = odd[(m > a) & (letters[m] - letters[a] == m - a) & (tails[b] - tails[m] == b - m)]
+    parts = np.ones(len(start), dtype=np.int64)
+    parts[cut] = 2
+    own = np.repeat(np.arange(len(start)), parts)
+    tails_at = cut + np.arange(1, len(cut) + 1)
     tail = np.zeros(len(own), dtype=bool)
-    tail[1:] = own[1:] == own[:-1]
-    return np.where(tail, middle[own], start[own]), np.where(cut[own] & ~tail, middle[own], end[own]), own, tail
+    tail[tails_at] = True
+    start, end, plain = start[own], end[own], plain[own]
+    start[tails_at] = end[tails_at - 1] = middle[cut]
+    plain[tails_at - 1] = True
+    return start, end, own, tail, plain
 
 
 class _Cache:
@@ -108,50 +112,57 @@ class Encoder:
             path = public_tokenizers.path(KINDS[kind])
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # texts go one by one: a pool of threads would only wait
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ending = self.tokenizer.model.end_of_word_suffix or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.signs = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # of a text, that an id stands for
+        for token, number in vocabulary.items():
+            self.signs[number] = len(token) - (len(ending) if ending and token.endswith(ending) else 0)
         self.cache = _Cache()
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _pre_tokens(self, piece: str) -> list[str] | None:
-        """Pre-tokens, in the model's signs, of a piece of letters with a tail; None for another piece."""
-        lead = "\n" if piece[0] == "\n" else " " if piece[0] == " " else ""
-        m = PLAIN.fullmatch(piece, len(lead))
-        if not m:
-            return None
-        word, tail = m.groups()
+    def _plain(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of plain letters, one after the other, and how many each has. The model gets the pre-tokens in its signs, a
+        space after each; as a token stands for so many signs, the places where a run's ids end are found by counting signs."""
+        n = end - start
         if self.kind == "word":
-            head = [_signs(word.lower())]
-        elif lead == "\n":
-            head = [_signs(lead), _signs(word)]
-        else:
-            head = [_signs(lead + word)]
-        return [*head, tail] if tail else head
-
-    def _plain(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces from their pre-tokens, and how many each piece has."""
-        words = [w for own in parts for w in own]
-        owner = np.repeat(np.arange(len(parts)), [len(own) for own in parts])
-        ids, size = [], np.zeros(len(parts), dtype=np.int64)
-        for k in range(0, len(words), TOGETHER):
-            found = self.model.encode(" ".join(words[k : k + TOGETHER]), add_special_tokens=False)
-            ids.append(np.asarray(found.ids, dtype=np.uint32))
-            size += np.bincount(owner[k : k + TOGETHER][np.asarray(found.word_ids, dtype=np.int64)], minlength=len(parts))
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), size
-
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            table, before = SIGNS[LOWER], np.zeros(len(n), dtype=np.int64)
+        else:  # a space is a part of its word, a line break a pre-token of its own
+            table, before = SIGNS, np.select([lead == 32, lead == 10], [1, 2], 0)
+        size = before + n + 1
+        stop = np.cumsum(size)
+        at = stop - size
+        text = np.full(int(size.sum()), 32, dtype="<u4")
+        text[at[before == 1]], text[at[before == 2]] = SIGNS[32], SIGNS[10]
+        text[np.arange(int(n.sum())) + np.repeat(at + before - (np.cumsum(n) - n), n)] = table[gathered(data, start, n)]
+        ids, sizes = [], []
+        for k in range(0, len(n), TOGETHER):
+            some = slice(k, k + TOGETHER)
+            words = text[at[some][0] : stop[some][-1]].tobytes().decode("utf-32-le")
+            found = np.asarray(self.model.encode_batch_fast([words], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            told, ends = np.cumsum(self.signs[found]), np.cumsum(n[some] + (before[some] > 0))
+            last = np.searchsorted(told, ends)
+            if last[-1] != len(told) - 1 or (told[last] != ends).any():
+                raise ValueError("the tokenizer's ids do not add up to the signs of the words")
+            ids.append(found)
+            sizes.append(np.diff(last, prepend=-1))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after the other, and how many each has. A piece begins with its separator, if it has one."""
-        parts = [self._pre_tokens(p) for p in pieces]
-        plain = np.array([own is not None for own in parts], dtype=bool)
-        ids, size = self._plain([own for own in parts if own is not None])
+        ids, size = self._plain(data, start[plain], end[plain], lead[plain])
         if plain.all():
             return ids, size
-        rest = [self.whole(p) for p, own in zip(pieces, parts, strict=True) if own is None]
-        sizes, starts = np.zeros((2, len(pieces)), dtype=np.int64)
-        sizes[plain], sizes[~plain] = size, [len(r) for r in rest]
-        starts[plain], starts[~plain] = np.cumsum(size) - size, len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        odd, signs = np.flatnonzero(~plain), {0: "", 10: "\n", 32: " "}
+        rest = [self.whole(signs[v] + data[a:b].tobytes().decode()) for v, a, b in zip(
+            lead[odd].tolist(), start[odd].tolist(), end[odd].tolist(), strict=True)]
+        sizes, starts = np.zeros((2, len(plain)), dtype=np.int64)
+        sizes[plain], sizes[odd] = size, [len(r) for r in rest]
+        starts[plain], starts[odd] = np.cumsum(size) - size, len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
         return gathered(np.concatenate([ids, *rest]), starts, sizes), sizes
 
     def _hashes(self, chunk: Chunk, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -176,7 +187,7 @@ class Encoder:
         cut = ~uncut[runs.doc]
         start, end, doc = runs.start[cut], runs.end[cut], runs.doc[cut]
         lead = np.where(start > offsets[doc], data[start - 1], 0)
-        start, end, own, tail = without_tails(data, start, end)
+        start, end, own, tail, plain = without_tails(data, start, end)
         lead, doc = np.where(tail, 0, lead[own]), doc[own]
         keys = self._hashes(chunk, start, end, lead)
         cache, slot = self.cache, (keys >> U64(64 - SLOT_BITS)).astype(np.int64)
@@ -184,9 +195,7 @@ class Encoder:
         size, place = np.where(known, cache.size[slot], 0).astype(np.int64), cache.start[slot]
         new, first, which = np.unique(keys[~known], return_index=True, return_inverse=True)
         at, raw = np.flatnonzero(~known)[first], data.tobytes()
-        signs = {0: "", 10: "\n", 32: " "}
-        made, many = self._pieces([signs[v] + raw[a:b].decode() for v, a, b in zip(
-            lead[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
+        made, many = self._pieces(data, start[at], end[at], lead[at], plain[at])
         size[~known], place[~known] = many[which], (np.cumsum(many) - many)[which]
         ids = np.empty(int(size.sum()), dtype=np.uint32)
         old = np.repeat(known, size)

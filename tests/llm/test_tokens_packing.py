@@ -1,7 +1,7 @@
 """Token files and packing beside whole-text encoding and plain packing."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -98,6 +98,47 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert n.max() < 2
 
 
+def test_repair_counts_again_only_where_a_pair_may_be_frequent(monkeypatch):
+    """Rounds that replace little look at little: counting all places in every round would be some ten times as many."""
+    rng = np.random.default_rng(3)
+    rare = rng.permutation(50_000).astype(np.uint32) + 10
+    flat = np.concatenate([rare, np.tile(np.array([1, 2], dtype=np.uint32), 1 << 10), [token_files.WALL]]).astype(np.uint32)
+    seen, bincount = [], np.bincount
+
+    def counted(x, minlength=0, **options):
+        if minlength == 1 << token_files.SLOT_BITS:
+            seen.append(len(x))
+        return bincount(x, minlength=minlength, **options)
+
+    monkeypatch.setattr(token_files.np, "bincount", counted)
+    rules, symbols = token_files.repair(flat, 1 << 17, least=2)
+    assert len(rules) >= 9 and len(seen) >= 9
+    assert sum(seen) < 2 * len(flat)
+    lengths = token_files.rule_lengths(rules, 1 << 17)
+    assert (token_files.expand(symbols[:-1], rules, lengths, 1 << 17) == flat[:-1]).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(docs=st.lists(st.lists(st.integers(0, 4), max_size=60), min_size=1, max_size=4))
+def test_repair_leaves_no_frequent_pair(docs):
+    flat = np.concatenate([np.array([*d, token_files.WALL], dtype=np.uint32) for d in docs])
+    _, symbols = token_files.repair(flat, 10, least=3, per_round=2)
+    pairs = [p for p in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True) if int(token_files.WALL) not in p]
+    assert all(n < 3 for n in Counter(pairs).values())
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_many_new_words_encode_like_the_whole(kind):
+    """More new words than go to the model at once, with letters beyond ASCII, line breaks and tails among them."""
+    rng = np.random.default_rng(5)
+    letters = list("abcxyzABCXYZàéîõüßÿÀÉÎÕÜÞ×÷µ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) + rng.choice(["", "", "", ",", ".)", "1"]) for _ in range(3000)]
+    text = "".join(w + rng.choice([" ", " ", "\n"]) for w in words) + "end"
+    ours, theirs = Encoder(kind), whole(kind)
+    for _ in range(2):
+        assert np.frombuffer(ours.encode(text), dtype="<u4").tolist() == theirs(text)
+
+
 def test_repair_shrinks_repetition():
     rules, symbols = token_files.repair(np.tile(np.arange(64, dtype=np.uint32), 64), 100, least=4)
     assert len(symbols) + 2 * len(rules) < 64 * 64 / 8
