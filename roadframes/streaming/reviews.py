@@ -85,15 +85,30 @@ class FoldReviews(StatefulProcessor):
 
     def _load(self) -> None:
         self.pos, self.step, self.done, self.timer, self.by_minute, self.last, self.waiting = (
-            self.walk.get() if self.walk.exists() else (0, 0, False, 0, False, 0, []))
+            self.walk.get() or (0, 0, False, 0, False, 0, []))
         self.waiting = list(self.waiting)
+        self.held = None  # the waiting events of an ordinary session, once they have been read
+
+    def _few(self) -> list:
+        """Waiting events of an ordinary session: each state call goes to the JVM and back, so they are read once."""
+        if self.held is None:
+            columns = self.small.get()
+            self.held = list(zip(*columns)) if columns else []
+        return self.held
+
+    def _keep_few(self, events: list) -> None:
+        self.held = events
+        if events:
+            self.small.update(_columns(events))
+        else:
+            self.small.clear()
 
     def _save(self) -> None:
         self.walk.update((self.pos, self.step, self.done, self.timer, self.by_minute, self.last, self.waiting))
 
     def _remember_end(self) -> None:
         """Of an ended session: nothing waits, and a timer may take the rest away."""
-        self.small.clear()
+        self._keep_few([])
         self.minutes.clear()
         self.waiting, self.timer = [], 0
         if self.forget is not None:
@@ -101,8 +116,12 @@ class FoldReviews(StatefulProcessor):
             self.handle.registerTimer(self.timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for changes in self._take(rows, timerValues.getCurrentWatermarkInMs()):
+            yield self._changes(key, changes)
+
+    def _take(self, rows: Iterator[pd.DataFrame], passed: int) -> Iterator[list[tuple]]:
+        """Lets new events wait; late ones are told."""
         self._load()
-        passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:
             micros = part["ts"].astype("datetime64[us]").astype("int64")
             self.last = max(self.last, int(micros.max()) // 1000)
@@ -111,7 +130,7 @@ class FoldReviews(StatefulProcessor):
             events = list(zip(micros.tolist(), part["seq"].tolist(), part["action"].tolist(), part["level"].tolist()))
             late = [e for e in events if _minute_end(e) <= passed]
             if late:
-                yield self._changes(key, [(-1, "late", None, None, None, e[0]) for e in late])
+                yield [(-1, "late", None, None, None, e[0]) for e in late]
                 events = [e for e in events if _minute_end(e) > passed]
             if events:
                 self._wait(events)
@@ -123,13 +142,12 @@ class FoldReviews(StatefulProcessor):
 
     def _wait(self, events: list) -> None:
         if not self.by_minute:
-            if self.small.exists():
-                events = list(zip(*self.small.get())) + events
+            events = self._few() + events
             if len(events) <= self.SMALL:
-                self.small.update(_columns(events))
+                self._keep_few(events)
                 return
             self.by_minute = True
-            self.small.clear()
+            self._keep_few([])
         grouped: dict[int, list] = {}
         for event in events:
             grouped.setdefault(_minute_end(event), []).append(event)
@@ -140,8 +158,12 @@ class FoldReviews(StatefulProcessor):
             self.minutes.updateValue((end,), _columns((list(zip(*old)) if old else []) + some))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for changes in self._expire(timerValues.getCurrentWatermarkInMs()):
+            yield self._changes(key, changes)
+
+    def _expire(self, passed: int) -> Iterator[list[tuple]]:
+        """Applies the waiting events whose minute is over."""
         self._load()
-        passed = timerValues.getCurrentWatermarkInMs()
         if self.done:
             if self.forget is not None and passed >= self.last + self.forget:
                 self._clear()
@@ -152,7 +174,7 @@ class FoldReviews(StatefulProcessor):
             for events in self._passed(passed):
                 changes = self._apply(sorted(events))
                 if changes:
-                    yield self._changes(key, changes)
+                    yield changes
                 if self.done:
                     break
             if self.done:
@@ -167,14 +189,12 @@ class FoldReviews(StatefulProcessor):
     def _passed(self, passed: int) -> Iterator[list]:
         """Waiting events whose minute is over, in order; the next timer is set."""
         if not self.by_minute:
-            if self.small.exists():
-                events = list(zip(*self.small.get()))
+            events = self._few()
+            if events:
                 rest = [e for e in events if _minute_end(e) > passed]
                 if rest:
                     self.timer = min(map(_minute_end, rest))
-                    self.small.update(_columns(rest))
-                else:
-                    self.small.clear()
+                self._keep_few(rest)
                 yield [e for e in events if _minute_end(e) <= passed]
             return
         while self.waiting:
@@ -190,7 +210,7 @@ class FoldReviews(StatefulProcessor):
     def _waiting_events(self) -> Iterator[list]:
         """All waiting events in order, a minute at a time where there are many."""
         if not self.by_minute:
-            yield sorted(zip(*self.small.get())) if self.small.exists() else []
+            yield sorted(self._few())
             return
         for end in self.waiting:
             yield sorted(zip(*self.minutes.getValue((end,))))
@@ -250,7 +270,7 @@ class StandingReviews(FoldReviews):
             "shown", "number bigint, version bigint, agreed array<boolean>, level array<int>, at array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changes = list(super().handleInputRows(key, rows, timerValues))
+        changes = list(self._take(rows, timerValues.getCurrentWatermarkInMs()))
         number, version, answers = self._shown()
         now = self._follow(answers, changes)
         told = list(now)
@@ -262,30 +282,33 @@ class StandingReviews(FoldReviews):
         self._keep(len(told), version, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        changes = list(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
-        if not self.walk.exists():
+        self.cleared = False
+        changes = list(self._expire(timerValues.getCurrentWatermarkInMs()))
+        if self.cleared:
             self.shown.clear()
             return
         number, version, answers = self._shown()
         self._keep(number, version, self._follow(answers, changes))
         yield from ()
 
+    def _clear(self) -> None:
+        super()._clear()
+        self.cleared = True
+
     def _shown(self) -> tuple[int, int, list]:
-        if not self.shown.exists():
-            return 0, 0, []
-        number, version, *columns = self.shown.get()
+        number, version, *columns = self.shown.get() or (0, 0)
         return number, version, list(zip(*columns))
 
     def _keep(self, number: int, version: int, answers: list) -> None:
         self.shown.update((number, version, *(_columns(answers) if answers else ([], [], []))))
 
     @staticmethod
-    def _follow(answers: list, changes: list[pd.DataFrame]) -> list:
-        """The applied answers after some changes."""
+    def _follow(answers: list, changes: list[list[tuple]]) -> list:
+        """The applied answers after some changes, which stay tuples: a frame for each session would cost more than the fold."""
         for part in changes:
-            for op, agreed, level, at in zip(part["op"], part["was_correct"], part["corrected_level"], part["at"].astype("datetime64[us]").astype("int64")):
+            for _, op, _, agreed, level, at in part:
                 if op == "answer":
-                    answers.append((bool(agreed), None if pd.isna(level) else int(level), int(at)))
+                    answers.append((agreed, None if pd.isna(level) else int(level), at))
                 elif op == "retract":
                     answers.pop()
         return answers
@@ -306,15 +329,15 @@ class StandingReviews(FoldReviews):
 
     @staticmethod
     def _rows(key, told: list, before: int, version: int) -> pd.DataFrame:
-        rows = [(k, "answer", *answer) for k, answer in enumerate(told)]
-        rows += [(k, "delete", None, None, None) for k in range(len(told), before)]
-        out = pd.DataFrame(rows, columns=["image_index", "op", "was_correct", "corrected_level", "answered_at"])
-        out.insert(0, "session", key[0])
-        out["step"] = version
-        out["corrected_level"] = out["corrected_level"].astype("Int32")
-        out["was_correct"] = out["was_correct"].astype("boolean")
-        out["answered_at"] = pd.to_datetime(out["answered_at"], unit="us")
-        return out[["session", "image_index", "op", "was_correct", "corrected_level", "answered_at", "step"]]
+        gone = max(0, before - len(told))
+        n = len(told) + gone
+        agreed, level, at = zip(*told, *[(None, None, None)] * gone) if n else ((), (), ())
+        moments = np.array([np.iinfo(np.int64).min if us is None else us for us in at], dtype="int64").view("datetime64[us]")
+        return pd.DataFrame({
+            "session": [key[0]] * n, "image_index": np.arange(n), "op": pd.Series(["answer"] * len(told) + ["delete"] * gone, dtype=object),
+            "was_correct": pd.array(agreed, dtype="boolean"),
+            "corrected_level": pd.array([None if pd.isna(v) else int(v) for v in level], dtype="Int32"),
+            "answered_at": moments.astype("datetime64[ns]"), "step": np.full(n, version)})
 
 
 STANDING = ("session bigint, image_index bigint, op string, was_correct boolean, corrected_level int, "

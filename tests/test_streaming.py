@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,77 @@ def test_online_params_equal_the_batch_and_survive_a_repeat(spark, tmp_path):
     # all batches once more, as after a lost checkpoint: the sums are replaced, not added
     sl.online_params(stream, str(tmp_path / "sink"), str(tmp_path / "checkpoint2")).awaitTermination()
     assert [round(x, 9) for x in sl.latest_params(spark, str(tmp_path / "sink")).first().thresholds] == want
+
+
+class _Handle:
+    """State of one session in memory; ``calls`` counts what would go to the JVM and back."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def getValueState(self, name, schema):
+        return _Value(self)
+
+    def getMapState(self, name, *schema):
+        return _Value(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+
+class _Value:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def __getattr__(self, name):
+        if name not in ("get", "update", "clear", "exists"):
+            raise AttributeError(name)
+
+        def call(*value):
+            self.handle.calls += 1
+            if name == "get":
+                return self.value
+            if name == "exists":
+                return self.value is not None
+            self.value = value[0] if name == "update" else None
+
+        return call
+
+
+class _Times:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_standing_session_makes_one_frame_and_few_state_calls(monkeypatch):
+    """A session costs one frame when its events come and none when their minutes pass."""
+    fold, handle = sr.StandingReviews(12), _Handle()
+    fold.init(handle)
+    start = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({
+        "ts": [start + pd.Timedelta(minutes=k) for k in range(5)], "seq": range(5),
+        "action": ["agree", "disagree", "agree", "back", "disagree"], "level": [0, 3, 1, 0, 4]})
+    told = list(fold.handleInputRows((7,), iter([rows]), _Times(0)))
+    assert len(told) == 1 and handle.calls <= 8
+    got = told[0].astype({"answered_at": "datetime64[us]"})
+    assert got["image_index"].tolist() == [0, 1, 2] and got["op"].tolist() == ["answer"] * 3
+    assert got["was_correct"].tolist() == [True, False, False] and got["corrected_level"].tolist() == [pd.NA, 3, 4]
+    assert got["answered_at"].tolist() == [start, start + pd.Timedelta(minutes=1), start + pd.Timedelta(minutes=4)]
+
+    def no_frame(*_):
+        raise AssertionError("a frame was made of changes that nobody reads")
+
+    handle.calls = 0
+    monkeypatch.setattr(sr.StandingReviews, "_changes", staticmethod(no_frame))
+    passed = int(start.timestamp() * 1000) + 3 * 60_000
+    assert list(fold.handleExpiredTimer((7,), _Times(passed), None)) == []
+    assert handle.calls <= 7
+    assert [a[0] for a in fold._shown()[2]] == [True, False, True] and fold.pos == 3
+
+    more = pd.DataFrame({"ts": [start + pd.Timedelta(minutes=3, seconds=9)], "seq": [9], "action": ["back"], "level": [0]})
+    (now,) = fold.handleInputRows((7,), iter([more]), _Times(passed))
+    assert now["op"].tolist() == ["answer", "answer", "delete"] and now["step"].unique().tolist() == [2]
+    assert now["was_correct"].tolist()[:2] == [True, False] and now["answered_at"].isna().tolist() == [False, False, True]
