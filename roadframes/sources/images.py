@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadframes.functions.names import cropped_name
 from roadframes.schemas import CAMERAS
-from roadframes.sources.files import png_bytes, write_files
+from roadframes.sources.files import write_png_files
 
 
 def scan_images(
@@ -39,8 +39,7 @@ def resolve_image_column(df: DataFrame) -> DataFrame:
 
 def write_image_files(df: DataFrame, path: str, name: str = "name") -> None:
     """Write 8-bit channels-last frames as PNG files named by a column."""
-    png = png_bytes(F.col("pixels"), F.col("height"), F.col("width"), F.col("channels"))
-    write_files(df.select(F.col(name), png.alias("content")).where("content is not null"), path, name)
+    write_png_files(df, path, name)
 
 
 def crops(df: DataFrame) -> DataFrame:

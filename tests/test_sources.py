@@ -9,6 +9,7 @@ from roadframes.operators import feedback as fb
 from roadframes.operators import frames as fr
 from roadframes.sources import chunks as ck
 from roadframes.sources import feedback as fs
+from roadframes.sources import files
 from roadframes.sources import frames as st
 from roadframes.sources import images as im
 from roadframes.schemas import FRAMES
@@ -170,3 +171,20 @@ def test_chunks_by_pattern(spark, tmp_path):
         ck.combine_chunks(spark, str(tmp_path), "none_*")
     with pytest.raises(ValueError):
         ck.list_chunks(spark, str(tmp_path), order="size")
+
+
+def test_images_are_encoded_by_the_task_that_writes_them(spark, frames, tmp_path, monkeypatch):
+    """No Python process beside the writer holds a batch of encoded files; frames of a wrong shape are left out."""
+    df = frames(([0, 50, 100, 150], 2, 2, 1, "HWC"), ([1, 2, 3], 1, 1, 3, "HWC"), ([1, 2], 2, 2, 1, "HWC"), (None, 1, 1, 1, "HWC"))
+    df = df.withColumn("name", F.format_string("f_%d.png", "frame_id"))
+    plans, write = [], files._write
+
+    def seen(rows, folder, contents):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, folder, contents)
+
+    monkeypatch.setattr(files, "_write", seen)
+    im.write_image_files(df, str(tmp_path / "out"))
+    assert len(plans) == 1 and "ArrowEvalPython" not in plans[0]
+    rows = {r.origin.rsplit("/", 1)[1]: list(r.pixels) for r in fr.to_rgb(im.scan_images(spark, str(tmp_path / "out"))).collect()}
+    assert rows == {"f_0.png": [0.0] * 3 + [50.0] * 3 + [100.0] * 3 + [150.0] * 3, "f_1.png": [1.0, 2.0, 3.0]}
